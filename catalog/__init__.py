@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["ingest", "features"]
+MODULES = ["ingest", "features", "sources", "lookup"]
 
 
 def load_all():

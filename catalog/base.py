@@ -27,15 +27,28 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return fixtures.view(self.spark, self.sf_dir, name)
+        if name in fixtures.TABLES:
+            return self._table(name)
+        if name in fixtures.VIEWS:
+            return self.stored(name, lambda: fixtures.view(self.spark, name, lambda source: getattr(self, source)))
+        raise AttributeError(name)
+
+    def _table(self, name: str) -> DataFrame:
+        """A test table is one row group, hence one task; larger input has its own parallelism."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     def stored(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-        slug = self.sf_dir.strip("/").replace("/", "_")
-        path = f"{shared_dir(self.spark)}/stage/{slug}/{label}"
+        path = self.stored_path(label)
         if not path_exists(self.spark, f"{path}/_SUCCESS"):
             build().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def stored_path(self, label: str) -> str:
+        slug = self.sf_dir.strip("/").replace("/", "_")
+        return f"{shared_dir(self.spark)}/stage/{slug}/{label}"
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
@@ -61,3 +74,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         return (F.round(c, digits) + F.lit(0.0)).alias(field.name)
 
     return df.select(*[show(f) for f in df.schema])
+
+
+def real(df: DataFrame, *columns: str) -> DataFrame:
+    """Nullable whole numbers as doubles, which both engines hand to pandas alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})

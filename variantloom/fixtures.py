@@ -7,6 +7,7 @@ input. Later views use earlier ones.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -188,12 +189,10 @@ def with_clause(body: str, views: dict[str, str] = VIEWS) -> str:
     return f"WITH {ctes}\n{lead}"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One fixture view (or plain table) as a DataFrame over ``sf_dir``."""
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = with_clause(f"SELECT * FROM {name}")
-    used = [t for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", text)]
-    for table in used:
-        text = re.sub(rf"(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+def view(spark: SparkSession, name: str, resolve: Callable[[str], DataFrame]) -> DataFrame:
+    """One view as a DataFrame; ``resolve`` gives the tables and views it reads directly."""
+    text = VIEWS[name]
+    used = [n for n in [*TABLES, *VIEWS] if re.search(rf"(FROM|JOIN) {n}\b", text)]
+    for source in used:
+        text = re.sub(rf"(FROM|JOIN) {source}\b", rf"\1 {{{source}}}", text)
+    return spark.sql(text, **{source: resolve(source) for source in used})

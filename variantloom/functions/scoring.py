@@ -58,7 +58,7 @@ def confidence_band(conf: Column) -> Column:
 
 
 def percent_text(p: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", p * 100), F.lit(""))
+    return F.when(p.isNotNull(), F.format_string(f"%.{digits}f", p * 100)).otherwise("")
 
 
 def _driver(order: int, name: str, value: Column, direction: Column, strength: Column) -> Column:

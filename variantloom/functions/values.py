@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 def finite(c: Column) -> Column:
     """NaN and infinities become NULL."""
     value = c.cast("double")
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+    return F.when(F.abs(value) < float("inf"), value)  # NaN sorts above infinity
 
 
 def to_number(c: Column, default: float | None = None) -> Column:
     """Lenient text-to-double: anything that is not a finite number is missing."""
-    value = finite(c.cast("string").try_cast("double"))
+    value = finite(c.try_cast("double"))
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 
@@ -33,7 +33,7 @@ def first_valid_item(c: Column) -> Column:
 
 def first_number(df: DataFrame, names: Sequence[str]) -> Column:
     """First alias column that holds a number; columns the table lacks are skipped."""
-    present = [to_number(F.nullif(F.col(f"`{n}`").cast("string"), F.lit(""))) for n in names if n in df.columns]
+    present = [to_number(F.col(f"`{n}`")) for n in names if n in df.columns]
     return F.coalesce(*present) if present else F.lit(None).cast("double")
 
 

@@ -104,7 +104,7 @@ def training_rows(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         to_number(_c("Polyphen2_HDIV_score"), -1.0).alias("PolyPhen"),
         to_number(_c("CADD_phred"), -1.0).alias("CADD"),
         to_number(_c("gnomAD_exomes_AF"), 0.0).alias("ALT_FREQ"),
-        F.coalesce(_c("target").cast("string").try_cast("int"), F.lit(0)).alias(TARGET),
+        F.coalesce(_c("target").try_cast("int"), F.lit(0)).alias(TARGET),
         to_number(key["pos"], 0.0).alias("_pos"),
         F.coalesce(key["ref"], F.lit("")).alias("_ref"),
         F.coalesce(key["alt"], F.lit("")).alias("_alt"),
@@ -200,7 +200,7 @@ def optimize_dataset(encoded: DataFrame) -> DataFrame:
 
 def _legacy_score(df: DataFrame, names: list[str]) -> Column:
     source = next((n for n in names if n in df.columns), None)
-    value = _c(source).cast("string").try_cast("float") if source else F.lit(None).cast("float")
+    value = _c(source).try_cast("float") if source else F.lit(None).cast("float")
     return F.coalesce(F.nanvl(value, F.lit(None).cast("float")), F.lit(0.0).cast("float"))
 
 
@@ -213,7 +213,7 @@ def legacy_rows(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         key["chrom"].cast("string").alias("CHROM"),
         key["ref"].alias("_ref"),
         key["alt"].alias("_alt"),
-        F.coalesce(key["pos"].cast("string").try_cast("float"), single(0.0)).alias("_pos"),
+        F.coalesce(key["pos"].try_cast("float"), single(0.0)).alias("_pos"),
         _legacy_score(df, ["SIFT_score", "SIFT"]).alias("SIFT"),
         _legacy_score(df, ["Polyphen2_HVAR_score", "Polyphen2_HDIV_score", "PolyPhen"]).alias("PolyPhen"),
         _legacy_score(df, ["CADD_phred", "CADD"]).alias("CADD"),

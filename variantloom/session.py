@@ -20,6 +20,8 @@ def build_session(app_name: str = "variantloom", master: str | None = None, **co
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # the JVM never compiles a method over 8000 bytes; past that, per-operator code is faster
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config(
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -72,3 +74,10 @@ def hadoop_path(spark: SparkSession, path: str):
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, target = hadoop_path(spark, path)
     return fs.exists(target)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, without hidden ones."""
+    fs, target = hadoop_path(spark, path)
+    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    return sorted(n for n in names if not n.startswith(("_", ".")))
