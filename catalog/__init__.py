@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["ingest", "features", "sources", "lookup"]
+MODULES = ["ingest", "features", "sources", "lookup", "profile", "evaluate", "monitor"]
 
 
 def load_all():

@@ -19,7 +19,7 @@ def raw_files(t: Tables, codec: str = "gzip") -> str:
     """The raw variants as tab-separated files, one folder per contig."""
     path = fresh_path(t.spark, "raw-tsv")
     raw = t.variants_raw.select(*INGEST, F.col("chrom").alias("file_part")).withColumnsRenamed(RAW_NAMES)
-    writer = raw.write.partitionBy("file_part").option("sep", "\t").option("header", True)
+    writer = raw.hint("rebalance", F.col("file_part")).write.partitionBy("file_part").option("sep", "\t").option("header", True)
     writer.option("compression", codec).csv(path)
     return path
 

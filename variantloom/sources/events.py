@@ -22,7 +22,9 @@ def append_event_log(events: DataFrame, path: str) -> None:
     stamped = without_nonfinite(events).withColumn("timestamp", F.coalesce(given, now))
     stamped = stamped.withColumn("day", F.substring("timestamp", 1, 10))
     columns = sorted(c for c in stamped.columns if c != "day")
-    writer = stamped.select(*columns, "day").write.mode("append").partitionBy("day")
+    # few, evenly sized files per day; a very busy day is split over several tasks
+    by_day = stamped.select(*columns, "day").hint("rebalance", F.col("day"))
+    writer = by_day.write.mode("append").partitionBy("day")
     writer.option("ignoreNullFields", False).json(path)
 
 
