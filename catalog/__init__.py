@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["ingest", "features", "sources", "lookup", "profile", "evaluate", "monitor"]
+MODULES = ["ingest", "features", "sources", "lookup", "profile", "evaluate", "monitor", "streams", "models"]
 
 
 def load_all():
