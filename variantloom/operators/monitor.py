@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from variantloom.contract import LATENCY_BUCKETS_SECONDS, LOW_CONFIDENCE, MONITORED_FEATURES
 from variantloom.functions.values import at_least_one, count_if, finite, ratio, to_number
 from variantloom.operators.ingest import rename_monitoring_columns
-from variantloom.operators.ranks import prefix_sums
+from variantloom.operators.ranks import prefix_sums, unpivoted
 from variantloom.session import materialize
 
 
@@ -264,8 +264,8 @@ def ks_statistic(reference: DataFrame, current: DataFrame, features: Sequence[st
     """Largest gap between the two cumulative distributions, per feature."""
 
     def values(df: DataFrame, side: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(f).alias("feature"), to_number(F.col(f)).alias("value")) for f in features])
-        long = df.select(F.inline(cells)).where(F.col("value").isNotNull())
+        numbers = df.select(*[to_number(F.col(f)).alias(f) for f in features])
+        long = unpivoted(numbers, features).where(F.col("value").isNotNull())
         return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias(side))
 
     union = values(reference, "r").unionByName(values(current, "c"), allowMissingColumns=True)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from variantloom.contract import CATEGORICAL_FEATURES, TARGET
 from variantloom.functions.values import count_if, ratio
 from variantloom.operators.ingest import numeric_columns
-from variantloom.operators.ranks import exact_quantiles, value_histogram
+from variantloom.operators.ranks import exact_quantiles, unpivoted, value_histogram
 from variantloom.session import materialize
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -149,18 +149,10 @@ def imbalance(df: DataFrame, target: str = TARGET) -> DataFrame:
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    stats = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        stats += [
-            F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mean_{c}"), F.stddev_samp(x).alias(f"std_{c}"),
-            F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"),
-        ]
-    names = {"n": "count", "mean": "mean", "std": "std", "min": "min", "max": "max"}
-    entries = [
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{k}_{c}").alias(v) for k, v in names.items()]) for c in columns
-    ]
-    return _long(df.agg(*stats), entries)
+    x = F.col("value")
+    return unpivoted(df, columns).groupBy("feature").agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")
+    )
 
 
 def histogram_of(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -242,12 +234,11 @@ def safe_corr(x: Column, y: Column) -> Column:
 def target_correlation(df: DataFrame, target: str = TARGET, top: int | None = 15, columns: Sequence[str] | None = None) -> DataFrame:
     """Correlation of every numeric column with the target, highest first."""
     names = list(columns) if columns is not None else feature_columns(df, target)
-    y = F.col(target).cast("double")
-    # a missing value leaves its pair out, on both sides
-    pairs = {c: (F.col(c).cast("double"), F.when(F.col(c).isNotNull(), y)) for c in names}
-    one_row = df.agg(*[safe_corr(F.when(y.isNotNull(), x), yy).alias(c) for c, (x, yy) in pairs.items()])
-    entries = [F.struct(F.lit(c).alias("feature"), F.round(F.col(c), 6).alias("correlation")) for c in names]
-    report = _long(one_row, entries).orderBy(F.desc_nulls_last("correlation"), "feature")
+    # a pair with a missing side is left out on both
+    pairs = unpivoted(df, names, [target]).where(F.col("value").isNotNull() & F.col(target).isNotNull())
+    r = safe_corr(F.col("value"), F.col(target).cast("double"))
+    report = pairs.groupBy("feature").agg(F.round(r, 6).alias("correlation"))
+    report = report.orderBy(F.desc_nulls_last("correlation"), "feature")
     return report if top is None else report.limit(top)
 
 
@@ -273,18 +264,12 @@ def high_correlation_pairs(df: DataFrame, target: str = TARGET, minimum: float =
 def class_separation(df: DataFrame, hist: DataFrame, target: str = TARGET, top: int = 20) -> DataFrame:
     """Class means and medians per column and their difference in overall standard deviations."""
     names = feature_columns(df, target)
-    stats = []
-    for c in names:
-        x = F.col(c).cast("double")
-        stats += [
-            F.avg(F.when(F.col(target) == 0, x)).alias(f"b_{c}"), F.avg(F.when(F.col(target) == 1, x)).alias(f"p_{c}"),
-            F.stddev_samp(x).alias(f"s_{c}"),
-        ]
-    entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"b_{c}").alias("benign_mean"), F.col(f"p_{c}").alias("pathogenic_mean"), F.col(f"s_{c}").alias("_std"))
-        for c in names
-    ]
-    means = _long(df.agg(*stats), entries)
+    x = F.col("value")
+    means = unpivoted(df, names, [target]).groupBy("feature").agg(
+        F.avg(F.when(F.col(target) == 0, x)).alias("benign_mean"),
+        F.avg(F.when(F.col(target) == 1, x)).alias("pathogenic_mean"),
+        F.stddev_samp(x).alias("_std"),
+    )
     medians = exact_quantiles(hist.where(F.col(target).isin(0, 1)), [target, "feature"], {"median": 0.5})
     wide = medians.groupBy("feature").agg(
         F.max(F.when(F.col(target) == 0, F.col("median"))).alias("benign_median"),

@@ -19,14 +19,23 @@ from variantloom.session import materialize
 BUCKETS = 64
 
 
+def unpivoted(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row per cell: (by..., feature, value). An Expand in the same stage, not a shuffle.
+
+    Grouping these rows by ``feature`` keeps one short aggregation loop, where one aggregate per
+    column would generate code too long to be compiled.
+    """
+    wide = df.select(*by, *[finite(F.col(c)).alias(c) for c in columns])
+    return wide.unpivot(list(by), list(columns), "feature", "value")
+
+
 def value_histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Counts per distinct finite value of each column: (by..., feature, value, n), in one shuffle.
 
     Equal values are combined before the shuffle, so a value that fills a third of a column
     costs one row per task.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("value")) for c in columns])
-    long = df.select(*by, F.inline(cells)).where(F.col("value").isNotNull())
+    long = unpivoted(df, columns, by).where(F.col("value").isNotNull())
     return long.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -36,6 +45,7 @@ def prefix_sums(
     """Adds ``cum_<s>`` (running sum up to and including this value) and ``tot_<s>`` per group.
 
     ``hist`` has one row per (group, value) and should be a stored table: it is read twice.
+    ``buckets`` is a power of two.
     """
     keys = list(group)
     if not keys:
@@ -43,8 +53,7 @@ def prefix_sums(
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = hist.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_bounds"))
     bounds = materialize(bounds, "bucket-bounds")
-    bucket = F.size(F.filter("_bounds", lambda edge: edge < F.col(value)))
-    bucketed = hist.join(bounds, keys, "left").withColumn("_bucket", bucket).drop("_bounds")
+    bucketed = _place(hist.join(bounds, keys, "left"), value, buckets).drop("_bounds")
 
     totals = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,6 +72,20 @@ def prefix_sums(
     return running.drop(*drop)
 
 
+def _place(df: DataFrame, value: str, buckets: int) -> DataFrame:
+    """Adds ``_bucket``: how many of the sorted ``_bounds`` lie below the value, by halving steps.
+
+    Six compiled comparisons for 64 buckets; a filter over the array would be interpreted.
+    """
+    df = df.withColumn("_bucket", F.lit(0))
+    step = buckets // 2
+    while step:
+        edge = F.col("_bounds")[F.col("_bucket") + (step - 1)]
+        df = df.withColumn("_bucket", F.col("_bucket") + F.when(edge < F.col(value), step).otherwise(0))
+        step //= 2
+    return df
+
+
 def order_statistic(rank: Column, value: str) -> Column:
     """Value at a zero-based rank, inside an aggregate over ``prefix_sums`` of the count ``n``."""
     return F.max(F.when((F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n")), F.col(value)))
