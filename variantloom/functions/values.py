@@ -28,7 +28,7 @@ def first_item(c: Column) -> Column:
 def first_valid_item(c: Column) -> Column:
     """First entry of a ``;``-packed list that is a number."""
     numbers = F.transform(F.split(c, ";"), lambda item: item.try_cast("double"))
-    return F.element_at(F.array_compact(numbers), F.lit(1))
+    return F.get(F.array_compact(numbers), F.lit(0))
 
 
 def first_number(df: DataFrame, names: Sequence[str]) -> Column:

@@ -61,7 +61,7 @@ def hash_cutoffs(df: DataFrame, group: str, key: Sequence[str], quotas: dict[str
     Rows are counted per hash slice; only the slice in which a quota ends is looked at row by
     row. ``quotas`` maps a name to a column over the group size ``n``.
     """
-    hashed = df.select(F.col(group).alias("_g"), row_hash(key, seed).alias("_h"))
+    hashed = df.select(F.struct(F.col(group).alias("v")).alias("_g"), row_hash(key, seed).alias("_h"))
     counts = hashed.groupBy("_g", F.substring("_h", 1, SLICE_DIGITS).alias("_slice")).agg(F.count(F.lit(1)).alias("_c"))
     counts = materialize(counts, "hash-slices")
     by_group = Window.partitionBy("_g")
@@ -80,7 +80,7 @@ def hash_cutoffs(df: DataFrame, group: str, key: Sequence[str], quotas: dict[str
         # a quota smaller than the first group of copies ends before the slice
         cut = ends.join(cut, "_g", "left").select("_g", F.coalesce(name, "_slice").alias(name))
         found = cut if found is None else found.join(cut, "_g", "outer")
-    return found.withColumnRenamed("_g", group)
+    return found.select(F.col("_g.v").alias(f"_cut_{group}"), *quotas)
 
 
 def stratified_split_exact(
@@ -90,11 +90,11 @@ def stratified_split_exact(
     edges = np.cumsum(shares)
     quotas = {f"_cut{i}": F.floor(F.col("n") * F.lit(float(e)) + 0.5) for i, e in enumerate(edges)}
     cutoffs = materialize(hash_cutoffs(df, target, key, quotas, seed), "split-cutoffs")
-    joined = df.join(cutoffs, target, "left").withColumn("_h", row_hash(key, seed))
+    joined = df.join(cutoffs, F.col(target).eqNullSafe(F.col(f"_cut_{target}")), "left").withColumn("_h", row_hash(key, seed))
     split = F.when(F.col("_h") <= F.col("_cut0"), names[0])
     for i in range(1, len(edges)):
         split = split.when(F.col("_h") <= F.col(f"_cut{i}"), names[i])
-    return joined.withColumn("split", split.otherwise(names[-1])).drop("_h", *quotas)
+    return joined.withColumn("split", split.otherwise(names[-1])).drop("_h", f"_cut_{target}", *quotas)
 
 
 def random_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = SEED) -> DataFrame:
@@ -107,8 +107,9 @@ def stratified_sample(df: DataFrame, n: int, target: str, key: Sequence[str], se
     total = df.count()
     share = min(1.0, n / total) if total else 0.0
     cutoffs = hash_cutoffs(df, target, key, {"_cut": F.floor(F.col("n") * F.lit(share) + 0.5)}, seed)
-    joined = df.join(materialize(cutoffs, "sample-cutoffs"), target)
-    return joined.where(row_hash(key, seed) <= F.col("_cut")).drop("_cut")
+    cutoffs = materialize(cutoffs, "sample-cutoffs")
+    joined = df.join(cutoffs, F.col(target).eqNullSafe(F.col(f"_cut_{target}")))
+    return joined.where(row_hash(key, seed) <= F.col("_cut")).drop("_cut", f"_cut_{target}")
 
 
 def holdout_by_chromosome(df: DataFrame, chromosomes: Sequence[str], chrom: str = "chrom") -> DataFrame:
@@ -287,16 +288,12 @@ def classification_metrics(
     ranking = ranking_metrics(ranked_scores(score_histogram(df, by, target, p), by), by)
     losses = probability_losses(df, by, target, p)
     ece = expected_calibration_error(calibration_table(df, 10, by, target, p), by)
-    if not by:
-        tables = [t.withColumn("_k", F.lit(0)) for t in (confusion, ranking, losses, ece)]
-        keys = ["_k"]
-    else:
-        tables, keys = [confusion, ranking, losses, ece], list(by)
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.join(table, keys)
-    out = out.withColumn("best_threshold", F.lit(float(threshold)))
-    return out if by else out.drop("_k")
+    # joined on a struct of the group columns, which keeps a NULL group
+    key = F.struct(*by) if by else F.struct(F.lit(0))
+    out = confusion.withColumn("_group", key)
+    for table in (ranking, losses, ece):
+        out = out.join(table.withColumn("_group", key).drop(*by), "_group", "left")
+    return out.drop("_group").withColumn("best_threshold", F.lit(float(threshold)))
 
 
 def metrics_by_group(df: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataFrame:

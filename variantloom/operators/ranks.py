@@ -47,9 +47,9 @@ def prefix_sums(
     ``hist`` has one row per (group, value) and should be a stored table: it is read twice.
     ``buckets`` is a power of two.
     """
-    keys = list(group)
-    if not keys:
-        hist, keys = hist.withColumn("_all", F.lit(0)), ["_all"]
+    # a struct of the group columns is never NULL itself, so a NULL group is kept by the joins
+    keys = ["_group"]
+    hist = hist.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0)))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = hist.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_bounds"))
     bounds = materialize(bounds, "bucket-bounds")
@@ -68,8 +68,7 @@ def prefix_sums(
     joined = bucketed.join(starts, [*keys, "_bucket"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     running = joined.withColumns({f"cum_{s}": F.col(f"_start_{s}") + F.sum(s).over(inside) for s in sums})
-    drop = [f"_start_{s}" for s in sums] + ["_bucket"] + ([] if group else ["_all"])
-    return running.drop(*drop)
+    return running.drop(*[f"_start_{s}" for s in sums], "_bucket", "_group")
 
 
 def _place(df: DataFrame, value: str, buckets: int) -> DataFrame:
