@@ -62,12 +62,12 @@ def annotations_ready(t: Tables, path: str) -> bool:
 @query(
     "partition_point_read",
     """SELECT chrom AS chr, chrom, pos, ref, alt, SIFT_score, Polyphen2_HDIV_score, CADD_phred, gnomAD_exomes_AF, target
-    FROM variants_clean WHERE chrom = 'X' ORDER BY pos, ref, alt LIMIT 1""",
+    FROM variants_clean ORDER BY chrom, pos, ref, alt LIMIT 1""",
 )
 def partition_point_read(t: Tables):
     store = partitioned_store(t)
-    first = store.where("chr = 'X'").orderBy("pos(1-based)", "ref", "alt").select("pos(1-based)", "ref", "alt").first()
-    return plain_names(annotations.partition_point_read(store, "X", first[0], first[1], first[2]))
+    wanted = store.orderBy("chr", "pos(1-based)", "ref", "alt").select("chr", "pos(1-based)", "ref", "alt").first()
+    return plain_names(annotations.partition_point_read(store, *wanted) if wanted else store.limit(0))
 
 
 @query("scan_parquet", "SELECT * FROM variants_clean")

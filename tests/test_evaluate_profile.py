@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from variantloom.operators import evaluate, profile
-from variantloom.operators.ranks import exact_quantiles, prefix_sums
+from variantloom.operators.ranks import bucket_count, exact_quantiles, prefix_sums
 
 SCORED = "target int, probability double"
 
@@ -76,6 +76,14 @@ def test_prefix_sums_per_group(spark):
     assert [r.cum_n for r in got] == expected and {r.tot_n for r in got} == {expected[-1]}
 
 
+def test_bucket_count_grows_with_the_histogram_and_any_power_of_two_works(spark):
+    assert [bucket_count(n) for n in (10, 64_000_001, 10**12)] == [64, 128, 1024]
+    hist = spark.createDataFrame([(float(v), 1) for v in range(50)], "value double, n long")
+    for buckets in (2, 256):
+        got = prefix_sums(hist, [], "value", ["n"], buckets).orderBy("value").collect()
+        assert [r.cum_n for r in got] == list(range(1, 51))
+
+
 def test_a_null_group_is_kept(spark):
     rows = [(g, i % 2, i / 40) for g in ("a", None) for i in range(40)]
     df = spark.createDataFrame(rows, "g string, target int, probability double")

@@ -124,6 +124,12 @@ def test_store_duplicates_keep_the_highest_cadd(spark):
     assert lookup.store_dedupe_first(lookup.store_rows(rows)).first().cadd == 9.0
 
 
+def test_dedupe_limits_each_task_before_the_shuffle(spark):
+    rows = spark.createDataFrame([("1", 1, "A", "C", None, None, 1.0, 0.1)], STORE)
+    plan = lookup.store_dedupe_first(lookup.store_rows(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_hot_request_key_is_split_and_nothing_is_lost(spark):
     """A third of the requests share one key: the join keeps every row and splits the partition."""
     store = spark.range(2000).select(

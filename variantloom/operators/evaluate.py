@@ -16,6 +16,7 @@ from variantloom.session import materialize
 SEED = 42
 # leading hex digits of the md5: 65536 even slices, known without looking at the data
 SLICE_DIGITS = 4
+MAX_CLASSES = 1000
 
 
 # --- splits and samples -----------------------------------------------------------------
@@ -64,6 +65,9 @@ def hash_cutoffs(df: DataFrame, group: str, key: Sequence[str], quotas: dict[str
     hashed = df.select(F.struct(F.col(group).alias("v")).alias("_g"), row_hash(key, seed).alias("_h"))
     counts = hashed.groupBy("_g", F.substring("_h", 1, SLICE_DIGITS).alias("_slice")).agg(F.count(F.lit(1)).alias("_c"))
     counts = materialize(counts, "hash-slices")
+    groups = counts.select("_g").distinct().count()
+    if groups > MAX_CLASSES:
+        raise ValueError(f"{group!r} has {groups} classes; quotas are for at most {MAX_CLASSES}")
     by_group = Window.partitionBy("_g")
     sizes = counts.withColumns(
         {"n": F.sum("_c").over(by_group), "_upto": F.sum("_c").over(by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))}
@@ -72,7 +76,7 @@ def hash_cutoffs(df: DataFrame, group: str, key: Sequence[str], quotas: dict[str
     for name, quota in quotas.items():
         ends = sizes.withColumn("_quota", quota).where((F.col("_upto") - F.col("_c") < F.col("_quota")) & (F.col("_quota") <= F.col("_upto")))
         ends = ends.select("_g", "_slice", (F.col("_quota") - (F.col("_upto") - F.col("_c"))).alias("_inside"))
-        # one slice per group: a fixed, tiny side
+        # one slice per class, and the number of classes was checked above
         candidates = hashed.withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS)).join(F.broadcast(ends), ["_g", "_slice"])
         per_hash = candidates.groupBy("_g", "_h", "_inside").agg(F.count(F.lit(1)).alias("_m"))
         upto = F.sum("_m").over(by_group.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))

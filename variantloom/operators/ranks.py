@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 from variantloom.functions.values import finite
 from variantloom.session import materialize
 
-BUCKETS = 64
+# buckets are powers of two; more are used only when one would hold too many distinct values
+MIN_BUCKETS, MAX_BUCKETS, ROWS_PER_BUCKET = 64, 1024, 1_000_000
+
+
+def bucket_count(rows: int) -> int:
+    buckets = MIN_BUCKETS
+    while buckets < MAX_BUCKETS and rows > buckets * ROWS_PER_BUCKET:
+        buckets *= 2
+    return buckets
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -40,18 +48,19 @@ def value_histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
 
 
 def prefix_sums(
-    hist: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], buckets: int = BUCKETS
+    hist: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
     """Adds ``cum_<s>`` (running sum up to and including this value) and ``tot_<s>`` per group.
 
-    ``hist`` has one row per (group, value) and should be a stored table: it is read twice.
-    ``buckets`` is a power of two.
+    ``hist`` has one row per (group, value) and should be a stored table: it is read several
+    times. ``buckets`` is a power of two, by default chosen from the size of ``hist``.
     """
+    buckets = buckets or bucket_count(hist.count())
     # a struct of the group columns is never NULL itself, so a NULL group is kept by the joins
     keys = ["_group"]
     hist = hist.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0)))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = hist.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_bounds"))
+    bounds = hist.groupBy(*keys).agg(F.percentile_approx(value, cuts, max(1000, 16 * buckets)).alias("_bounds"))
     bounds = materialize(bounds, "bucket-bounds")
     bucketed = _place(hist.join(bounds, keys, "left"), value, buckets).drop("_bounds")
 

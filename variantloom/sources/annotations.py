@@ -55,7 +55,9 @@ def write_partitioned_store(
     """
     chrom_col, position = F.col(f"`{chrom}`"), F.col(f"`{pos}`").try_cast("bigint")
     rows = df.withColumn(pos, position).withColumn("chr", F.regexp_replace(F.upper(F.trim(chrom_col)), "^CHR", ""))
-    ranged = rows.repartitionByRange("chr", F.col(f"`{pos}`")).sortWithinPartitions("chr", F.col(f"`{pos}`"))
+    # the row id as last key lets even one very frequent position be cut into several tasks
+    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange("chr", F.col(f"`{pos}`"), "_row").sortWithinPartitions("chr", F.col(f"`{pos}`")).drop("_row")
     ranged.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("chr").parquet(path)
 
 
