@@ -60,16 +60,16 @@ def build_serving_features(t: Tables):
     clean = t.variants_clean
     stats = t.stored("chrom_stats", lambda: features.chrom_stats(features.training_rows(clean)))
     served = features.build_serving_features(clean, stats)
-    return served.select("pos", "ref", "alt", *features.FEATURE_ORDER)
+    return served.select("CHROM", "pos", "ref", "alt", *features.FEATURE_ORDER[1:])
 
 
 @query(
     "optimize_dataset",
     """SELECT DISTINCT CHROM, SIFT, PolyPhen, CADD, ALT_FREQ, Is_InDel, Delta_Length, indel_size, Is_Frameshift, REF_Base,
       ALT_Base, mutation_type, rare_variant, is_ultra_rare, is_large_indel, CADD_high, CADD_very_high, SIFT_damaging,
-      Impact_Score, normalized_pos, pos_freq_interaction, is_transition, chrom_freq_mean, chrom_rare_rate, Target,
+      Impact_Score, normalized_pos, pos_freq_interaction, is_transition, chrom_freq_mean, chrom_rare_rate,
       CAST(Impact_Score > CAST(0.7 AS DOUBLE) AND CAST(ALT_FREQ AS DOUBLE) < CAST(0.01 AS DOUBLE) AS TINYINT) AS high_impact_rare,
-      CAST(CAST(CADD AS DOUBLE) * ln(1 + 1 / (CAST(ALT_FREQ AS DOUBLE) + CAST(1e-9 AS DOUBLE))) AS FLOAT) AS cadd_rare_interaction
+      CAST(CAST(CADD AS DOUBLE) * ln(1 + 1 / (CAST(ALT_FREQ AS DOUBLE) + CAST(1e-9 AS DOUBLE))) AS FLOAT) AS cadd_rare_interaction, Target
     FROM (SELECT DISTINCT * FROM o_encoded) AS d""",
 )
 def optimize_dataset(t: Tables):

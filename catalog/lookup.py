@@ -54,7 +54,8 @@ def store_dedupe_first(t: Tables):
     FROM o_requests q LEFT JOIN o_store_local s ON k_chrom = s.chrom AND k_pos = s.pos AND k_ref = s.ref AND k_alt = s.alt""",
 )
 def lookup_local_store(t: Tables):
-    return lookup.lookup_local_store(t.variant_requests, t.store_local)
+    found = lookup.lookup_local_store(t.variant_requests, t.store_local)
+    return found.select("request_id", "chrom", "pos", "ref", "alt", "found", *lookup.SCORES)
 
 
 @query(
@@ -64,7 +65,8 @@ def lookup_local_store(t: Tables):
     FROM o_requests q LEFT JOIN o_store s ON k_chrom = s.chrom AND k_pos = s.pos AND k_ref = s.ref AND k_alt = s.alt""",
 )
 def lookup_two_tier(t: Tables):
-    return lookup.lookup_two_tier(t.variant_requests, t.store_local, t.store_lake)
+    found = lookup.lookup_two_tier(t.variant_requests, t.store_local, t.store_lake)
+    return found.select("request_id", "chrom", "pos", "ref", "alt", "found", "feature_source", *lookup.SCORES)
 
 
 _EXISTS = "EXISTS (SELECT 1 FROM o_store s WHERE k_chrom = s.chrom AND k_pos = s.pos AND k_ref = s.ref AND k_alt = s.alt)"

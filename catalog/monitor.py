@@ -108,7 +108,8 @@ _DRIFT_SHOWN = "feature, " + ", ".join(f"round({c}, 6) AS {c}" for c in _DRIFT_N
 
 @query("drift_feature_stats", f"SELECT {_DRIFT_SHOWN} FROM o_drift")
 def drift_feature_stats(t: Tables):
-    return rounded(monitor.drift_feature_stats(encoded(t), t.prediction_events))
+    stats = monitor.drift_feature_stats(encoded(t), t.prediction_events)
+    return rounded(stats.select("feature", *_DRIFT_NUMBERS, "reference_rows", "current_rows", "drifted"))
 
 
 ORACLE_VIEWS["o_drift_score"] = """
