@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_BASE: dict[str, str] = {}
-
 
 def build_session(app_name: str = "variantloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are designed for.
@@ -37,17 +34,15 @@ def build_session(app_name: str = "variantloom", master: str | None = None, **co
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a fresh folder of its own.
+    A local session may go without the setting; its tables then lie beside the warehouse.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base:
-        return f"{base.rstrip('/')}/variantloom-{sc.applicationId}"
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-    if sc.applicationId not in _LOCAL_BASE:
-        _LOCAL_BASE[sc.applicationId] = tempfile.mkdtemp(prefix="variantloom-")
-    return _LOCAL_BASE[sc.applicationId]
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
+    return f"{base.rstrip('/')}/variantloom-{sc.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
