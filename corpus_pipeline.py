@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from variantloom.llm import bpe, quality
+from variantloom.llm import bpe, partenum, quality, secrets, winnow
 from variantloom.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -14,17 +15,38 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
-    return quality.filter_kept(docs).select(*COLUMNS)
+    return quality.filter_kept(docs.select(*COLUMNS))
 
 
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that 5-word shingles link at a similarity of 0.75."""
+    return partenum.keep_first(docs.select(*COLUMNS))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without 5 percent or more of their words in passages of the benchmark."""
+    return winnow.clean_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked; n_chars follows the text."""
+    found, _ = secrets.scan_documents(docs.select(*COLUMNS))
+    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("found")))
+    n_chars = F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars.cast("bigint")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes."""
     return bpe.digests(docs, *bpe.public_vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality_rules),
-    ("tokens", tokenize),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("without_secrets", without_secrets),
+    ("tokens", tokens),
 ]
 ORACLE_SQL = None  # the quality model and BPE have no SQL form
 

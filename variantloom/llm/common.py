@@ -85,3 +85,59 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15)) + words[i : i + n]
     return mix(out)
+
+
+KEY_MASK = np.uint64((1 << 48) - 1)  # keys of recurring_keys
+
+
+def recurring_keys(df: DataFrame, keys_of, chunk: int = 2_000_000) -> DataFrame:
+    """``key``: the 48-bit keys that occur twice or more among all that ``keys_of(batch)`` gives (uint64 arrays).
+
+    Each task sorts its keys in chunks and sends a key once for each chunk, or twice if it recurs there, packed
+    as 32-bit rests in 65536 buckets: 4 bytes a key, and a key that a third of all rows have costs no more
+    than any other. ``df`` needs a ``text`` column.
+    """
+
+    def packed(keys: np.ndarray) -> pa.RecordBatch:
+        distinct, n = np.unique(keys, return_counts=True)
+        sent = np.repeat(distinct, np.minimum(n, 2))
+        buckets, starts = np.unique(sent >> np.uint64(32), return_index=True)
+        rests = (sent & np.uint64(0xFFFFFFFF)).astype("<u4")
+        offsets = np.append(starts, len(rests)).astype(np.int64) * 4
+        if not len(buckets):
+            offsets = np.zeros(1, np.int64)
+        blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(buckets), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rests.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), blobs.cast(pa.binary())], ["bucket", "rests"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in slices(batches, "text"):
+            held.append(keys_of(part) & KEY_MASK)
+            size += len(held[-1])
+            if size > chunk:
+                yield packed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield packed(np.concatenate(held))
+
+    def twice(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        rests = [np.frombuffer(b, "<u4") for _, b in held]
+        tops = np.repeat(np.array([t for t, _ in held], np.uint64), [len(r) for r in rests])
+        keys, n = np.unique((tops << np.uint64(32)) | np.concatenate(rests).astype(np.uint64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].astype(np.int64))], ["key"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for batch in batches:
+            for bucket, rests in zip(batch.column("bucket").to_pylist(), batch.column("rests").to_pylist(), strict=True):
+                if size > 4 * chunk and held[-1][0] != bucket:
+                    yield twice(held)
+                    held, size = [], 0
+                held.append((bucket, rests))
+                size += len(rests)
+        if held:
+            yield twice(held)
+
+    buckets = df.mapInArrow(pack, "bucket int, rests binary")
+    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "key bigint")

@@ -86,12 +86,11 @@ def rule_votes() -> dict:
     """The rules over STATS: 1 good, -1 bad, 0 abstains."""
     words, chars = F.col("n_words"), F.col("word_chars")
     symbols, upper, repeats, lines = (100 * F.col(c) for c in ("n_symbols", "n_upper", "n_repeat_words", "n_dup_lines"))
-    mean = chars / words
     return {
         "clean": _vote((words > 0) & (symbols <= chars) & (upper <= 20 * chars), (symbols > 5 * chars) | (upper > 50 * chars)),
         "varied": _vote((words > 0) & (lines == 0) & (repeats <= 10 * words), (repeats > 25 * words) | (lines > 4 * words)),
         "length": _vote(words >= 40, words < 20),
-        "word_size": _vote(mean.between(3, 9), (mean < 2) | (mean > 15)),
+        "word_size": _vote((words > 0) & chars.between(3 * words, 9 * words), (chars < 2 * words) | (chars > 15 * words)),
         "symbols": _vote(F.lit(False), symbols > 8 * chars),
         "shouting": _vote(F.lit(False), upper > 60 * chars),
         "repeats": _vote(F.lit(False), repeats > 30 * words),
