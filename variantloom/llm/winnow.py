@@ -145,7 +145,7 @@ lengths AS (SELECT DISTINCT m FROM iw),
 dw AS (SELECT row_no, m, s, array_to_string(w[s:s + m - 1], ' ') AS p
   FROM (SELECT row_no, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d CROSS JOIN lengths WHERE len(w) >= m)),
 h AS (SELECT DISTINCT row_no, dw.m AS m, s, item_id FROM dw JOIN iw ON dw.m = iw.m AND dw.p = iw.p),
-c AS (SELECT row_no, count(DISTINCT at) AS n_hit FROM (SELECT row_no, unnest(range(s, s + m)) AS at FROM h) GROUP BY 1),
+c AS (SELECT row_no, count(DISTINCT place) AS n_hit FROM (SELECT row_no, unnest(range(s, s + m)) AS place FROM h) GROUP BY 1),
 n AS (SELECT row_no, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row_no, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
