@@ -56,7 +56,8 @@ def test_vcf_rows_one_per_allele_in_file_order(spark, tmp_path):
     first = [(r.chrom, r.pos, r.ref, r.alt) for r in vcf.vcf_limit(rows, 3).collect()]
     assert first == [("11", "209271", "C", "A"), ("11", "209271", "C", "T"), ("1", "12345", "A", "G")]
     assert {r.allele_kind for r in rows.collect()} == {"bases", "symbolic", "spanning"}
-    for bad in (0, 5001):
+    assert vcf.vcf_limit(rows, 6000).count() == 10
+    for bad in (0, -1):
         with pytest.raises(ValueError):
             vcf.vcf_limit(rows, bad)
 
@@ -157,3 +158,19 @@ def test_hot_request_key_is_split_and_nothing_is_lost(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_recent_events_honour_the_limit(spark):
+    log = spark.range(3000).select(F.col("id").cast("string").alias("timestamp"))
+    assert events.recent_events(log, 2500).count() == 2500
+
+
+def test_event_log_keeps_its_day_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(f"2024-01-0{d}T00:00:00+00:00", "success") for d in (1, 1, 2, 3)], "timestamp string, status string")
+    path = str(tmp_path / "log")
+    events.append_event_log(rows, path)
+    log = events.scan_event_log(spark, path)
+    assert sorted(r.day for r in log.collect()) == ["2024-01-01", "2024-01-01", "2024-01-02", "2024-01-03"]
+    late = log.where("day >= '2024-01-02'")
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert late.count() == 2 and "PartitionFilters: [isnotnull(day" in plan

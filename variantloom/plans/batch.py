@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,20 +30,22 @@ def score_vcf(
     stats: DataFrame | None = None,
     max_records: int | None = None,
     event_log: str | None = None,
+    model_uri: str | None = None,
 ) -> BatchRun:
     """Score whole VCF files against a store with unique keys.
 
-    ``max_records`` (1 to 5000) takes only the first allele rows, as one interactive request
-    does; without it the files are scored to the end. The results are written once and every
-    output is derived from that table.
+    ``max_records`` takes only the first allele rows, as one interactive request does; without it
+    the files are scored to the end. The results are written once and every output is derived from that table.
     """
     records = vcf.scan_vcf(spark, paths)
     if max_records is not None:
         records = vcf.vcf_limit(records, max_records)
     requests = records.select("chrom", "pos", "ref", "alt")
-    scored = scoring.vcf_batch_score(requests, store, scorer, stats, small_batch=max_records is not None)
+    scored = scoring.vcf_batch_score(requests, store, scorer, stats)
+    started = time.monotonic()
     results = sink_parquet(scored, f"{work}/results")
-    counters = scoring.batch_counters(results)
+    counters = sink_parquet(scoring.batch_counters(results), f"{work}/counters")
     if event_log is not None:
-        append_event_log(scoring.batch_events(results), event_log)
+        each = 1000 * (time.monotonic() - started) / max(1, counters.first()["processed"])
+        append_event_log(scoring.batch_events(results, model_uri=model_uri or getattr(scorer, "__name__", None), latency_ms=each), event_log)
     return BatchRun(results, counters, sink_csv_report(batch_report(results, counters), f"{work}/report"))

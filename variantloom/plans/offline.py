@@ -19,17 +19,28 @@ class TrainingTables:
     chrom_stats: DataFrame
     encoded: DataFrame
     optimized: DataFrame
+    report: DataFrame  # part, status, message
+    complete: bool  # no part failed
 
 
 def build_training_tables(spark: SparkSession, sources: dict[str, str], work: str) -> TrainingTables:
-    """Each stage is a table under ``work``; a finished stage is read, not computed again."""
-    ready = skip_if_materialized(
-        spark, f"{work}/model_ready", lambda: stitch_parts(spark, sources, f"{work}/parts", ingest.model_ready)[0]
-    )
-    stats = skip_if_materialized(spark, f"{work}/chrom_stats", lambda: features.chrom_stats(features.training_rows(ready)))
-    encoded = skip_if_materialized(spark, f"{work}/encoded", lambda: features.encode_features(ready, stats))
-    optimized = skip_if_materialized(spark, f"{work}/optimized", lambda: features.optimize_dataset(encoded))
-    return TrainingTables(ready, stats, encoded, optimized)
+    """Each stage is a table under ``work``; a stage made from the same input is read, not computed again.
+
+    While a part fails, the tables hold the landed parts and are not ``complete``; the next run tries
+    that part again, and a part that lands then renews the stages after it.
+    """
+    parts, report = stitch_parts(spark, sources, f"{work}/parts", ingest.model_ready)
+    states = {row["part"]: row["status"] for row in report.collect()}  # one row for each source file
+    landed = [f"{work}/parts/part={name}" for name, status in states.items() if status == "landed"]
+
+    def stage(name: str, build: Callable[[], DataFrame], inputs: list[str]) -> DataFrame:
+        return skip_if_materialized(spark, f"{work}/{name}", build, inputs)
+
+    ready = stage("model_ready", lambda: parts, landed)
+    stats = stage("chrom_stats", lambda: features.chrom_stats(features.training_rows(ready)), [f"{work}/model_ready"])
+    encoded = stage("encoded", lambda: features.encode_features(ready, stats), [f"{work}/model_ready", f"{work}/chrom_stats"])
+    optimized = stage("optimized", lambda: features.optimize_dataset(encoded), [f"{work}/encoded"])
+    return TrainingTables(ready, stats, encoded, optimized, report, set(states.values()) == {"landed"})
 
 
 def train_and_rank(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +78,15 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     fs, target = hadoop_path(spark, path)
     names = [status.getPath().getName() for status in fs.listStatus(target)]
     return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
+def fingerprint(spark: SparkSession, paths: Sequence[str], *options: object) -> str:
+    """Digest of names, sizes and modification times of files and folders, and of options."""
+    seen = [repr(o) for o in options]
+    for path in sorted(paths):
+        fs, target = hadoop_path(spark, path)
+        for status in fs.globStatus(target) or []:
+            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            files = [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in inside if not s.getPath().getName().startswith(("_", "."))]
+            seen += [repr(f) for f in sorted(files)]
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()

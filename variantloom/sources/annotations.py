@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variantloom.contract import INGEST_COLUMNS
 from variantloom.operators.ingest import prune_columns
+from variantloom.session import materialize
+from variantloom.sources.sinks import sink_parquet, skip_if_materialized
 
 LOGGER = logging.getLogger(__name__)
 
@@ -55,6 +60,8 @@ def write_partitioned_store(
     """
     chrom_col, position = F.col(f"`{chrom}`"), F.col(f"`{pos}`").try_cast("bigint")
     rows = df.withColumn(pos, position).withColumn("chr", F.regexp_replace(F.upper(F.trim(chrom_col)), "^CHR", ""))
+    # range bounds come from a sample of the input: stored rows are sampled, not unzipped a second time
+    rows = materialize(spread_after_gzip(rows), "store-rows")
     # the row id as last key lets even one very frequent position be cut into several tasks
     keyed = rows.withColumn("_row", F.monotonically_increasing_id())
     ranged = keyed.repartitionByRange("chr", F.col(f"`{pos}`"), "_row").sortWithinPartitions("chr", F.col(f"`{pos}`")).drop("_row")
@@ -88,6 +95,9 @@ def union_chromosome_parts(spark: SparkSession, paths: Sequence[str]) -> DataFra
     return spark.read.parquet(*sorted(paths))
 
 
+UNREADABLE = re.compile(r"PATH_NOT_FOUND|FAILED_READ_FILE|FileNotFoundException|ZipException|EOFException|incorrect (header|data) check|[Nn]ot in GZIP|unknown compression", re.DOTALL)
+
+
 def stitch_parts(
     spark: SparkSession,
     sources: dict[str, str],
@@ -95,19 +105,27 @@ def stitch_parts(
     clean: Callable[[DataFrame], DataFrame],
     workers: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
-    """Clean each source file into its own part; a failing file is logged and left out.
+    """Clean each source file into its own part; a file that cannot be read is reported and left out.
 
-    Returns the union of the landed parts and a report (part, status, message). Each part is one
-    Spark job; a few run side by side. Raises only when no part landed.
+    Returns the union of the landed parts and a report (part, status, message), which is also kept as a
+    table ``<out>.report``. A part that landed from the same file is not made again, so a further run
+    retries only failed and changed files. Any other fault of the job is raised. Each part is one
+    Spark job; a few run side by side. Raises when no part landed.
     """
 
     def one(item: tuple[str, str]) -> tuple[str, str, str | None]:
         name, path = item
+        target = f"{out}/part={name}"
+
+        def build() -> DataFrame:
+            return spread_after_gzip(clean(scan_annotation_tsv(spark, path)))
+
         try:
-            cleaned = spread_after_gzip(clean(scan_annotation_tsv(spark, path)))
-            cleaned.write.mode("overwrite").parquet(f"{out}/part={name}")
+            skip_if_materialized(spark, target, build, [path])
             return name, "landed", None
-        except Exception as error:  # one bad file must not cost the others
+        except (PySparkException, Py4JJavaError) as error:
+            if not UNREADABLE.search(str(error)):
+                raise
             LOGGER.warning("part %s left out: %s", name, error)
             return name, "failed", type(error).__name__
 
@@ -117,4 +135,4 @@ def stitch_parts(
     if not landed:
         raise RuntimeError(f"none of the {len(outcomes)} source files could be read")
     report = spark.createDataFrame(outcomes, "part string, status string, message string")
-    return union_chromosome_parts(spark, landed), report
+    return union_chromosome_parts(spark, landed), sink_parquet(report, f"{out}.report")

@@ -32,22 +32,26 @@ def scan_event_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     """Events with typed numbers; blank and malformed lines are skipped, non-finite numbers NULL.
 
     Lines are parsed as text fields first: a number written as text, or text in a number field,
-    never costs the rest of its event.
+    never costs the rest of its event. ``day`` is the folder a log is partitioned by, so a filter on
+    it reads only those folders; a log without day folders takes it from the timestamp.
     """
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select("value")
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    partitioned = "day" in lines.columns
     parsed = lines.where(F.trim("value") != "").select(
-        F.from_json("value", EVENT_TEXT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e")
+        F.from_json("value", EVENT_TEXT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"),
+        *([F.col("day").cast("string").alias("folder")] if partitioned else []),
     )
+    day = F.col("folder") if partitioned else F.substring("e.timestamp", 1, 10)
     good = parsed.where(F.col("e").isNotNull() & F.col("e._corrupt_record").isNull())
     return good.select(
         *[F.col(f"e.{n}").alias(n) for n in EVENT_TEXT],
         *[to_number(F.col(f"e.{n}")).alias(n) for n in EVENT_NUMERIC],
         F.col("e.prediction").try_cast("double").try_cast("int").alias("prediction"),
+        day.alias("day"),
     )
 
 
 def recent_events(events: DataFrame, limit: int = 100, order: Sequence[str] = ("timestamp",), ties: Sequence[str] = ()) -> DataFrame:
-    """The newest events, between 1 and 1000 of them."""
-    bounded = max(1, min(1000, int(limit)))
+    """The newest ``limit`` events."""
     keys = [F.desc_nulls_last(c) for c in order] + [F.asc_nulls_last(c) for c in ties]
-    return events.orderBy(*keys).limit(bounded)
+    return events.orderBy(*keys).limit(limit)

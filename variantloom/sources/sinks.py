@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from variantloom.functions.scoring import percent_text, triage_label
 from variantloom.functions.values import finite
-from variantloom.session import path_exists
+from variantloom.session import fingerprint, path_exists
 
 
 def scan_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
@@ -25,16 +25,34 @@ def sink_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by
     return df.sparkSession.read.parquet(path)
 
 
-def skip_if_materialized(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Compute a stage only when its finished output is not there yet.
+def skip_if_materialized(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], inputs: Sequence[str] | None = None, *options: object
+) -> DataFrame:
+    """Compute a stage only when its finished output is not there yet, or was made from other inputs.
 
-    A folder without the success marker is a broken attempt and is written again.
+    A folder without the success marker is a broken attempt and is written again. With ``inputs`` the
+    names, sizes and times of those files, and the options, are stored beside the stage after it.
     """
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+    mark = None if inputs is None else fingerprint(spark, inputs, *options)
+    if not path_exists(spark, f"{path}/_SUCCESS") or (mark is not None and stored_mark(spark, path) != mark):
         build().write.mode("overwrite").parquet(path)
+        if mark is not None:
+            store_mark(spark, path, mark)
     return spark.read.parquet(path)
 
 
+def stored_mark(spark: SparkSession, path: str) -> str | None:
+    """The input fingerprint that a stage was finished with."""
+    if not path_exists(spark, f"{path}.inputs/_SUCCESS"):
+        return None
+    row = spark.read.text(f"{path}.inputs").first()
+    return row["value"] if row else None
+
+
+def store_mark(spark: SparkSession, path: str, mark: str) -> None:
+    spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.inputs")
+
+
 def without_nonfinite(df: DataFrame) -> DataFrame:
     """NaN and infinite numbers become NULL at every depth."""
 

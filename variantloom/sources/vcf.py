@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from variantloom.functions.genomic import allele_kind, normalize_chrom
 
-MIN_LIMIT, MAX_LIMIT = 1, 5000
-
 
 def parse_vcf_lines(lines: DataFrame, column: str = "value", carry: Sequence[str] = (), dialect: str = "canonical") -> DataFrame:
     """One row per ALT allele of every data line; headers, blank and short lines are skipped."""
@@ -41,7 +39,7 @@ def scan_vcf(spark: SparkSession, paths: str | Sequence[str], dialect: str = "ca
 
 
 def vcf_limit(records: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` allele rows in file order (1 to 5000, so a bounded top-k)."""
-    if not MIN_LIMIT <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be between {MIN_LIMIT} and {MAX_LIMIT}")
+    """The first ``limit`` allele rows in file order (1 or more)."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
     return records.orderBy("file", "block", "line_id", "alt_index").limit(limit)
