@@ -95,13 +95,22 @@ def _moments(table: str, column: str, feature: str) -> str:
 
 
 _FEATURES = ["CADD", "SIFT", "PolyPhen", "ALT_FREQ"]
-ORACLE_VIEWS["o_drift"] = f"""
+
+
+def _drift(events: str) -> str:
+    return f"""
 SELECT r.feature, r.mean AS reference_mean, r.std AS reference_std, r.missing_rate AS reference_missing_rate, r.rows AS reference_rows,
   c.mean AS current_mean, c.missing_rate AS current_missing_rate, c.rows AS current_rows, abs(c.mean - r.mean) AS mean_delta,
   greatest(r.std, CAST(0.05 AS DOUBLE)) AS threshold, abs(c.mean - r.mean) > greatest(r.std, CAST(0.05 AS DOUBLE)) AS drifted
 FROM ({' UNION ALL '.join(_moments('o_encoded', f, f) for f in _FEATURES)}) r
-JOIN ({' UNION ALL '.join(_moments('prediction_events', f.lower(), f) for f in _FEATURES)}) c ON r.feature = c.feature
+JOIN ({' UNION ALL '.join(_moments(events, f.lower(), f) for f in _FEATURES)}) c ON r.feature = c.feature
 """
+
+
+ORACLE_VIEWS["o_drift"] = _drift("prediction_events")
+ORACLE_VIEWS["o_events_before"] = """SELECT * FROM prediction_events
+WHERE ts < (SELECT date_trunc('minute', max(ts)) - INTERVAL 1 MINUTE FROM prediction_events)"""
+ORACLE_VIEWS["o_drift_before"] = _drift("o_events_before")
 _DRIFT_NUMBERS = ["reference_mean", "reference_std", "reference_missing_rate", "current_mean", "current_missing_rate", "mean_delta", "threshold"]
 _DRIFT_SHOWN = "feature, " + ", ".join(f"round({c}, 6) AS {c}" for c in _DRIFT_NUMBERS) + ", reference_rows, current_rows, drifted"
 
@@ -249,8 +258,21 @@ def latency_p95_windowed(t: Tables):
       SELECT 'no events in window' AS rule, 'critical' AS severity, e0 AS v, 1 AS threshold, e0 < 1 AS f0, e1 < 1 AS f1 FROM w
       UNION ALL SELECT 'no successful predictions in window', 'critical', s0, 1, s0 < 1, s1 < 1 FROM w
       UNION ALL SELECT 'prediction errors detected', 'warning', r0, 0, r0 > 0, r1 > 0 FROM w
-      UNION ALL SELECT 'data drift detected', 'warning', drift_score, 0, drift_score > 0, drift_score > 0 FROM o_drift_score) y""",
+      UNION ALL SELECT 'data drift detected', 'warning', drift_score, 0, drift_score > 0,
+        (SELECT bool_or(drifted) FROM o_drift_before) FROM o_drift_score) y""",
 )
 def alert_rules(t: Tables):
-    drift = monitor.drift_score(monitor.drift_feature_stats(encoded(t), t.prediction_events))
-    return monitor.alert_rules(t.prediction_events, drift)
+    reference, log = encoded(t), t.prediction_events
+    held = log.where(F.col("ts") < log.agg(F.date_trunc("minute", F.max("ts")) - F.expr("INTERVAL 1 MINUTE")).scalar())
+    now, before = (monitor.drift_score(monitor.drift_feature_stats(reference, events)) for events in (log, held))
+    return monitor.alert_rules(log, now, drift_before=before)
+
+
+@query(
+    "drift_levels",
+    """SELECT CAST(round(drift_score, 6) AS DOUBLE) AS drift_score,
+      CASE WHEN drift_score >= 0.5 THEN 'high' WHEN drift_score >= 0.25 THEN 'elevated' ELSE 'normal' END AS level FROM o_drift_score""",
+)
+def drift_levels(t: Tables):
+    scores = monitor.drift_score(monitor.drift_feature_stats(encoded(t), t.prediction_events))
+    return rounded(monitor.drift_levels(scores).select("drift_score", "level"))

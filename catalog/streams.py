@@ -44,15 +44,22 @@ def stream_pathogenic_rate(t: Tables):
     return window_text(settle(t, jobs.stream_pathogenic_rate(event_feed(t)), "rate", ["window_start"]))
 
 
-_OUTCOME = "CASE WHEN status = 'error' THEN 'error' WHEN chrom IS NULL THEN 'not_found' ELSE 'found' END"
-
-
 @query(
     "stream_lookup_outcomes",
-    f"SELECT {WINDOW_TEXT}, {_OUTCOME} AS lookup_status, CAST(count(*) AS BIGINT) AS lookups FROM o_windowed GROUP BY 1, 2, 3",
+    f"""SELECT {WINDOW_TEXT}, lookup_status, CAST(count(*) AS BIGINT) AS lookups FROM (
+      SELECT w.window_start, w.window_end, CASE WHEN r.k_pos IS NULL THEN 'error' WHEN s.chrom IS NULL THEN 'not_found' ELSE 'found' END AS lookup_status
+      FROM o_requests r JOIN o_windowed w ON w.event_id = r.request_id % (SELECT max(event_id) + 1 FROM prediction_events)
+      LEFT JOIN o_store s ON r.k_chrom = s.chrom AND r.k_pos = s.pos AND r.k_ref = s.ref AND r.k_alt = s.alt) x GROUP BY 1, 2, 3""",
 )
 def stream_lookup_outcomes(t: Tables):
-    lookups = event_feed(t).withColumn("lookup_status", F.expr(_OUTCOME))
+    """Requests, each at the time of one event, looked up in the store as they arrive."""
+    events = t.prediction_events.select(F.col("event_id").alias("_event"), "ts")
+    last = events.agg(F.max("_event") + 1).scalar()
+    timed = t.variant_requests.withColumn("_event", F.col("request_id") % last).join(events, "_event").drop("_event")
+    path = fresh_path(t.spark, "timed-requests")
+    timed.write.parquet(path)
+    feed = feeds.file_stream(t.spark, path, t.spark.read.parquet(path).schema)
+    lookups = jobs.stream_lookups(feed, resolved_store(t))
     return window_text(settle(t, jobs.stream_lookup_outcomes(lookups), "lookups", ["window_start", "lookup_status"]))
 
 

@@ -60,7 +60,9 @@ def test_alert_fires_only_when_the_breach_holds(spark):
     events = spark.createDataFrame(rows, "ts timestamp_ntz, status string")
     got = {r.rule: r.state for r in monitor.alert_rules(events, drift).collect()}
     # the error at minute 9 is inside [5, 10) but not inside [4, 9)
-    assert got["prediction errors detected"] == "pending" and got["data drift detected"] == "firing"
+    assert got["prediction errors detected"] == "pending" and got["data drift detected"] == "pending"
+    held = {r.rule: r.state for r in monitor.alert_rules(events, drift, drift_before=drift).collect()}
+    assert held["data drift detected"] == "firing"
     assert got["no events in window"] == "normal"
 
 
@@ -107,3 +109,51 @@ def test_stream_drift_adds_up_over_restarts(spark):
     got = {r.feature: r for r in jobs.current_drift(spark, out, reference).collect()}
     whole = {r.feature: r for r in monitor.feature_moments(make_events(spark, 100).withColumnsRenamed({"cadd": "CADD", "sift": "SIFT", "polyphen": "PolyPhen", "alt_freq": "ALT_FREQ"})).collect()}
     assert all(got[f].current_mean == pytest.approx(whole[f]["mean"]) and got[f].current_rows == 100 for f in got) and len(got) == 4
+
+
+def test_stream_state_does_not_grow(spark):
+    path, out, checkpoint = (fresh_path(spark, n) for n in ("feed", "windows", "checkpoint"))
+    schema = make_events(spark, 1).schema
+    sizes = []
+    for part in range(5):
+        make_events(spark, 60, first=60 * part).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.stream_event_counts(feeds.file_stream(spark, path, schema))
+        jobs.run_to_table(spark, stream, out, checkpoint, ["window_start", "endpoint", "status"])
+        sizes.append(len(feeds.finished_states(spark, out)))
+    assert max(sizes) <= 2
+
+
+def test_replayed_batch_counts_once(spark):
+    """A batch saved twice, as after a failure, starts from the state before it both times."""
+    out = fresh_path(spark, "replayed")
+    events = make_events(spark, 40)
+    for batch_id in (0, 1, 1):
+        done = [n for n in feeds.finished_states(spark, out) if n < batch_id]
+        rows = jobs.batch_moments(events)
+        if done:
+            rows = spark.read.parquet(f"{out}/state={done[-1]}").unionByName(rows)
+        jobs.fold_moments(rows).write.mode("overwrite").parquet(f"{out}/state={batch_id}")
+    assert {r.rows for r in feeds.read_state(spark, out).collect()} == {80}
+
+
+def test_moments_of_large_values_keep_their_digits(spark):
+    values = [1e9 + x for x in (0.0, 1.0, 2.0, 3.0)]
+    frames = [spark.createDataFrame([(v, 0.0, 0.0, 0.0)], "CADD double, SIFT double, PolyPhen double, ALT_FREQ double") for v in values]
+    state = jobs.batch_moments(frames[0])
+    for frame in frames[1:]:
+        state = jobs.fold_moments(state.unionByName(jobs.batch_moments(frame)))
+    got = {r.feature: r for r in jobs.merged_moments(state).collect()}
+    assert got["CADD"].std == pytest.approx(1.25**0.5) and got["CADD"].rows == 4
+
+
+def test_drift_skips_columns_one_side_lacks(spark):
+    left = spark.createDataFrame([(1.0, 0.5, "x", 1), (2.0, 0.4, "y", 0)], "CADD double, SIFT double, mutation_type string, prediction int")
+    right = spark.createDataFrame([(1.0, "x", 1)], "CADD double, mutation_type string, prediction int")
+    got = {r.feature: r for r in monitor.distribution_drift(left, right).collect()}
+    assert set(got) == {"CADD", "mutation_type", "prediction"} and got["CADD"].ks is not None and got["prediction"].ks is None
+
+
+def test_stream_lookups_ask_the_store(spark):
+    store = spark.createDataFrame([("1", 5, "A", "G", 0.1, 0.2, 30.0, 0.0, "local")], "k_chrom string, k_pos bigint, k_ref string, k_alt string, sift double, polyphen double, cadd double, alt_freq double, feature_source string")
+    requests = spark.createDataFrame([("chr1", "5", "a", "g"), ("1", "6", "A", "G"), ("1", "x", "A", "G")], "chrom string, pos string, ref string, alt string")
+    assert [r.lookup_status for r in jobs.stream_lookups(requests, store).orderBy("pos").collect()] == ["found", "not_found", "error"]

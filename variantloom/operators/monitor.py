@@ -145,6 +145,9 @@ def dashboard_totals(counters: DataFrame, drift: DataFrame) -> DataFrame:
 # --- drift ------------------------------------------------------------------------------
 
 
+MOMENTS = ("feature", "mean", "std", "missing_rate", "rows")
+
+
 def feature_moments(df: DataFrame, exclude_sentinels: bool = False, features: Sequence[str] = MONITORED_FEATURES) -> DataFrame:
     """Mean, deviation, missing rate and row count per monitored feature, in one pass.
 
@@ -168,6 +171,10 @@ def feature_moments(df: DataFrame, exclude_sentinels: bool = False, features: Se
     return df.agg(*stats).select(F.inline(F.array(*entries)))
 
 
+def current_moments(events: DataFrame) -> DataFrame:
+    return feature_moments(rename_monitoring_columns(events))
+
+
 def compare_moments(reference: DataFrame, current: DataFrame, floor: float = 0.05) -> DataFrame:
     """Drift of the current mean against the reference spread, per feature with values on both sides."""
     ref = reference.select("feature", *[F.col(c).alias(f"reference_{c}") for c in ("mean", "std", "missing_rate", "rows")])
@@ -199,9 +206,11 @@ def drift_score(stats: DataFrame) -> DataFrame:
 def drift_summary(reference: DataFrame, events: DataFrame) -> DataFrame:
     """The nested summary: the score with its per-feature rows (at most the monitored four).
 
-    Row counts come from the tables themselves, so they hold even when no feature is comparable.
+    ``reference`` is a table or its ``feature_moments``. Row counts come from the tables themselves, so
+    they hold even when no feature is comparable.
     """
-    ref, cur = feature_moments(reference), feature_moments(rename_monitoring_columns(events))
+    ref = reference if set(MOMENTS) <= set(reference.columns) else feature_moments(reference)
+    cur = current_moments(events)
     stats = compare_moments(ref, cur)
     detail = F.struct(
         "feature", "reference_mean", "current_mean", "reference_std", "mean_delta", "threshold", "drifted",
@@ -224,12 +233,14 @@ def drift_profile_report(reference: DataFrame, events: DataFrame) -> DataFrame:
 
 # legal ranges cut into ten equal bins for the distribution distances
 DISTRIBUTION_RANGES = {"CADD": (0.0, 60.0), "SIFT": (0.0, 1.0), "PolyPhen": (0.0, 1.0), "ALT_FREQ": (0.0, 1.0)}
+DRIFT_CATEGORICAL = ("CHROM", "mutation_type", "prediction")
 EPSILON = 1e-4
 
 
-def _binned(df: DataFrame, side: str, categorical: Sequence[str]) -> DataFrame:
+def _binned(df: DataFrame, side: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     cells = []
-    for f, (low, high) in DISTRIBUTION_RANGES.items():
+    for f in numeric:
+        low, high = DISTRIBUTION_RANGES[f]
         x = to_number(F.col(f))
         number = F.least(F.lit(9), F.greatest(F.lit(0), F.floor((x - low) / (high - low) * 10)))
         missing = x.isNull() | (x < low)
@@ -238,14 +249,20 @@ def _binned(df: DataFrame, side: str, categorical: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells))).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias(side))
 
 
-def distribution_drift(reference: DataFrame, events: DataFrame, categorical: Sequence[str] = ("CHROM",)) -> DataFrame:
+def distribution_drift(reference: DataFrame, events: DataFrame, categorical: Sequence[str] = DRIFT_CATEGORICAL) -> DataFrame:
     """Population stability index, Jensen-Shannon distance and two-sample KS per common column.
 
-    Both sides are reduced to bin counts (for KS, value counts) before they meet; they meet in a
-    grouped union, not in a join. KS is NULL for categorical columns.
+    Columns that one side lacks are left out. Both sides are reduced to bin counts (for KS, value
+    counts) before they meet; they meet in a grouped union, not in a join. KS is NULL for categorical
+    columns.
     """
     current = rename_monitoring_columns(events)
-    ref, cur = _binned(reference, "r", categorical), _binned(current, "c", categorical)
+    common = set(reference.columns) & set(current.columns)
+    numeric = [c for c in DISTRIBUTION_RANGES if c in common]
+    text = [c for c in categorical if c in common]
+    if not numeric and not text:
+        return reference.sparkSession.createDataFrame([], "feature string, psi double, js_distance double, ks double")
+    ref, cur = _binned(reference, "r", numeric, text), _binned(current, "c", numeric, text)
     union = ref.unionByName(cur, allowMissingColumns=True)
     bins = union.groupBy("feature", "bin").agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
     whole = Window.partitionBy("feature")
@@ -257,7 +274,10 @@ def distribution_drift(reference: DataFrame, events: DataFrame, categorical: Seq
         F.sum((q - p) * F.log(q / p)).alias("psi"),
         F.sqrt(F.greatest(F.lit(0.0), F.sum(p * F.log(p / m) + q * F.log(q / m)) / 2)).alias("js_distance"),
     )
-    return distances.join(F.broadcast(ks_statistic(reference, current)), "feature", "left")
+    if not numeric:
+        return distances.withColumn("ks", F.lit(None).cast("double"))
+    # one row for each numeric column of the schema
+    return distances.join(F.broadcast(ks_statistic(reference, current, numeric)), "feature", "left")
 
 
 def ks_statistic(reference: DataFrame, current: DataFrame, features: Sequence[str] = MONITORED_FEATURES) -> DataFrame:
@@ -336,11 +356,12 @@ def lookup_outcomes(batch_events: DataFrame, ts: str = "ts") -> DataFrame:
     return windowed(batch_events, ["lookup_status"], [F.count(F.lit(1)).alias("lookups")], ts)
 
 
-def alert_rules(events: DataFrame, drift: DataFrame, ts: str = "ts", hold_minutes: int = 1) -> DataFrame:
+def alert_rules(events: DataFrame, drift: DataFrame, ts: str = "ts", hold_minutes: int = 1, drift_before: DataFrame | None = None) -> DataFrame:
     """State of every rule at the newest event: (rule, severity, value, threshold, state).
 
     The windows that end at the last full minute and ``hold_minutes`` before are compared; a rule
-    fires when both breach, is pending when only the newest does. ``drift`` is a ``drift_score`` row.
+    fires when both breach, is pending when only the newest does. ``drift`` is a ``drift_score`` row, and
+    ``drift_before`` the one of the events before the hold; without it drift has not been held yet.
     """
     newest = events.agg(F.date_trunc("minute", F.max(ts)).alias("_t")).scalar()
     stamp = F.col(ts).cast("timestamp")
@@ -359,14 +380,15 @@ def alert_rules(events: DataFrame, drift: DataFrame, ts: str = "ts", hold_minute
             count_if(inside & (F.col("status") == "error")).alias(f"errors_in_window_{tag}"),
         ]
     values = recent.agg(*counts).withColumn("drift_score_now", drift.agg(F.max("drift_score")).scalar())
-    values = values.withColumn("drift_score_before", F.col("drift_score_now"))
+    before_score = F.lit(None).cast("double") if drift_before is None else drift_before.agg(F.max("drift_score")).scalar()
+    values = values.withColumn("drift_score_before", before_score)
     rows = []
     for name, metric, comparison, threshold, severity, no_data in ALERT_RULES:
         now_value, before = F.col(f"{metric}_now").cast("double"), F.col(f"{metric}_before").cast("double")
         breach = (lambda v: v < threshold) if comparison == "<" else (lambda v: v > threshold)
         state = (
             F.when(now_value.isNull(), no_data)
-            .when(breach(now_value) & breach(before), "firing")
+            .when(breach(now_value) & F.coalesce(breach(before), F.lit(False)), "firing")
             .when(breach(now_value), "pending")
             .otherwise("normal")
         )
@@ -379,5 +401,10 @@ def alert_rules(events: DataFrame, drift: DataFrame, ts: str = "ts", hold_minute
     return values.select(F.inline(F.array(*rows)))
 
 
+def drift_levels(scores: DataFrame) -> DataFrame:
+    """``drift_score`` rows with their panel level."""
+    return scores.withColumn("level", drift_level(F.col("drift_score")))
+
+
 def drift_level(score: Column) -> Column:
     return F.when(score >= 0.5, "high").when(score >= 0.25, "elevated").otherwise("normal")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from variantloom.session import hadoop_path, list_names, path_exists
+
 WATERMARK = "10 minutes"
 
 
@@ -27,30 +29,59 @@ def event_time(events: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> Dat
 
 
 def write_updates(
-    stream: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None
+    stream: DataFrame, out: str, checkpoint: str, fold: Callable[[DataFrame], DataFrame], transform: Callable[[DataFrame, int], DataFrame],
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Each micro-batch's changed rows go to ``out/batch_id=<n>``.
+    """Fold each micro-batch into one current table, ``out/state=<batch id>``.
 
-    A batch that is replayed after a failure overwrites its own folder, so the output holds
-    every change exactly once.
+    ``transform`` gives the state's columns from a batch and its number; ``fold`` brings the rows of the last state and of the batch down to the new state. A state is
+    written beside the one it follows and then takes its place; older ones are deleted, so the number
+    of files does not grow with the stream. A batch that is replayed after a failure starts again
+    from the state before it.
     """
+    spark = stream.sparkSession
 
     def save(rows: DataFrame, batch_id: int) -> None:
-        changed = transform(rows) if transform else rows
-        changed.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        changed = transform(rows, batch_id)
+        done = finished_states(spark, out)
+        before = [n for n in done if n < batch_id]
+        if before:
+            changed = spark.read.parquet(f"{out}/state={before[-1]}").unionByName(changed)
+        fold(changed).write.mode("overwrite").parquet(f"{out}/state={batch_id}")
+        for old in [n for n in done if n != batch_id and n not in before[-1:]]:
+            fs, target = hadoop_path(spark, f"{out}/state={old}")
+            fs.delete(target, True)
 
     writer = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_updates(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", out).parquet(out)
+def finished_states(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the complete states, at most the last three batches'."""
+    if not path_exists(spark, out):
+        return []
+    numbers = [int(n.removeprefix("state=")) for n in list_names(spark, out) if n.startswith("state=")]
+    return sorted(n for n in numbers if path_exists(spark, f"{out}/state={n}/_SUCCESS"))
+
+
+def read_state(spark: SparkSession, out: str) -> DataFrame:
+    """The newest complete state."""
+    return spark.read.parquet(f"{out}/state={finished_states(spark, out)[-1]}")
+
+
+def numbered(rows: DataFrame, batch_id: int) -> DataFrame:
+    return rows.withColumn("_batch", F.lit(batch_id))
+
+
+def newest_row(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Fold that keeps the row with the largest ``_batch`` of each key."""
 
+    def fold(rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c not in keys]
+        picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_row"))
+        return picked.select(*keys, "_row.*")
 
-def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Current value per key: the row of its newest micro-batch."""
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch_id")))
-    return updates.withColumn("_n", newest).where(F.col("_n") == 1).drop("_n", "batch_id")
+    return fold
 
 
 def append_stream(stream: DataFrame, out: str, checkpoint: str, file_format: str = "parquet", trigger: dict | None = None) -> StreamingQuery:
