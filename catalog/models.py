@@ -1,6 +1,6 @@
-"""Training queries (checked by rows only: tree and optimiser results have no SQL form).
+"""Training queries with the operators' own settings (tree and optimiser results have no SQL form).
 
-Tree counts and depths are sized for the test tables; the operators' defaults are the full settings.
+A model that several queries use is trained once per application, like any stored stage.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from catalog.lookup import resolved_store
 from variantloom.operators import evaluate, models, scoring
 from variantloom.session import path_exists
 
-GBT = {"max_iter": 20, "step": 0.2, "max_depth": 5}
-FOREST = {"trees": 30, "max_depth": 8}
-
 
 def split_table(t: Tables) -> DataFrame:
     return t.stored("training_split", lambda: models.split_training_table(encoded(t)))
@@ -32,7 +29,15 @@ def fitted(t: Tables, name: str, train) -> PipelineModel:
 
 
 def gbt(t: Tables) -> PipelineModel:
-    return fitted(t, "gbt", lambda rows: models.train_gbt(rows, **GBT))
+    return fitted(t, "gbt", models.train_gbt)
+
+
+def logistic(t: Tables) -> PipelineModel:
+    return fitted(t, "logistic", models.train_logistic)
+
+
+def forest(t: Tables) -> PipelineModel:
+    return fitted(t, "forest", models.train_forest)
 
 
 @query("train_gbt")
@@ -43,9 +48,9 @@ def train_gbt(t: Tables):
 @query("train_baselines")
 def train_baselines(t: Tables):
     rows = split_table(t)
-    logistic = fitted(t, "logistic", models.train_logistic)
-    forest = fitted(t, "forest", lambda split: models.train_forest(split, **FOREST))
-    return models.evaluate_model("logistic regression", logistic, rows).unionByName(models.evaluate_model("random forest", forest, rows))
+    baselines = {"logistic regression": logistic(t), "random forest": forest(t)}
+    first, second = (models.evaluate_model(name, model, rows) for name, model in baselines.items())
+    return first.unionByName(second)
 
 
 @query("benchmark_models")
@@ -53,9 +58,9 @@ def benchmark_models(t: Tables):
     return models.benchmark_models(
         split_table(t),
         {
-            "logistic regression": models.train_logistic,
-            "random forest": lambda split: models.train_forest(split, **FOREST),
-            "gradient boosted trees": lambda split: models.train_gbt(split, **GBT),
+            "logistic regression": lambda split: logistic(t),
+            "random forest": lambda split: forest(t),
+            "gradient boosted trees": lambda split: gbt(t),
         },
     )
 
@@ -72,7 +77,8 @@ def permutation_importance(t: Tables):
 
 @query("ablation")
 def ablation(t: Tables):
-    return models.ablation(split_table(t), lambda rows, columns: models.train_gbt(rows, columns, max_iter=10, step=0.3, max_depth=4))
+    whole = list(models.FEATURE_ORDER)
+    return models.ablation(split_table(t), lambda rows, columns: gbt(t) if list(columns) == whole else models.train_gbt(rows, columns))
 
 
 @query("vcf_batch_score_model")
@@ -90,7 +96,7 @@ def cv_model_folds(t: Tables):
     parts = []
     for fold in range(1, 6):
         split = folded.withColumn("split", F.when(F.col("fold") == fold, "test").otherwise("train"))
-        model = models.train_logistic(split, max_iter=50)
+        model = models.train_logistic(split)
         parts.append(models.model_scorer(model)(split.where("split = 'test'")).select("fold", F.col("Target").alias("target"), "probability"))
     scored = parts[0]
     for part in parts[1:]:

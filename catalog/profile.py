@@ -247,7 +247,7 @@ def high_correlation_pairs(t: Tables):
     ORDER BY abs_standardized_delta DESC, feature LIMIT 20""",
 )
 def class_separation(t: Tables):
-    return rounded(profile.class_separation(encoded(t), histogram(t)))
+    return rounded(profile.class_separation(histogram(t)))
 
 
 @query(

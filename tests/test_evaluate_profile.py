@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from variantloom.operators import evaluate, profile
+from variantloom.operators import evaluate, profile, scoring
 from variantloom.operators.ranks import bucket_count, exact_quantiles, prefix_sums
 
 SCORED = "target int, probability double"
@@ -77,7 +77,7 @@ def test_prefix_sums_per_group(spark):
 
 
 def test_bucket_count_grows_with_the_histogram_and_any_power_of_two_works(spark):
-    assert [bucket_count(n) for n in (10, 64_000_001, 10**12)] == [64, 128, 1024]
+    assert [bucket_count(n) for n in (10, 64_000_001, 10**12)] == [64, 128, 1048576]
     hist = spark.createDataFrame([(float(v), 1) for v in range(50)], "value double, n long")
     for buckets in (2, 256):
         got = prefix_sums(hist, [], "value", ["n"], buckets).orderBy("value").collect()
@@ -135,3 +135,54 @@ def test_audit_exact_and_approximate_agree_on_small_tables(spark):
         rows = {r.column: r for r in profile.schema_audit(df, approximate=approximate).collect()}
         assert (rows["n"].non_null, rows["n"].null_count, rows["n"].unique_values) == (2, 1, 2)
         assert rows["s"].unique_values == 2
+
+
+def test_sort_modes_order_rows_with_missing_last(spark):
+    rows = [("1", "5", "A", "G", 0.2, 0.8), ("2", "1", "A", "G", 0.9, 0.9), ("X", "7", "C", "T", None, None), ("10", "3", "A", "G", 0.9, 0.6), ("2", "1", "A", "C", 0.2, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "request_id int, chrom string, pos string, ref string, alt string, probability double, confidence_score double")
+    order = {mode: [r.request_id for r in scoring.sort_batch_results(df, mode, ties=["request_id"]).collect()] for mode in scoring.SORT_MODES}
+    assert order["probability_desc"] == [1, 3, 0, 4, 2]
+    assert order["probability_asc"] == [0, 4, 1, 3, 2]
+    assert order["confidence_desc"] == [1, 0, 3, 2, 4]
+    labels = [f"{c}:{p} {r}>{a}" for c, p, r, a, *_ in rows]
+    assert order["variant_asc"] == sorted(range(5), key=lambda i: (labels[i], i))
+
+
+def test_models_rank_by_ap_then_f1_then_name(spark):
+    table = spark.createDataFrame([("b", 0.9, 0.5), ("a", 0.9, 0.5), ("c", 0.9, 0.7), ("d", 0.95, 0.1)], "model string, pr_auc double, f1_score double")
+    assert [r.model for r in evaluate.rank_models(table).collect()] == ["d", "c", "a", "b"]
+    assert evaluate.winner(table).first().model == "d"
+
+
+def test_missing_probabilities_count_nowhere(spark):
+    clean = scored(spark, [(0, 0.2), (1, 0.7), (1, 0.4)])
+    dirty = scored(spark, [(0, 0.2), (1, 0.7), (1, 0.4), (1, float("nan")), (0, None)])
+    for df in (clean, dirty):
+        m = evaluate.classification_metrics(df, 0.4).first()
+        assert (m.tp, m.fp, m.tn, m.fn) == (2, 0, 1, 0) and m.pr_auc == 1.0 and m.brier_score == pytest.approx((0.04 + 0.09 + 0.36) / 3)
+    sweep = [evaluate.threshold_sweep(df, 10).select("threshold", "tp", "fp").collect() for df in (clean, dirty)]
+    assert sorted(sweep[0]) == sorted(sweep[1])
+
+
+def test_a_chosen_threshold_means_the_same_in_metrics_and_calls(spark):
+    df = scored(spark, [(1, 0.4), (0, 0.39)])
+    assert evaluate.confusion_at_threshold(df, 0.4).first().tp == 1
+    assert [r.label for r in scoring.score_postprocess(df, 0.4).orderBy("probability").collect()] == ["BENIGN", "PATHOGENIC"]
+    assert scoring.score_postprocess(scored(spark, [(1, 0.5)])).first().prediction == 0
+
+
+def test_many_classes_and_categories(spark):
+    df = spark.range(3000).select(F.format_string("c%05d", F.col("id") % 1500).alias("k"), F.col("id").alias("key"))
+    split = evaluate.stratified_split_exact(df, "k", ["key"], (0.5, 0.0))
+    assert {r["count"] for r in split.where("split = 'train'").groupBy("k").count().collect()} == {1}
+    codes = {r.k: r.k_code for r in evaluate.category_codes(df, ["k"]).collect()}
+    assert codes == {f"c{i:05d}": i for i in range(1500)}
+    gaps = spark.createDataFrame([("b",), (None,), ("a",)], "k string")
+    assert {r.k: r.k_code for r in evaluate.category_codes(gaps, ["k"]).collect()} == {"a": 0, "b": 1, None: -1}
+
+
+def test_correlation_uses_every_row_that_has_both_values(spark):
+    rows = [(float(i), 2.0 * i, None if i % 3 else float(-i), i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, Target int")
+    got = {(r.feature_a, r.feature_b): r.r for r in profile.high_correlation_pairs(df).collect()}
+    assert got == {("a", "b"): pytest.approx(1.0), ("a", "c"): pytest.approx(-1.0), ("b", "c"): pytest.approx(-1.0)}

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from variantloom.contract import FEATURE_ORDER, OPTIMIZED_ORDER
 from variantloom.functions.genomic import normalize_chrom
-from variantloom.operators import features, ingest
+from variantloom.operators import features, ingest, models
+from variantloom.session import materialize
 
 CLEAN = (
     "chrom string, pos bigint, ref string, alt string, SIFT_score double, Polyphen2_HDIV_score double, "
@@ -98,3 +99,21 @@ def test_encode_keeps_rows_and_flags_stay_binary(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="gnomAD_exomes_AF"):
         features.encode_features(spark.createDataFrame([("1",)], "chrom string"))
+
+
+def test_long_alleles_stay_inside_their_type(spark):
+    rows = encode(spark, ("1", 10, "A", "G" * 40001, 0.1, 0.2, 30.0, 0.0))
+    assert rows[0].Delta_Length == 32767 and rows[0].indel_size == 32767
+    wide = spark.createDataFrame([(1e9, None)], "Delta_Length double, indel_size double")
+    kept = ingest.enforce_contract(wide, fill_missing=True).first()
+    assert (kept.Delta_Length, kept.indel_size) == (32767, 0) and None not in kept
+
+
+def test_training_and_importance_with_many_contigs(spark):
+    rows = [(f"K{i % 90}", 1000 + i, "A", "G" if i % 2 else "T", 0.1 + i % 2, 0.2, float(i % 2 * 20 + i % 5), 0.0, i % 2) for i in range(400)]
+    encoded = materialize(features.encode_features(spark.createDataFrame(rows, CLEAN)), "encoded")
+    split = models.split_training_table(encoded)
+    model = models.train_gbt(split, max_iter=1, max_depth=2)
+    assert models.model_scorer(model)(encoded).where("probability IS NOT NULL").count() == 400
+    importance = {r.feature: r.importance for r in models.permutation_importance(model, encoded).collect()}
+    assert set(importance) == set(FEATURE_ORDER) and max(importance.values()) > 0

@@ -37,10 +37,15 @@ def first_number(df: DataFrame, names: Sequence[str]) -> Column:
     return F.coalesce(*present) if present else F.lit(None).cast("double")
 
 
-def first_present(df: DataFrame, names: Sequence[str]) -> Column:
-    """First alias column that is neither NULL nor empty text."""
-    present = [F.nullif(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names if n in df.columns]
-    return F.coalesce(*present) if present else F.lit(None).cast("string")
+INTEGER_RANGES = {"tinyint": (-128, 127), "smallint": (-32768, 32767)}
+
+
+def within_type(c: Column, kind: str) -> Column:
+    """Cast that keeps a number too large for a small integer type at the end of its range."""
+    if kind in INTEGER_RANGES:
+        low, high = INTEGER_RANGES[kind]
+        c = F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+    return c.try_cast(kind)
 
 
 def ratio(top: Column, bottom: Column, default: float | None = None) -> Column:
@@ -59,7 +64,3 @@ def count_if(condition: Column) -> Column:
 
 def at_least_one(n: Column) -> Column:
     return F.greatest(n, F.lit(1))
-
-
-def iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")

@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer, StringIndexer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variantloom.functions.values import count_if, ratio
+from variantloom.functions.values import count_if, finite, ratio
 from variantloom.operators.ranks import prefix_sums
 from variantloom.session import materialize
 
 SEED = 42
 # leading hex digits of the md5: 65536 even slices, known without looking at the data
 SLICE_DIGITS = 4
-MAX_CLASSES = 1000
 
 
 # --- splits and samples -----------------------------------------------------------------
@@ -57,34 +56,33 @@ def stratified_kfold(df: DataFrame, key: Sequence[str], k: int = 5, seed: int =
 
 
 def hash_cutoffs(df: DataFrame, group: str, key: Sequence[str], quotas: dict[str, Column], seed: int = SEED) -> DataFrame:
-    """Per group, the largest row hash inside each quota of rows (a handful of rows).
+    """Per group, the largest row hash inside each quota of rows (one row for each group).
 
-    Rows are counted per hash slice; only the slice in which a quota ends is looked at row by
-    row. ``quotas`` maps a name to a column over the group size ``n``.
+    Rows are counted per hash slice; only the slices in which quotas end are looked at row by row, in one
+    pass for all quotas. ``quotas`` maps a name to a column over the group size ``n``.
     """
     hashed = df.select(F.struct(F.col(group).alias("v")).alias("_g"), row_hash(key, seed).alias("_h"))
     counts = hashed.groupBy("_g", F.substring("_h", 1, SLICE_DIGITS).alias("_slice")).agg(F.count(F.lit(1)).alias("_c"))
     counts = materialize(counts, "hash-slices")
-    groups = counts.select("_g").distinct().count()
-    if groups > MAX_CLASSES:
-        raise ValueError(f"{group!r} has {groups} classes; quotas are for at most {MAX_CLASSES}")
     by_group = Window.partitionBy("_g")
     sizes = counts.withColumns(
         {"n": F.sum("_c").over(by_group), "_upto": F.sum("_c").over(by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))}
     )
-    found = None
-    for name, quota in quotas.items():
-        ends = sizes.withColumn("_quota", quota).where((F.col("_upto") - F.col("_c") < F.col("_quota")) & (F.col("_quota") <= F.col("_upto")))
-        ends = ends.select("_g", "_slice", (F.col("_quota") - (F.col("_upto") - F.col("_c"))).alias("_inside"))
-        # one slice per class, and the number of classes was checked above
-        candidates = hashed.withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS)).join(F.broadcast(ends), ["_g", "_slice"])
-        per_hash = candidates.groupBy("_g", "_h", "_inside").agg(F.count(F.lit(1)).alias("_m"))
-        upto = F.sum("_m").over(by_group.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))
-        cut = per_hash.withColumn("_u", upto).where(F.col("_u") <= F.col("_inside")).groupBy("_g").agg(F.max("_h").alias(name))
-        # a quota smaller than the first group of copies ends before the slice
-        cut = ends.join(cut, "_g", "left").select("_g", F.coalesce(name, "_slice").alias(name))
-        found = cut if found is None else found.join(cut, "_g", "outer")
-    return found.select(F.col("_g.v").alias(f"_cut_{group}"), *quotas)
+    names = list(quotas)
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), quota.cast("bigint").alias("quota")) for name, quota in quotas.items()])
+    each = sizes.select("_g", "_slice", "_c", "_upto", F.inline(wanted))
+    ends = each.where((F.col("_upto") - F.col("_c") < F.col("quota")) & (F.col("quota") <= F.col("_upto")))
+    ends = materialize(ends.select("_g", "_slice", "name", (F.col("quota") - (F.col("_upto") - F.col("_c"))).alias("_inside")), "quota-ends")
+    slices = ends.select("_g", "_slice").distinct()
+    candidates = hashed.withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS)).join(slices, ["_g", "_slice"], "left_semi")
+    per_hash = candidates.groupBy("_g", "_slice", "_h").agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy("_g", "_slice").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))
+    reached = per_hash.withColumn("_u", upto).join(ends, ["_g", "_slice"]).where(F.col("_u") <= F.col("_inside"))
+    cuts = reached.groupBy("_g", "name").agg(F.max("_h").alias("_cut"))
+    # a quota smaller than the first group of copies ends before the slice
+    cuts = ends.join(cuts, ["_g", "name"], "left").select("_g", "name", F.coalesce("_cut", "_slice").alias("_cut"))
+    found = cuts.groupBy("_g").agg(*[F.max(F.when(F.col("name") == n, F.col("_cut"))).alias(n) for n in names])
+    return found.select(F.col("_g.v").alias(f"_cut_{group}"), *names)
 
 
 def stratified_split_exact(
@@ -102,8 +100,16 @@ def stratified_split_exact(
 
 
 def random_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = SEED) -> DataFrame:
-    """``n`` rows by hash order (each task keeps at most ``n``); the same rows on every run."""
-    return df.withColumn("_h", row_hash(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
+    """``n`` rows by hash order; the same rows on every run.
+
+    Rows are counted per hash slice first, so that only the rows up to the slice in which the sample ends are
+    sorted, not ``n`` rows of every task.
+    """
+    hashed = df.withColumn("_h", row_hash(key, seed))
+    counts = hashed.groupBy(F.substring("_h", 1, SLICE_DIGITS).alias("_slice")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))  # 65536 rows at most
+    last = counts.withColumn("_upto", upto).where(F.col("_upto") - F.col("_c") < n).agg(F.max("_slice")).scalar()
+    return hashed.where(F.substring("_h", 1, SLICE_DIGITS) <= last).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def stratified_sample(df: DataFrame, n: int, target: str, key: Sequence[str], seed: int = SEED) -> DataFrame:
@@ -141,7 +147,7 @@ def threshold_sweep(df: DataFrame, n: int = 50, target: str = "target", p: str =
     """
     cuts = thresholds(n)
     slots = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_p", outputCol="_slot", handleInvalid="skip")
-    placed = slots.transform(df.select(F.col(target).alias("_y"), F.col(p).cast("double").alias("_p")))
+    placed = slots.transform(df.select(F.col(target).alias("_y"), finite(F.col(p)).alias("_p")))
     counts = placed.groupBy(F.col("_slot").cast("int").alias("_slot")).agg(
         F.coalesce(F.sum("_y"), F.lit(0)).alias("pos"), F.count(F.lit(1)).alias("rows")
     )
@@ -172,7 +178,7 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def confusion_at_threshold(
     df: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), target: str = "target", p: str = "probability"
 ) -> DataFrame:
-    hit, positive = F.col(p) >= threshold, F.col(target) == 1
+    hit, positive = finite(F.col(p)) >= threshold, F.col(target) == 1
     counts = df.groupBy(*by).agg(
         count_if(hit & positive).alias("tp"), count_if(hit & ~positive).alias("fp"),
         count_if(~hit & ~positive).alias("tn"), count_if(~hit & positive).alias("fn"),
@@ -194,7 +200,7 @@ def confusion_at_threshold(
 def score_histogram(df: DataFrame, by: Sequence[str] = (), target: str = "target", p: str = "probability") -> DataFrame:
     """Positives and negatives per distinct score, stored: all ranking metrics start here."""
     positive = F.col(target) == 1
-    counts = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("p")).agg(
+    counts = df.where(finite(F.col(p)).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("p")).agg(
         count_if(positive).alias("tp"), count_if(~positive).alias("fp")
     )
     return materialize(counts, "score-histogram")
@@ -245,7 +251,7 @@ def operating_points(
 
 
 def probability_losses(df: DataFrame, by: Sequence[str] = (), target: str = "target", p: str = "probability") -> DataFrame:
-    y, q = F.col(target).cast("double"), F.col(p).cast("double")
+    y, q = F.col(target).cast("double"), finite(F.col(p))
     safe = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), q))
     loss = F.when(q.isNotNull(), -(y * F.log(safe) + (1 - y) * F.log(1 - safe)))
     return df.groupBy(*by).agg(F.avg((q - y) * (q - y)).alias("brier_score"), F.avg(loss).alias("log_loss"))
@@ -329,13 +335,22 @@ def cv_summary(folds: DataFrame) -> DataFrame:
 
 
 def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Adds ``<column>_code``: position among the sorted categories, -1 for NULL."""
-    codes = [f"{c}_code" for c in columns]
-    indexer = StringIndexer(inputCols=list(columns), outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep")
-    indexed = indexer.fit(df).transform(df)
-    return indexed.withColumns(
-        {code: F.when(F.col(c).isNull(), -1).otherwise(F.col(code).cast("int")) for c, code in zip(columns, codes)}
-    )
+    """Adds ``<column>_code``: position among the sorted categories, -1 for NULL.
+
+    The categories are sorted by range partitions and stored; a code is the place in the partition plus the
+    sizes of the partitions before it. Labels never come to the driver.
+    """
+    for c in columns:
+        labels = df.select(F.col(f"`{c}`").alias("_label")).where("_label IS NOT NULL").distinct().orderBy("_label")
+        labels = materialize(labels.withColumn("_part", F.spark_partition_id()), "sorted-categories")
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_label"))
+        sizes = labels.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+        before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+        starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+        codes = labels.withColumn("_place", place).join(starts, "_part").select("_label", (F.col("_start") + F.col("_place") - 1).cast("int").alias("_code"))
+        joined = df.join(codes, F.col(f"`{c}`") == F.col("_label"), "left").drop("_label")
+        df = joined.withColumn(f"{c}_code", F.coalesce("_code", F.lit(-1))).drop("_code")
+    return df
 
 
 def rank_models(table: DataFrame) -> DataFrame:
@@ -347,12 +362,12 @@ def winner(table: DataFrame) -> DataFrame:
 
 
 def select_best_run(
-    runs: DataFrame, metric: str = "pr_auc", minimum: float = 0.80, stage: str = "training", considered: int = 1000
+    runs: DataFrame, metric: str = "pr_auc", minimum: float = 0.80, stage: str = "training"
 ) -> DataFrame:
     """The finished run of a stage with the best metric, newest first among equals; none below the gate."""
     finished = runs.where((F.col("stage") == stage) & (F.col("status") == "FINISHED"))
     order = [F.desc_nulls_last(metric), F.desc_nulls_last("start_time"), F.asc("run_id")]
-    return finished.orderBy(*order).limit(considered).where(F.col(metric) >= minimum).orderBy(*order).limit(1)
+    return finished.where(F.col(metric) >= minimum).orderBy(*order).limit(1)
 
 
 def reuse_or_new_version(wanted: DataFrame, versions: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from variantloom.contract import (
     TRANSVERSION_PAIRS,
 )
 from variantloom.functions.genomic import contig_length, first_base, identity, normalize_chrom, unit_interval
-from variantloom.functions.values import first_number, flag, to_number
+from variantloom.functions.values import first_number, flag, to_number, within_type
 from variantloom.operators.ingest import drop_columns, impute_sentinels, require_columns
 from variantloom.session import materialize
 
@@ -91,7 +91,7 @@ def _position_features(df: DataFrame, length: Column, single_precision: bool) ->
 
 
 def _typed(df: DataFrame, *extra: Column) -> DataFrame:
-    return df.select(*[_c(n).try_cast(FEATURE_TYPES[n]).alias(n) for n in FEATURE_ORDER], *extra)
+    return df.select(*[within_type(_c(n), FEATURE_TYPES[n]).alias(n) for n in FEATURE_ORDER], *extra)
 
 
 def training_rows(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -288,21 +288,19 @@ def feature_skew_report(clean: DataFrame, stats: DataFrame | None = None) -> Dat
         if name in ("chrom_freq_mean", "chrom_rare_rate"):
             own = _c("legacy.ALT_FREQ" if name == "chrom_freq_mean" else "legacy.rare_variant")
             by_side = {"train": F.coalesce(_c(name), F.lit(0.0)), "serve": F.lit(0.0), "legacy": own}
-            return by_side[side].try_cast(FEATURE_TYPES[name])
-        return F.col(f"{side}.{name}").try_cast(FEATURE_TYPES[name])
-
-    counts = []
-    for name in FEATURE_ORDER:
-        for side in ("serve", "legacy"):
-            counts.append(F.count_if(~value("train", name).eqNullSafe(value(side, name))).alias(f"{side}_{name}"))
-    one_row = joined.agg(F.count(F.lit(1)).alias("n"), *counts)
-    entries = [
-        F.struct(
-            F.lit(name).alias("feature"),
-            _c("n").alias("variants"),
-            _c(f"serve_{name}").alias("serving_mismatches"),
-            _c(f"legacy_{name}").alias("legacy_mismatches"),
-        )
-        for name in FEATURE_ORDER
+            return within_type(by_side[side], FEATURE_TYPES[name])
+        return within_type(F.col(f"{side}.{name}"), FEATURE_TYPES[name])
+
+    # the numbers of the (feature, side) pairs that differ, most rows none: only those are exploded and counted
+    sides = ("serve", "legacy")
+    differs = [
+        F.when(~value("train", name).eqNullSafe(value(side, name)), F.lit(2 * i + k))
+        for i, name in enumerate(FEATURE_ORDER) for k, side in enumerate(sides)
     ]
-    return one_row.select(F.inline(F.array(*entries)))
+    marked = joined.select(F.explode(F.array_append(F.array_compact(F.array(*differs)), F.lit(-1))).alias("pair"))
+    counts = materialize(marked.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "feature-skew")
+    variants = counts.agg(F.coalesce(F.max(F.when(_c("pair") == -1, _c("n"))), F.lit(0)).alias("variants"))
+    total = lambda k: F.coalesce(F.max(F.when(_c("pair") == 2 * _c("place") + k, _c("n"))), F.lit(0))
+    features = clean.sparkSession.createDataFrame(list(enumerate(FEATURE_ORDER)), "place int, feature string")
+    by_feature = features.join(counts, F.expr("pair div 2 = place AND pair >= 0"), "left").groupBy("feature").agg(total(0).alias("serving_mismatches"), total(1).alias("legacy_mismatches"))
+    return by_feature.select("feature", variants.select("variants").scalar().alias("variants"), "serving_mismatches", "legacy_mismatches")

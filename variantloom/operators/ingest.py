@@ -20,7 +20,7 @@ from variantloom.contract import (
     SCORE_COLUMNS,
 )
 from variantloom.functions.genomic import normalize_chrom
-from variantloom.functions.values import first_item, first_number, first_valid_item, to_number
+from variantloom.functions.values import first_item, first_number, first_valid_item, to_number, within_type
 
 
 def _q(name: str) -> Column:
@@ -90,7 +90,7 @@ def enforce_contract(df: DataFrame, fill_missing: bool = False) -> DataFrame:
             return F.lit(default).cast(kind).alias(name)
         if name in CATEGORICAL_FEATURES:
             return F.coalesce(_q(name).cast("string"), F.lit(default)).alias(name)
-        return to_number(_q(name), default).try_cast(kind).alias(name)
+        return F.coalesce(within_type(to_number(_q(name), default), kind), F.lit(default).cast(kind)).alias(name)
 
     return df.select(*[column(*spec) for spec in FEATURE_CONTRACT])
 

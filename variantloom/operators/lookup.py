@@ -61,17 +61,14 @@ def resolve_store(tiers: Mapping[str, DataFrame]) -> DataFrame:
     return store_dedupe_first(union, rank="_tier").drop("_tier")
 
 
-def lookup(requests: DataFrame, store: DataFrame, small_batch: bool = False) -> DataFrame:
+def lookup(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Requests with ``found`` and the scores of their variant (NULL when it is not in the store).
 
     ``store`` holds unique keys (``resolve_store``), best as a stored table: then both join inputs
     are plain exchanges, and adaptive execution splits a request key that holds a large share of
-    the batch. ``small_batch`` is for a batch cut by ``vcf_limit``: its at most 5000 keys are
-    broadcast to thin the store before the join, so the store is not shuffled.
+    the batch.
     """
     keyed = requests.withColumns(variant_key(requests))
-    if small_batch:
-        store = store.join(F.broadcast(keyed.select(*KEY).distinct()), KEY, "left_semi")
     clash = [c for c in requests.columns if c in [*SCORES, "feature_source"]]
     joined = keyed.drop(*clash).join(store.withColumn("found", F.lit(True)), KEY, "left")
     return joined.withColumn("found", F.coalesce("found", F.lit(False))).drop(*KEY)

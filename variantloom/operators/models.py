@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,19 +19,24 @@ from variantloom.operators import evaluate
 from variantloom.session import materialize
 
 ANNOTATION_SCORES = ("SIFT", "PolyPhen", "CADD")
+SLICE_ROWS = 4096  # rows that trade values with each other, about
 
 
 def split_training_table(encoded: DataFrame) -> DataFrame:
-    """Encoded rows with ``split``; equal rows share a hash, so duplicates never cross splits."""
-    return evaluate.stratified_split(encoded, FEATURE_ORDER)
+    """Encoded rows with ``split``; equal rows share a hash, so duplicates never cross splits.
+
+    Stored, because training reads the rows many times and must not encode them each time.
+    """
+    return materialize(evaluate.stratified_split(encoded, FEATURE_ORDER), "training-split")
 
 
-def with_class_weight(train: DataFrame, target: str = TARGET) -> DataFrame:
-    """Balanced weights: each class adds up to half of the rows."""
+def with_class_weight(rows: DataFrame, target: str = TARGET) -> DataFrame:
+    """Balanced weights: each class adds up to half of the training rows; other splits take the same weights."""
+    train = rows.where("split = 'train'")
     sizes = train.agg(F.sum(F.col(target)).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    positives, rows = float(sizes["p"] or 0), float(sizes["n"])
-    weights = [rows / (2 * max(1.0, rows - positives)), rows / (2 * max(1.0, positives))]
-    return train.withColumn("weight", F.when(F.col(target) == 1, weights[1]).otherwise(weights[0]))
+    positives, n = float(sizes["p"] or 0), float(sizes["n"])
+    weights = [n / (2 * max(1.0, n - positives)), n / (2 * max(1.0, positives))]
+    return rows.withColumn("weight", F.when(F.col(target) == 1, weights[1]).otherwise(weights[0]))
 
 
 def _split_kinds(columns: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -43,7 +49,7 @@ def _tree_inputs(columns: Sequence[str]) -> list:
     stages = []
     if text:
         stages.append(StringIndexer(inputCols=text, outputCols=[f"{c}_ix" for c in text], handleInvalid="keep", stringOrderType="alphabetAsc"))
-    stages.append(VectorAssembler(inputCols=[*numeric, *[f"{c}_ix" for c in text]], outputCol="features"))
+    stages.append(VectorAssembler(inputCols=[*numeric, *[f"{c}_ix" for c in text]], outputCol="features", handleInvalid="keep"))
     return stages
 
 
@@ -63,9 +69,15 @@ def _dense_inputs(columns: Sequence[str], scaled: bool) -> list:
 
 
 def train_gbt(
-    split: DataFrame, columns: Sequence[str] = FEATURE_ORDER, max_iter: int = 200, step: float = 0.1, max_depth: int = 6, max_bins: int = 64
+    split: DataFrame, columns: Sequence[str] = FEATURE_ORDER, max_iter: int = 200, step: float = 0.1, max_depth: int = 6, min_bins: int = 64
 ) -> PipelineModel:
-    """Gradient-boosted trees with class weights, stopped early on the validation split."""
+    """Gradient-boosted trees with class weights, stopped early on the validation split.
+
+    A tree needs a bin for each category, so the most varied text column sets how many bins there are.
+    """
+    text = _split_kinds(columns)[1]
+    seen = split.where(F.col("split") != "test").agg(F.lit(0).alias("_none"), *[F.count_distinct(c).alias(c) for c in text]).first()
+    max_bins = max([min_bins, *[seen[c] + 2 for c in text]])
     rows = with_class_weight(split.where(F.col("split") != "test")).withColumn("is_validation", F.col("split") == "validation")
     gbt = GBTClassifier(
         labelCol=TARGET, featuresCol="features", weightCol="weight", validationIndicatorCol="is_validation", validationTol=0.001,
@@ -147,20 +159,21 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int | None
     return ordered if top is None else ordered.limit(top)
 
 
-def permutation_importance(
-    model: PipelineModel, encoded: DataFrame, sample: int = 1000, columns: Sequence[str] = FEATURE_ORDER
-) -> DataFrame:
-    """Loss of average precision when one column is permuted, over a fixed-size sample.
+def permutation_importance(model: PipelineModel, encoded: DataFrame, columns: Sequence[str] = FEATURE_ORDER) -> DataFrame:
+    """Loss of average precision when one column is permuted, over all rows.
 
-    The sample is numbered in hash order and each row borrows the column from the row half the
-    sample further on. All variants are scored in one pass of the model.
+    Rows are numbered by hash inside hash slices, and each borrows the column from the row half a slice
+    further on. The number of slices follows the number of rows, so none grows with the table. All
+    variants are scored in one pass of the model.
     """
-    rows = evaluate.random_sample(encoded.select(*FEATURE_ORDER, TARGET), sample, FEATURE_ORDER)
-    order = Window.partitionBy().orderBy(evaluate.row_hash(FEATURE_ORDER), *FEATURE_ORDER)  # `sample` rows at most
-    numbered = materialize(rows.withColumn("_i", F.row_number().over(order) - 1), "importance-sample")
-    n = numbered.count()
-    donors = numbered.select(F.pmod(F.col("_i") + n // 2, F.lit(n)).alias("_i"), F.struct(*FEATURE_ORDER).alias("_d"))
-    paired = numbered.join(F.broadcast(donors), "_i")
+    rows = encoded.select(*FEATURE_ORDER, TARGET, evaluate.row_hash(FEATURE_ORDER).alias("_h"))
+    digits = int(math.log(max(1.0, encoded.count() / SLICE_ROWS), 16))
+    sliced = rows.withColumn("_slice", F.substring("_h", 1, digits))
+    order = Window.partitionBy("_slice").orderBy("_h", *FEATURE_ORDER, TARGET)
+    numbered = sliced.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("_slice"))})
+    numbered = materialize(numbered.drop("_h"), "importance-rows")
+    donors = numbered.select("_slice", F.pmod(F.col("_i") + F.expr("_n div 2"), F.col("_n")).alias("_i"), F.struct(*FEATURE_ORDER).alias("_d"))
+    paired = numbered.join(donors, ["_slice", "_i"])
 
     def version(changed: str | None):
         cells = [(F.col(f"_d.{c}") if c == changed else F.col(c)).alias(c) for c in FEATURE_ORDER]

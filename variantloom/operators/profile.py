@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variantloom.contract import CATEGORICAL_FEATURES, TARGET
-from variantloom.functions.values import count_if, ratio
+from variantloom.functions.values import count_if, finite, ratio
 from variantloom.operators.ingest import numeric_columns
 from variantloom.operators.ranks import exact_quantiles, unpivoted, value_histogram
 from variantloom.session import materialize
@@ -148,11 +148,12 @@ def imbalance(df: DataFrame, target: str = TARGET) -> DataFrame:
     )
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    x = F.col("value")
-    return unpivoted(df, columns).groupBy("feature").agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")
-    )
+def histogram_moments(hist: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
+    """count, mean, std, min and max per column from counts of distinct values; the deviation is centred."""
+    n, x = F.col("n"), F.col("value")
+    first = hist.groupBy(*by).agg(F.sum("n").alias("count"), ratio(F.sum(n * x), F.sum("n")).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    spread = hist.join(first.select(*by, "mean"), list(by)).groupBy(*by).agg(F.sum(n * F.pow(x - F.col("mean"), F.lit(2))).alias("_ss"))
+    return first.join(spread, list(by)).withColumn("std", F.sqrt(F.try_divide("_ss", F.col("count") - 1))).drop("_ss")
 
 
 def histogram_of(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -169,9 +170,10 @@ def describe_numeric(df: DataFrame, hist: DataFrame | None = None, digits: int =
     columns = feature_columns(df)
     hist = materialize(_overall(hist), "value-histogram") if hist is not None else histogram_of(df, columns)
     quartiles = exact_quantiles(hist, ["feature"], QUARTILES).drop("n")
-    joined = moments(df, columns).join(quartiles, "feature", "left")
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    joined = names.join(histogram_moments(hist), "feature", "left").join(quartiles, "feature", "left")
     shown = ["mean", "std", "min", "q1", "median", "q3", "max"]
-    return joined.select("feature", "count", *[F.round(c, digits).alias(c) for c in shown])
+    return joined.select("feature", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), *[F.round(c, digits).alias(c) for c in shown])
 
 
 def iqr_outliers(hist: DataFrame, top: int | None = 10) -> DataFrame:
@@ -197,9 +199,9 @@ def boxplot_stats(hist: DataFrame, columns: Sequence[str], target: str = TARGET)
 
 
 def category_lift(
-    df: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATURES, target: str = TARGET, top: int = 15
+    df: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATURES, target: str = TARGET, top: int | None = 15
 ) -> DataFrame:
-    """Count, positive rate and share of each category, the ``top`` most frequent per column."""
+    """Count, positive rate and share of each category, the ``top`` most frequent per column (None: all)."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("category")) for c in columns])
     groups = df.select(target, F.inline(cells)).groupBy("feature", "category").agg(
         F.count(F.lit(1)).alias("count"), F.avg(target).alias("pathogenic_rate")
@@ -207,7 +209,7 @@ def category_lift(
     total = F.sum("count").over(Window.partitionBy("feature"))
     place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("count"), "category"))
     ranked = groups.withColumns({"dataset_share": ratio(F.col("count"), total), "place": place})
-    return ranked.where(F.col("place") <= top).orderBy("feature", "place")
+    return (ranked if top is None else ranked.where(F.col("place") <= top)).orderBy("feature", "place")
 
 
 def dataset_share(df: DataFrame, column: str) -> DataFrame:
@@ -220,10 +222,11 @@ def rate_by_chrom(df: DataFrame, target: str = TARGET) -> DataFrame:
     return df.groupBy("CHROM").agg(F.avg(target).alias("pathogenic_rate")).orderBy("CHROM")
 
 
-def top_mutation_types(df: DataFrame, target: str = TARGET, minimum: int = 100, top: int = 15) -> DataFrame:
+def top_mutation_types(df: DataFrame, target: str = TARGET, minimum: int = 100, top: int | None = 15) -> DataFrame:
     groups = df.groupBy("mutation_type").agg(F.count(F.lit(1)).alias("count"), F.avg(target).alias("pathogenic_rate"))
     frequent = groups.where(F.col("count") >= minimum)
-    return frequent.orderBy(F.desc(F.round("pathogenic_rate", 9)), "mutation_type").limit(top)
+    ordered = frequent.orderBy(F.desc(F.round("pathogenic_rate", 9)), "mutation_type")
+    return ordered if top is None else ordered.limit(top)
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -245,31 +248,40 @@ def target_correlation(df: DataFrame, target: str = TARGET, top: int | None = 15
 def high_correlation_pairs(df: DataFrame, target: str = TARGET, minimum: float = 0.9) -> DataFrame:
     """Column pairs with ``abs(r)`` above ``minimum``, strongest first.
 
-    The cross products are summed distributed (tree aggregation); only the matrix, as wide as
-    the schema, comes to the driver.
+    A row counts for a pair when both values are there. Columns without gaps give one matrix by tree
+    aggregation, as wide as the schema; pairs with a gap on some row are summed pair by pair.
     """
     names = feature_columns(df, target)
-    vectors = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="skip").transform(df.select(*names))
-    matrix = Correlation.corr(vectors.select("_v"), "_v").first()[0].toArray()
-    pairs = [
-        (a, b, float(matrix[i][j]))
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-        if i < j and abs(matrix[i][j]) > minimum
-    ]
-    table = df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")
-    return table.orderBy(F.desc(F.abs("r")), "feature_a", "feature_b")
-
-
-def class_separation(df: DataFrame, hist: DataFrame, target: str = TARGET, top: int = 20) -> DataFrame:
-    """Class means and medians per column and their difference in overall standard deviations."""
-    names = feature_columns(df, target)
-    x = F.col("value")
-    means = unpivoted(df, names, [target]).groupBy("feature").agg(
-        F.avg(F.when(F.col(target) == 0, x)).alias("benign_mean"),
-        F.avg(F.when(F.col(target) == 1, x)).alias("pathogenic_mean"),
-        F.stddev_samp(x).alias("_std"),
-    )
+    numbers = df.select(*[finite(F.col(f"`{c}`")).alias(c) for c in names])
+    gaps = numbers.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
+    full = [c for c in names if not gaps[c]] if gaps["_n"] else []
+    found: list[tuple[str, str, float]] = []
+    if len(full) > 1:
+        vectors = VectorAssembler(inputCols=full, outputCol="_v").transform(numbers.select(*full))
+        matrix = Correlation.corr(vectors.select("_v"), "_v").first()[0].toArray()
+        found = [(a, b, float(matrix[i][j])) for i, a in enumerate(full) for j, b in enumerate(full) if i < j]
+    table = df.sparkSession.createDataFrame(found, "feature_a string, feature_b string, r double")
+    whole = set(full)
+    rest = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if not (a in whole and b in whole)]
+    if rest and gaps["_n"]:
+        cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in rest]
+        both = numbers.select(F.inline(F.array(*cells))).where("x IS NOT NULL AND y IS NOT NULL")
+        table = table.unionByName(both.groupBy("feature_a", "feature_b").agg(safe_corr(F.col("x"), F.col("y")).alias("r")))
+    return table.where(F.abs("r") > minimum).orderBy(F.desc(F.abs("r")), "feature_a", "feature_b")
+
+
+def class_separation(hist: DataFrame, target: str = TARGET, top: int | None = 20) -> DataFrame:
+    """Class means and medians per column and their difference in overall standard deviations, from the
+    histogram by class alone."""
+    n, x = F.col("n"), F.col("value")
+    stored = materialize(hist.groupBy(target, "feature").agg(F.sum("n").alias("n"), F.sum(n * x).alias("total")), "class-totals")
+
+    def class_mean(label: int) -> Column:
+        inside = F.col(target) == label
+        return ratio(F.sum(F.when(inside, F.col("total"))), F.sum(F.when(inside, n)))
+
+    means = stored.groupBy("feature").agg(class_mean(0).alias("benign_mean"), class_mean(1).alias("pathogenic_mean"))
+    means = means.join(histogram_moments(_overall(hist)).select("feature", F.col("std").alias("_std")), "feature")
     medians = exact_quantiles(hist.where(F.col(target).isin(0, 1)), [target, "feature"], {"median": 0.5})
     wide = medians.groupBy("feature").agg(
         F.max(F.when(F.col(target) == 0, F.col("median"))).alias("benign_median"),
@@ -279,7 +291,8 @@ def class_separation(df: DataFrame, hist: DataFrame, target: str = TARGET, top:
     joined = means.join(wide, "feature", "left").withColumn("mean_delta", delta)
     joined = joined.withColumn("standardized_delta", ratio(F.col("mean_delta"), F.col("_std"), 0.0)).drop("_std")
     joined = joined.withColumn("abs_standardized_delta", F.round(F.abs("standardized_delta"), 6))
-    return joined.orderBy(F.desc("abs_standardized_delta"), "feature").limit(top)
+    ordered = joined.orderBy(F.desc("abs_standardized_delta"), "feature")
+    return ordered if top is None else ordered.limit(top)
 
 
 def cumulative_importance(importance: DataFrame, share: float = 0.9) -> DataFrame:

@@ -17,12 +17,12 @@ from variantloom.functions.values import finite
 from variantloom.session import materialize
 
 # buckets are powers of two; more are used only when one would hold too many distinct values
-MIN_BUCKETS, MAX_BUCKETS, ROWS_PER_BUCKET = 64, 1024, 1_000_000
+MIN_BUCKETS, ROWS_PER_BUCKET = 64, 1_000_000
 
 
 def bucket_count(rows: int) -> int:
     buckets = MIN_BUCKETS
-    while buckets < MAX_BUCKETS and rows > buckets * ROWS_PER_BUCKET:
+    while rows > buckets * ROWS_PER_BUCKET:
         buckets *= 2
     return buckets
 
@@ -53,12 +53,12 @@ def prefix_sums(
     """Adds ``cum_<s>`` (running sum up to and including this value) and ``tot_<s>`` per group.
 
     ``hist`` has one row per (group, value) and should be a stored table: it is read several
-    times. ``buckets`` is a power of two, by default chosen from the size of ``hist``.
+    times. ``buckets`` is a power of two, by default chosen from the largest group.
     """
-    buckets = buckets or bucket_count(hist.count())
     # a struct of the group columns is never NULL itself, so a NULL group is kept by the joins
     keys = ["_group"]
     hist = hist.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0)))
+    buckets = buckets or bucket_count(hist.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = hist.groupBy(*keys).agg(F.percentile_approx(value, cuts, max(1000, 16 * buckets)).alias("_bounds"))
     bounds = materialize(bounds, "bucket-bounds")

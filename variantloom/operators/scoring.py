@@ -27,12 +27,18 @@ def formula_scorer(features: DataFrame) -> DataFrame:
     return features.withColumn("probability", calls.formula_probability())
 
 
-def score_postprocess(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Clipped probability, class, label and confidence; a missing probability has confidence 0.5."""
+def score_postprocess(df: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Clipped probability, class, label and confidence; a missing probability has confidence 0.5.
+
+    A given threshold belongs to the positive class, as in the metrics that choose it; without one the
+    model's own class stands, which is positive above one half.
+    """
     p = calls.clipped_probability(F.col("probability"))
     out = df.withColumn("probability", p)
-    if "prediction" not in df.columns:
-        out = out.withColumn("prediction", (F.col("probability") > threshold).cast("int"))
+    if threshold is not None:
+        out = out.withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
+    elif "prediction" not in df.columns:
+        out = out.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
     return out.withColumns(
         {"confidence_score": calls.confidence(F.col("probability")), "label": calls.call_label(F.col("prediction"))}
     )
@@ -43,8 +49,7 @@ def vcf_batch_score(
     store: DataFrame,
     scorer: Scorer = formula_scorer,
     stats: DataFrame | None = None,
-    threshold: float = 0.5,
-    small_batch: bool = False,
+    threshold: float | None = None,
 ) -> DataFrame:
     """Look up, encode, score and label a whole batch in one plan with one join.
 
@@ -60,7 +65,7 @@ def vcf_batch_score(
             "alt": F.upper("alt"),
         }
     )
-    found = validate_ranges(lookup(batch, store, small_batch), LEGAL_RANGES)
+    found = validate_ranges(lookup(batch, store), LEGAL_RANGES)
     message = (
         F.when(F.col("pos").try_cast("bigint").isNull(), "Position is not a whole number.")
         .when(~F.col("found"), "Variant not found in feature store.")
@@ -98,8 +103,13 @@ def batch_counters(results: DataFrame, total_input: int | None = None) -> DataFr
     )
 
 
-def batch_events(results: DataFrame, endpoint: str = "/api/vcf-batch-predict", source: str = "vcf_batch") -> DataFrame:
-    """Prediction events of a batch: one per predicted or failed request, none for a miss."""
+def batch_events(
+    results: DataFrame, endpoint: str = "/api/vcf-batch-predict", source: str = "vcf_batch", model_uri: str | None = None, latency_ms: float | None = None
+) -> DataFrame:
+    """Prediction events of a batch: one per predicted or failed request, none for a miss.
+
+    ``latency_ms`` is the time of one request, for a batch its time divided by its requests.
+    """
     scored = F.col("status") == "predicted"
     return results.where(F.col("status") != "not_found").select(
         F.lit(endpoint).alias("endpoint"),
@@ -108,6 +118,8 @@ def batch_events(results: DataFrame, endpoint: str = "/api/vcf-batch-predict", s
         "chrom", "pos", "ref", "alt", *SCORES,
         "prediction", "probability", "confidence_score",
         F.when(~scored, F.col("message")).alias("error"),
+        F.lit(model_uri).cast("string").alias("model_uri"),
+        F.lit(latency_ms).cast("double").alias("latency_ms"),
     )
 
 
