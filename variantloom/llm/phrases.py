@@ -10,6 +10,7 @@ through them. The occurrences, with the first document of each passage, go back
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -18,30 +19,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from variantloom.llm.common import KEY_MASK, WordHasher, byte_texts, gram_hashes, read_table, recurring_keys, sha256_hex, slices
+from variantloom.llm.common import KEY_MASK, byte_texts, gram_hashes, hashed_words, read_table, recurring_keys, sha256_hex, slices
 from variantloom.session import materialize
 
 WINDOW = 13
 GRAM = 5
 SHARD_PIECES = 20_000  # stretches of one shard, about
-AUTOMATON_PIECES = 20_000  # stretches of one automaton; a larger shard gets several
+AUTOMATON_PIECES = 8_000  # stretches of one automaton; a larger shard gets several
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: after all others
 
 
-def anchors(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Of every window, by its start: the anchor's place and its 48-bit key. Empty for short texts."""
-    if len(hashes) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text: of every window, by its start, the anchor's place and 48-bit key."""
+    hashes, at = hashed_words(texts)
     grams = gram_hashes(hashes, GRAM)
-    starts = np.arange(len(hashes) - window + 1)
-    places = starts + np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1).argmin(axis=1)
-    return places, grams[places] & KEY_MASK
-
-
-def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor places and their keys."""
-    places, keys = anchors(hashes)
-    first = np.flatnonzero(np.append(True, np.diff(places) > 0)) if len(places) else np.zeros(0, np.int64)
+    width = WINDOW - GRAM + 1
+    n = max(0, len(grams) - width + 1)
+    least = grams[:n].copy()
+    for i in range(1, width):
+        np.minimum(least, grams[i : i + n], out=least)
+    places = np.zeros(n, np.int64)
+    for i in reversed(range(width)):  # the leftmost of equal ones stays
+        places[grams[i : i + n] == least] = i
+    places += np.arange(n)
+    out = []
+    for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        last = max(start, end - WINDOW + 1)
+        out.append((places[start:last] - start, least[start:last] & KEY_MASK))
+    return out
+
+
+def _distinct(places: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchor places and their keys; places never go back from one window to the next."""
+    first = np.append(True, places[1:] != places[:-1]) if len(places) else np.zeros(0, bool)
     return places[first], keys[first]
 
 
@@ -50,17 +60,13 @@ def recurring_places(docs: DataFrame) -> DataFrame:
 
     A doc_id that several rows have gets the places of all of them; places without an anchor do no harm.
     """
-    hashers: list[WordHasher] = []
 
     def keys_of(part: pa.RecordBatch) -> np.ndarray:
-        if not hashers:
-            hashers.append(WordHasher())
-        return np.concatenate([np.zeros(0, np.uint64), *[np.unique(_places(hashers[0](t.split()))[1]) for t in byte_texts(part)]])
+        return np.concatenate([np.zeros(0, np.uint64), *[np.unique(_distinct(*found)[1]) for found in anchors(byte_texts(part))]])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for part in slices(batches, "text"):
-            found = [_places(hasher(t.split())) for t in byte_texts(part)]
+            found = [_distinct(*x) for x in anchors(byte_texts(part))]
             places = np.concatenate([p for p, _ in found]).astype(np.int32)
             keys = np.concatenate([k for _, k in found]).astype(np.int64)
             docs_of = np.repeat(part.column("doc").to_numpy(), [len(p) for p, _ in found])
@@ -75,12 +81,11 @@ def stretches(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``doc, text_hash, key, start, piece``: for each recurring anchor the words of all windows that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for part in slices(batches, "text"):
             out: tuple[list, ...] = ([], [], [], [])
-            for i, (text, chosen) in enumerate(zip(byte_texts(part), part.column("places").to_pylist(), strict=True)):
+            texts = byte_texts(part)
+            for i, (text, (at, keys), chosen) in enumerate(zip(texts, anchors(texts), part.column("places").to_pylist(), strict=True)):
                 words = text.split()
-                at, keys = anchors(hasher(words))
                 begins = np.flatnonzero(np.append(True, np.diff(at) > 0)) if len(at) else np.zeros(0, np.int64)
                 ends = np.append(begins[1:], len(at))
                 wanted = np.isin(at[begins], np.array(chosen))
@@ -98,31 +103,51 @@ def stretches(docs: DataFrame, places: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc bigint, text_hash bigint, key bigint, start int, piece string")
 
 
-def occurrences(pieces: list[list[bytes]], firsts: list[int], lasts: list[int]) -> list[list[tuple[int, int]]]:
-    """Per piece: (place, first document) of every window that two documents or more have.
+def passages(pieces: list[tuple[bytes, ...]], firsts: list[int], lasts: list[int]) -> dict[tuple[bytes, ...], int]:
+    """What one shard confirms: passages that two documents or more have, with the first of them.
 
-    The confirmed windows become one automaton over word numbers, which reads each piece once.
+    A stretch that alone has its anchor is one passage, if several documents have it. Among several
+    stretches every window is looked at.
     """
-    first: dict[tuple, int] = {}
-    shared: set[tuple] = set()
-    numbers: dict[bytes, int] = {}
-    coded = [tuple(numbers.setdefault(w, len(numbers) + 1) for w in words) for words in pieces]
-    for line, low, high in zip(coded, firsts, lasts, strict=True):
-        for i in range(len(line) - WINDOW + 1):
-            window = line[i : i + WINDOW]
+    if len(pieces) == 1:
+        return {pieces[0]: firsts[0]} if lasts[0] != firsts[0] else {}
+    first: dict[tuple[bytes, ...], int] = {}
+    shared: set[tuple[bytes, ...]] = set()
+    for words, low, high in zip(pieces, firsts, lasts, strict=True):
+        for i in range(len(words) - WINDOW + 1):
+            window = words[i : i + WINDOW]
             before = first.setdefault(window, low)
             if before != low or high != low:
                 shared.add(window)
                 first[window] = min(before, low)
+    return {window: first[window] for window in shared}
+
+
+def occurrences(pieces: list[tuple[bytes, ...]], confirmed: dict[tuple[bytes, ...], int]) -> list[list[tuple[int, int]]]:
+    """Per piece: (place, first document) of every window of a confirmed passage.
+
+    The passages become one automaton, which reads each piece once. A word is a code of fixed width, so a
+    match counts only where it ends with a word.
+    """
     found: list[list[tuple[int, int]]] = [[] for _ in pieces]
-    if shared:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        known = list(shared)
-        for i, window in enumerate(known):
-            automaton.add_word(window, i)
-        automaton.make_automaton()
-        for line, out in zip(coded, found, strict=True):
-            out.extend((end - WINDOW + 1, first[known[i]]) for end, i in automaton.iter(line))
+    if not confirmed:
+        return found
+    numbers: dict[bytes, int] = {}
+    for words in confirmed:
+        for w in words:
+            numbers.setdefault(w, len(numbers) + 1)
+    width = max(1, (len(numbers).bit_length() + 7) // 8)
+    codes = {w: "".join(chr(n >> 8 * i & 255) for i in range(width)) for w, n in numbers.items()}
+    unknown = chr(0) * width
+    automaton = ahocorasick.Automaton()
+    for words, first in confirmed.items():
+        automaton.add_word("".join([codes[w] for w in words]), (len(words), first))
+    automaton.make_automaton()
+    for words, out in zip(pieces, found, strict=True):
+        for end, (length, first) in automaton.iter("".join([codes.get(w, unknown) for w in words])):
+            if (end + 1) % width == 0:
+                start = (end + 1) // width - length
+                out.extend((start + i, first) for i in range(length - WINDOW + 1))
     return found
 
 
@@ -136,9 +161,15 @@ def locate(parts: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def found() -> pa.RecordBatch:
-            hits = occurrences([p.encode().split(b" ") for _, _, _, p, _, _ in held], [r[4] for r in held], [r[5] for r in held])
-            rows = [(row[1], row[2] + place, first) for row, own in zip(held, hits, strict=True) for place, first in own]
-            ids, offsets, firsts = zip(*rows, strict=True) if rows else ((), (), ())
+            pieces = [tuple(r[3].encode().split(b" ")) for r in held]
+            confirmed: dict[tuple[bytes, ...], int] = {}
+            for _, group in groupby(range(len(held)), key=lambda i: held[i][0]):
+                rows = list(group)
+                for passage, first in passages([pieces[i] for i in rows], [held[i][4] for i in rows], [held[i][5] for i in rows]).items():
+                    confirmed[passage] = min(first, confirmed.get(passage, first))
+            hits = occurrences(pieces, confirmed)
+            out = [(row[1], row[2] + place, first) for row, own in zip(held, hits, strict=True) for place, first in own]
+            ids, offsets, firsts = zip(*out, strict=True) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(offsets, pa.int32()), pa.array(firsts, pa.int64())], ["piece_id", "offset", "first_doc"])
 
         for batch in batches:
