@@ -2,7 +2,7 @@
 
 The fingerprint of a window of words is the smallest hash of the k-grams inside it, so equal windows
 have equal fingerprints: every shared span as long as a window is found. Windows of documents whose
-fingerprint some benchmark window has are then compared word by word with the benchmark's windows.
+fingerprint may be one of the benchmark are then compared word by word with the benchmark's windows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 GRAM = 5
+BIT_WORDS = 1 << 14
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,36 +60,46 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", "length", F.array_join("part", " ").alias("passage"), fp.alias("fp")).distinct()
 
 
+def fingerprint_bits(windows: DataFrame) -> Column:
+    """A table of BIT_WORDS * 64 bits, in which the fingerprints of all benchmark windows are set.
+
+    Its size is fixed; a benchmark with very many windows only lets more candidates through. It becomes
+    one constant of the plan.
+    """
+    set_bits = windows.select(_bit_word("fp").alias("id"), F.expr("shiftleft(1L, CAST(shiftright(fp, 14) & 63 AS INT))").alias("bit"))
+    words = dict.fromkeys(range(BIT_WORDS), 0)
+    words |= {r["id"]: r["bits"] for r in set_bits.groupBy("id").agg(F.bit_or("bit").alias("bits")).collect()}  # at most BIT_WORDS rows
+    return F.split(F.lit(",".join(map(str, words.values()))), ",").cast("array<bigint>")
+
+
+def _bit_word(fp: str | Column) -> Column:
+    return (F.col(fp) if isinstance(fp, str) else fp).bitwiseAND(F.lit(BIT_WORDS - 1).cast("bigint")).cast("int")
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text_hash, start, length, item_id`` of every benchmark window that occurs in a document.
 
-    Candidates are windows with a fingerprint of the benchmark; the words then decide. Joins carry
-    no hint: the benchmark's tables are stored, so their real size decides how they are joined.
+    Candidates are windows whose fingerprint is set in the benchmark's bit table; only these leave
+    their row, with their words, which a join with the benchmark's windows then compares. Texts are
+    read once and never moved. The join carries no hint: the stored windows' real size decides it.
     """
     windows = materialize(item_windows(items, window), "benchmark-windows")
     lengths = [r["length"] for r in windows.select("length").distinct().collect()]  # at most ``window`` numbers
-    known = windows.select("length", "fp").distinct()
+    bits = fingerprint_bits(windows)
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    no = F.array().cast("array<struct<length: int, at: int, fp: bigint>>")
+    no = F.array().cast("array<struct<length: int, start: int, passage: string>>")
 
-    def numbered(words: Column) -> Column:
+    def candidates(words: Column) -> Column:
         def of_length(n: int) -> Column:
-            return F.transform(fingerprints(words, n), lambda f, i: F.struct(F.lit(n).alias("length"), i.alias("at"), f.alias("fp")))
+            numbered = F.transform(fingerprints(words, n), lambda f, i: F.struct(i.alias("at"), f.alias("fp")))
+            near = F.filter(numbered, lambda s: F.getbit(F.get(bits, _bit_word(s["fp"])), F.shiftright(s["fp"], 14).bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1)
+            return F.transform(near, lambda s: F.struct(F.lit(n).alias("length"), s["at"].alias("start"), F.array_join(F.slice(words, s["at"] + 1, n), " ").alias("passage")))
 
         return F.concat(no, *[of_length(n) for n in lengths])
 
-    prints = own.select("doc_id", "text_hash", F.inline(let(words_of(F.col("text")), numbered)))
-    found = prints.join(known, ["length", "fp"], "left_semi")
-    places = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "length")).alias("places"))
-    places = materialize(places, "benchmark-candidates").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
-    near = own.join(places, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")))
-
-    def cut(words: Column) -> Column:
-        passage = lambda p: F.array_join(F.slice(words, p["at"] + 1, p["length"]), " ")
-        return F.transform("places", lambda p: F.struct(p["at"].alias("start"), p["length"].alias("length"), passage(p).alias("passage")))
-
-    spans = near.select("doc_id", "text_hash", F.inline(let(words_of(F.col("text")), cut))).distinct()
-    return spans.join(windows.select("item_id", "length", "passage"), ["length", "passage"]).select("doc_id", "text_hash", "start", "length", "item_id")
+    spans = own.select("doc_id", "text_hash", F.inline(let(words_of(F.col("text")), candidates)))
+    found = spans.join(windows.select("item_id", "length", "passage"), ["length", "passage"])
+    return found.select("doc_id", "text_hash", "start", "length", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
