@@ -10,7 +10,9 @@ other words stay in a table and are joined.
 
 from __future__ import annotations
 
+import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,7 @@ CLASSES = 96
 ROUNDS = 12
 ADDED = 0.1  # added to every count, as in the base score
 PRIOR = 50.0  # weight of the class unigrams in a class transition
-FLUSH = 1_000_000  # entries of a task's local counts
+FLUSH = 200_000  # entries of a task's local tables, which are passed on or forgotten beyond
 
 
 def held_out(key: Column) -> Column:
@@ -77,11 +79,46 @@ class Units:
         return self.suffixes + suffix_unit(word) if at is None else at
 
 
+class WordTable:
+    """Numbers of words, with values worked out once for each; forgotten when there are too many."""
+
+    def __init__(self, values, kinds: str, most: int = FLUSH):
+        self.values, self.kinds, self.most = values, kinds, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.columns = [array(k) for k in self.kinds]
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The number of each word, and the columns of values by number."""
+        if len(self.known) > self.most:
+            self.forget()
+        for w in set(words).difference(self.known):
+            self.known[w] = len(self.known)
+            for column, value in zip(self.columns, self.values(w), strict=True):
+                column.append(value)
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return numbers, [np.array(c) for c in self.columns]
+
+
+def _joined_words(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """All words of a slice, and how many each text has."""
+    lists = [ascii_lower(t).split() for t in byte_texts(part)]
+    return [w for words in lists for w in words], np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def _with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """``end`` before the first text and after each."""
+    return np.append(end, np.insert(values, np.cumsum(sizes), end))
+
+
 def unit_bigrams(docs: DataFrame, words) -> DataFrame:
     """``code, n`` of adjacent units in all texts, code = left * units + right; texts start and end with the end unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(words.value)
+        table = WordTable(lambda w: (units.of(w),), "q")
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -91,24 +128,14 @@ def unit_bigrams(docs: DataFrame, words) -> DataFrame:
         def rows(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
-        known: dict[bytes, int] = {}
         for part in slices(batches, "text"):
-            line = [units.end]
-            if len(known) > FLUSH:
-                known.clear()
-            for t in byte_texts(part):
-                for w in ascii_lower(t).split():
-                    u = known.get(w)
-                    if u is None:
-                        u = known[w] = units.of(w)
-                    line.append(u)
-                line.append(units.end)
-            run_of = np.array(line, np.int64)
-            codes, n = np.unique(run_of[:-1] * units.size + run_of[1:], return_counts=True)
-            held.append((codes, n))
-            if sum(len(c) for c, _ in held) > 3 * FLUSH:
+            line, sizes = _joined_words(part)
+            numbers, (unit,) = table(line)
+            run_of = _with_ends(unit[numbers], sizes, units.end)
+            held.append(np.unique(run_of[:-1] * units.size + run_of[1:], return_counts=True))
+            if sum(len(c) for c, _ in held) > 6 * FLUSH:
                 held[:] = [merged()]
-                if len(held[0][0]) > 2 * FLUSH:
+                if len(held[0][0]) > 4 * FLUSH:
                     yield rows(*held.pop())
         if held:
             yield rows(*merged())
@@ -267,38 +294,39 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
         v = sent.value
         units, listed, of, steps = Units(v["cluster"]), v["listed"], v["classes"].tolist(), v["steps"]
         emit = -np.log10(v["class_totals"] + ADDED * (v["class_types"] + 1))
-        end = of[units.end]
-        known: dict[bytes, tuple[int, float, int]] = {}  # class, log10 of count + ADDED, 1 if listed
-        end_log = float(np.log10(v["ends"] + ADDED))
+        end, end_log, end_known = of[units.end], float(np.log10(v["ends"] + ADDED)), int(v["ends"] > 0)
+
+        def values(word: bytes) -> tuple[int, float, int]:
+            n = listed.get(word)
+            return of[units.of(word)], math.log10(n + ADDED) if n else 0.0, int(n is not None)
+
+        table = WordTable(values, "qdq")
         for part in slices(batches, "text"):
-            if len(known) > FLUSH:
-                known.clear()
-            rows, rare = [], ([], [], [])
-            for i, t in enumerate(byte_texts(part)):
-                line, logs, n_known, missing = [end], 0.0, int(v["ends"] > 0), Counter()
-                for w in ascii_lower(t).split():
-                    got = known.get(w)
-                    if got is None:
-                        n = listed.get(w)
-                        got = known[w] = (of[units.of(w)], float(np.log10(n + ADDED)) if n else 0.0, int(n is not None))
-                    line.append(got[0])
-                    logs += got[1]
-                    n_known += got[2]
-                    if not got[2]:
-                        missing[w] += 1
-                line.append(end)
-                at = np.array(line)
-                model_log = float(steps[at[:-1], at[1:]].sum() + emit[at[1:-1]].sum()) + logs
-                rows.append((len(line) - 1, n_known, logs + end_log + (len(line) - 1) * base_all, model_log))
-                rare[0].extend([i] * len(missing))
-                rare[1].extend(missing)
-                rare[2].extend(missing.values())
-            numbers = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield _out(part.column("key"), part.column("text_hash"), None, None, *numbers)
-            if rare[0]:
-                at = pa.array(rare[0])
-                words = pa.array(rare[1], pa.binary()).cast(pa.string())
-                yield _out(part.column("key").take(at), part.column("text_hash").take(at), words, pa.array(rare[2], pa.int64()), None, None, None, None)
+            line, sizes = _joined_words(part)
+            numbers, (classes, logs, known) = table(line)
+            ends = np.cumsum(sizes)
+
+            def total(x: np.ndarray, ends: np.ndarray = ends, sizes: np.ndarray = sizes) -> np.ndarray:
+                sums = np.append(0, np.cumsum(x))
+                return sums[ends] - sums[ends - sizes]
+
+            at = _with_ends(classes[numbers], sizes, end)
+            moves = np.append(0, np.cumsum(steps[at[:-1], at[1:]]))
+            last = ends + np.arange(1, len(ends) + 1)
+            word_logs = total(logs[numbers])
+            model = moves[last] - moves[last - sizes - 1] + total(emit[classes[numbers]]) + word_logs
+            n_tokens = sizes + 1
+            base = word_logs + end_log + n_tokens * base_all
+            columns = [pa.array(x) for x in (n_tokens, total(known[numbers]).astype(np.int64) + end_known, base, model)]
+            yield _out(part.column("key"), part.column("text_hash"), None, None, *columns)
+            rare = np.flatnonzero(known[numbers] == 0)
+            if len(rare):
+                known_words = list(table.known)
+                width = len(known_words)
+                pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rare] * width + numbers[rare], return_counts=True)
+                rows = pa.array(pairs // width)
+                words = pa.array([known_words[i] for i in (pairs % width).tolist()], pa.binary()).cast(pa.string())
+                yield _out(part.column("key").take(rows), part.column("text_hash").take(rows), words, pa.array(times), None, None, None, None)
 
     names = ["key", "text_hash", "word", "times", "n_tokens", "n_known", "base_score", "score"]
     types = [None, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -310,7 +338,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     schema = f"key {kind}, text_hash bigint, word string, times bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    parts = own.mapInArrow(run, schema)
+    parts = materialize(own.mapInArrow(run, schema), "scored-parts")  # read as whole texts and as rare words
     whole = parts.where("word IS NULL").select("key", "text_hash", F.lit(1).cast("bigint").alias("rows"), "n_tokens", "n_known", "base_score", "score")
     rare = parts.where("word IS NOT NULL").select("key", "text_hash", "word", "times")
     joined = rare.join(vocabulary.withColumnRenamed("n", "count"), "word", "left")
