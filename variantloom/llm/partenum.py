@@ -13,6 +13,7 @@ passage brings documents together only if they have little else.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantloom.llm.common import KEY_MASK, WordHasher, ascii_lower, byte_texts, gram_hashes, mix, read_table, recurring_keys, slices
+from variantloom.llm.common import KEY_MASK, ascii_lower, byte_texts, gram_hashes, hashed_words, mix, read_table, recurring_keys, slices
 from variantloom.session import materialize
 
 SHINGLE = 5
@@ -32,15 +33,15 @@ BUCKETS = 128  # counts by which pairs are ruled out before their sets are compa
 PIVOTS = 3  # rounds that compare with one member of each group
 
 
-def shingle_set(hashes: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; fewer words than a shingle's are one together."""
-    if not len(hashes):
-        return hashes
-    return np.unique(gram_hashes(hashes, min(SHINGLE, len(hashes))))
-
-
-def sets_of(batch: pa.RecordBatch, hasher: WordHasher) -> list[np.ndarray]:
-    return [shingle_set(hasher(ascii_lower(t).split())) for t in byte_texts(batch)]
+def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text; fewer words than a shingle's are one together."""
+    hashes, at = hashed_words([ascii_lower(t) for t in byte_texts(batch)])
+    grams = gram_hashes(hashes, SHINGLE)
+    sets = []
+    for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        n = end - start
+        sets.append(np.unique(grams[start : end - SHINGLE + 1]) if n >= SHINGLE else gram_hashes(hashes[start:end], n) if n else hashes[:0])
+    return sets
 
 
 def class_of(elements: np.ndarray) -> int:
@@ -60,156 +61,178 @@ def band_of(n: int) -> int:
     return band
 
 
+class HotShingles:
+    """Which hashes belong to a sorted list. A table of low bits answers most of the others."""
+
+    def __init__(self, listed: np.ndarray):
+        self.listed = listed
+        self.low = np.zeros(1 << 22, bool)
+        self.low[(listed & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def __call__(self, elements: np.ndarray) -> np.ndarray:
+        found = self.low[(elements & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        at = np.flatnonzero(found)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.listed, elements[at]), len(self.listed) - 1)
+            found[at] = self.listed[place] == elements[at]
+        return found
+
+
 def band_signatures(elements: np.ndarray, hot: np.ndarray, band: int) -> np.ndarray:
-    """The signatures that a set keeps in one band.
+    """The signatures that a set keeps in one band; elements are sorted, and parts are ranges of them.
 
     With a set of size a, partners have at most 4a/3 elements and differ from it in at most
     (a + 4a/3) / 7 = a/3 elements, so in at most as many parts. One signature more than that is kept.
     """
-    seed = mix(np.array([band + 1], np.uint64) * np.uint64(0xA0761D6478BD642F))
-    marked = mix(elements ^ seed)
     if band:
-        parts = marked % np.uint64(FIRST_BAND * BAND_RATIO**band)
-        order = np.argsort(parts, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(parts[order]) > 0))
-        signatures = mix(np.add.reduceat(mix(marked[order] + np.uint64(1)), starts) + parts[order][starts])
-        common = np.logical_and.reduceat(hot[order], starts)
+        parts = ((elements >> np.uint64(32)) * np.uint64(FIRST_BAND * BAND_RATIO**band)) >> np.uint64(32)
+        starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+        found = mix(np.add.reduceat(mix(elements), starts) + parts[starts] * np.uint64(0xA0761D6478BD642F) + np.uint64(band))
+        common = np.logical_and.reduceat(hot, starts)
     else:
-        signatures, common = marked, hot
+        found, common = mix(elements), hot
+    # hot ones after all others, and both kinds by their hash
+    ordered = (found >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
     keep = len(elements) // 3 + 1
-    return signatures[np.lexsort((signatures, common))[:keep]]
+    return (ordered if keep >= len(ordered) else np.partition(ordered, keep - 1)[:keep]) & KEY_MASK
 
 
-def signatures(elements: np.ndarray, hot_list: np.ndarray) -> np.ndarray:
+def signatures(elements: np.ndarray, hot: HotShingles) -> np.ndarray:
     """Signatures of a set in its own band, and in the next one if a partner may lie there."""
     n = len(elements)
     if not n:
         return elements
-    at = np.minimum(np.searchsorted(hot_list, elements), max(0, len(hot_list) - 1))
-    hot = hot_list[at] == elements if len(hot_list) else np.zeros(n, bool)
-    own = band_of(n)
-    found = [band_signatures(elements, hot, own)]
+    common, own = hot(elements), band_of(n)
+    found = band_signatures(elements, common, own)
     if band_of(n * 4 // 3) > own:
-        found.append(band_signatures(elements, hot, own + 1))
-    return np.unique(np.concatenate(found) & KEY_MASK)
+        found = np.concatenate([found, band_signatures(elements, common, own + 1)])
+    return np.unique(found)
 
 
 def shape(elements: np.ndarray) -> bytes:
     """How many elements fall in each of BUCKETS; two shapes differ by no more than their sets do."""
-    return np.bincount((elements % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
+    counts = np.bincount((elements % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
 
 
 def _map(docs: DataFrame, rows, schema: str) -> DataFrame:
-    """``rows(batch, sets)`` over slices of ``doc_id, text``."""
+    """``rows(batch, sets)`` over slices of ``docs``, which has a column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for part in slices(batches, "text"):
-            yield from rows(part, sets_of(part, hasher))
+            yield from rows(part, sets_of(part))
 
     return docs.mapInArrow(run, schema)
 
 
-def set_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, class, n`` of each row; class is null for an empty set."""
-
-    def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-        columns = [part.column("doc_id"), part.column("text_hash"), classes, pa.array([len(s) for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "n"])
-
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return _map(own, rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, class bigint, n bigint")
-
+def set_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, text_hash, class, n, shape`` of each row (class is null for an empty set), and the hot shingles.
 
-def hot_shingles(docs: DataFrame, total: int) -> np.ndarray:
-    """Sorted hashes of shingles with HOT_SHARE of all: at most 1 / HOT_SHARE numbers."""
+    One pass gives both: each task also counts its shingles in chunks and passes on those that it meets
+    more than twice. Hot are those with HOT_SHARE of all, so at most 1 / HOT_SHARE of them, sorted.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "class", "n", "shape", "shingle", "times"]
+    types = [None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = WordHasher(), [], 0
+        held, size, doc_type = [], 0, None
 
         def often() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 2].view(np.int64)), pa.array(n[n > 2])], ["shingle", "n"])
+            found, n = found[n > 2].view(np.int64), n[n > 2]
+            none = [pa.nulls(len(n), t or doc_type) for t in types[:5]]
+            return pa.RecordBatch.from_arrays([*none, pa.array(found), pa.array(n)], names)
 
         for part in slices(batches, "text"):
-            held += sets_of(part, hasher)
-            size += sum(map(len, held[-part.num_rows :]))
+            sets, doc_type = sets_of(part), part.schema.field("doc_id").type
+            own = [(class_of(s), len(s), shape(s)) if len(s) else (None, 0, None) for s in sets]
+            columns = [pa.array(c, t) for c, t in zip(zip(*own, strict=True), types[2:5], strict=True)]
+            none = [pa.nulls(part.num_rows, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *columns, *none], names)
+            held += sets
+            size += sum(map(len, sets))
             if size > HOT_CHUNK:
                 yield often()
                 held, size = [], 0
         if size:
             yield often()
 
-    counted = docs.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= max(3.0, HOT_SHARE * total)).select("shingle").collect()
-    return np.sort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    both = own.mapInArrow(run, f"doc_id {kind}, text_hash bigint, class bigint, n bigint, shape binary, shingle bigint, times bigint")
+    both = materialize(both, "set-classes")
+    classes = both.where("shingle IS NULL").select("doc_id", "text_hash", "class", "n", "shape")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = both.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times"))
+    rows = counted.where(F.col("times") >= max(3.0, HOT_SHARE * total)).select("shingle").collect()
+    return classes, np.sort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
 
 
 def candidate_members(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``key, class, n``: signatures that two classes or more may share, with those classes."""
+    """``key, class, n``: signatures that two classes of fitting size may share, with those classes.
+
+    Sizes that fit differ by a third at most, so they lie in the same or in neighbouring cells of that width.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
-    hashers: list[WordHasher] = []
+    hot_of: list[HotShingles] = []
 
-    def distinct_sets(part: pa.RecordBatch, sets: list[np.ndarray]) -> dict[int, np.ndarray]:
-        return {class_of(s): s for s in sets if len(s)}
+    def found(sets: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
+        if not hot_of:
+            hot_of.append(HotShingles(sent.value))
+        own = {class_of(s): s for s in sets if len(s)}
+        return list(own), [signatures(s, hot_of[0]) for s in own.values()]
 
     def keys_of(part: pa.RecordBatch) -> np.ndarray:
-        if not hashers:
-            hashers.append(WordHasher())
-        found = [signatures(s, sent.value) for s in distinct_sets(part, sets_of(part, hashers[0])).values()]
-        return np.concatenate([np.zeros(0, np.uint64), *found])
+        return np.concatenate([np.zeros(0, np.uint64), *found(sets_of(part))[1]])
 
     def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own = distinct_sets(part, sets)
-        found = [signatures(s, sent.value) for s in own.values()]
-        sizes = [len(f) for f in found]
-        keys = np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)
-        classes = np.repeat(np.array(list(own), np.int64), sizes)
-        n = np.repeat(np.array([len(s) for s in own.values()], np.int32), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes), pa.array(n)], ["key", "class", "n"])
+        classes, keys = found(sets)
+        lengths = [len(k) for k in keys]
+        every = np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.int64)
+        sizes = {class_of(s): len(s) for s in sets if len(s)}
+        n = np.repeat(np.array([sizes[c] for c in classes], np.int32), lengths)
+        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.array(classes, np.int64), lengths)), pa.array(n)], ["key", "class", "n"])
 
     recurring = materialize(recurring_keys(docs, keys_of), "recurring-signatures")
-    members = _map(docs, rows, "key bigint, class bigint, n int").join(recurring, "key", "left_semi").distinct()
-    members = materialize(members, "signature-members")
-    several = members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
-    return materialize(members.join(several, "key", "left_semi"), "candidate-members")
+    members = materialize(_map(docs, rows, "key bigint, class bigint, n int").join(recurring, "key", "left_semi"), "signature-members")
+    cell = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")
+    celled = members.withColumn("cell", F.explode(F.array(cell, cell + 1)))
+    several = celled.groupBy("key", "cell").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key", "cell")
+    near = celled.join(several, ["key", "cell"], "left_semi").select("key", "class", "n").distinct()
+    return materialize(near, "candidate-members")
 
 
-def candidate_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``class, n, shape, elements`` of the classes that have candidates, one row each."""
-    wanted = members.select("class").distinct()
+def fetched_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class, elements`` of the wanted classes (and of other rows with the same doc_ids), by reading their texts.
 
-    def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own = {class_of(s): t for s, t in zip(sets, part.column("text").to_pylist(), strict=True) if len(s)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.string())], ["class", "text"])
+    One document of each class is read. The list of doc_ids is stored, so that its real size decides how
+    it is joined. A class may come twice.
+    """
+    first = classes.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("_id"))
+    ids = materialize(first.select("_id").distinct().sort("_id"), "candidate-ids")
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for part in slices(batches, "text"):
-            sets = sets_of(part, hasher)
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([shape(s) for s in sets]), pa.array([s.tobytes() for s in sets])]
-            yield pa.RecordBatch.from_arrays([part.column("class"), *columns], ["class", "n", "shape", "elements"])
+    def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own = {class_of(s): s.tobytes() for s in sets if len(s)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["class", "elements"])
 
-    texts = _map(docs, rows, "class bigint, text string").join(wanted, "class", "left_semi")
-    one = texts.groupBy("class").agg(F.first("text").alias("text"))
-    return one.mapInArrow(unfold, "class bigint, n bigint, shape binary, elements binary")
+    return materialize(_map(texts, rows, "class bigint, elements binary"), "candidate-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link. Shapes rule out most of the others before whole sets are moved."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link. Shapes rule out most of the others before texts are read."""
 
-    def with_both(p: DataFrame, column: str) -> DataFrame:
+    def with_both(p: DataFrame, values: DataFrame, column: str) -> DataFrame:
         for side in ("a", "b"):
-            other = sets.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"v_{side}"))
-            p = p.join(other, side)
-        return p.select("a", "b", "n_a", "n_b", "v_a", "v_b")
+            p = p.join(values.select(F.col("class").alias(side), F.col(column).alias(f"v_{side}")), side)
+        return p.select("a", "b", "v_a", "v_b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for c in ("v_a", "v_b"))
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            ok = pa.array(7 * np.abs(a - b).sum(axis=1) <= total)
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int64) for c in ("v_a", "v_b"))
+            # a set that fills a bucket beyond its counter is larger than the sum; such pairs are kept
+            total, full = a.sum(axis=1) + b.sum(axis=1), (np.maximum(a, b) == 65535).any(axis=1)
+            ok = pa.array((7 * np.abs(a - b).sum(axis=1) <= total) | full)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +243,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
-    close = materialize(with_both(pairs, "shape").mapInArrow(near, "a bigint, b bigint"), "close-pairs")
-    return with_both(close, "elements").mapInArrow(equal, "a bigint, b bigint")
+    close = materialize(with_both(pairs, shapes, "shape").mapInArrow(near, "a bigint, b bigint").distinct(), "close-pairs")
+    sets = fetched_sets(docs, classes, close.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    return with_both(close, sets, "elements").mapInArrow(equal, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,34 +266,37 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def link_classes(members: DataFrame, sets: DataFrame) -> DataFrame:
+def link_classes(members: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, root`` of the linked classes.
 
-    Rounds compare one member of each signature group with all members that are not yet connected with
-    it. That joins groups of near copies, whatever their size, without listing their pairs. Then members of a
-    group that are still apart are compared with one another, so that no link is lost.
+    In a round each signature group has a pivot, and every class is compared with one pivot of its groups that
+    it is not yet connected with. That joins groups of near copies, whatever their size, without
+    listing their pairs. Then classes of a group that are still apart are compared with one
+    another, so that no link is lost.
     """
     spark = members.sparkSession
     roots = spark.createDataFrame([], "node bigint, root bigint")
     tested = spark.createDataFrame([], "a bigint, b bigint")
     links = spark.createDataFrame([], "a bigint, b bigint")
+    shapes = classes.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("shape").alias("shape"))
+    shapes = materialize(shapes, "candidate-shapes")
     fits = (4 * F.col("x.n") >= 3 * F.col("y.n")) & (4 * F.col("y.n") >= 3 * F.col("x.n"))
-    ordered = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
     for turn in range(PIVOTS + 1):
-        label = roots.withColumnsRenamed({"node": "class"})
-        marked = members.join(label, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        apart = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("rank"), "class", "n", "root")).alias("pivot")).where("low < high")
+        marked = members.join(roots.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        rank = F.struct(F.xxhash64("class", F.lit(turn)).alias("rank"), "class", "n", "root")
+        groups = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(rank).alias("pivot")).where("low < high")
         if turn < PIVOTS:
-            x = apart.select("key", "pivot.class", "pivot.n", "pivot.root")
+            x = groups.select("key", "pivot.*")
+            found = x.alias("x").join(marked.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & fits)
+            found = found.groupBy("y.class").agg(F.min_by("x.class", "x.rank").alias("other")).select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
         else:
-            x = marked.join(apart.select("key"), "key", "left_semi")
-        found = x.alias("x").join(marked.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & fits)
-        if turn == PIVOTS:
-            found = found.where("x.class < y.class")
-        pairs = materialize(found.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count() and turn < PIVOTS:
+            x = materialize(marked.join(groups.select("key"), "key", "left_semi"), "apart")
+            found = x.alias("x").join(x.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & fits & (F.col("x.class") < F.col("y.class")))
+            found = found.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+        pairs = materialize(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
             continue
-        links = materialize(links.unionByName(verified(pairs, sets)), "links")
+        links = materialize(links.unionByName(verified(pairs, docs, classes, shapes)), "links")
         tested = materialize(tested.unionByName(pairs), "tested-pairs")
         roots = components(links)
     return roots
@@ -285,11 +312,9 @@ def join_similar(docs: DataFrame) -> DataFrame:
     result. An empty table gives no rows; other columns are left out.
     """
     own = docs.select("doc_id", "text")
-    classes = materialize(set_classes(own), "set-classes")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = candidate_members(own, hot_shingles(own, total))
-    sets = materialize(candidate_sets(own, members), "candidate-sets")
-    roots = link_classes(members, sets)
+    classes, hot = set_classes(own)
+    members = candidate_members(own, hot)
+    roots = link_classes(members, own, classes)
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
     firsts = classes.where("class IS NOT NULL").groupBy("class").agg(least.alias("least"))
     rooted = firsts.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
