@@ -29,8 +29,8 @@ FIRST_BAND = 64  # sets below this size have a part for each element
 BAND_RATIO = 8
 HOT_SHARE = 5e-7  # share of all shingles from which one is hot: at most 2e6 of them
 HOT_CHUNK = 4_000_000  # shingles that a task counts together
-BUCKETS = 128  # counts by which pairs are ruled out before their sets are compared
-PIVOTS = 3  # rounds that compare with one member of each group
+BUCKETS = 512  # counts by which pairs are ruled out before their sets are compared
+PIVOTS = 6  # rounds that compare with one member of each group
 
 
 def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -112,7 +112,7 @@ def signatures(elements: np.ndarray, hot: HotShingles) -> np.ndarray:
 def shape(elements: np.ndarray) -> bytes:
     """How many elements fall in each of BUCKETS; two shapes differ by no more than their sets do."""
     counts = np.bincount((elements % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _map(docs: DataFrame, rows, schema: str) -> DataFrame:
@@ -229,9 +229,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shapes: Data
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int64) for c in ("v_a", "v_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in ("v_a", "v_b"))
             # a set that fills a bucket beyond its counter is larger than the sum; such pairs are kept
-            total, full = a.sum(axis=1) + b.sum(axis=1), (np.maximum(a, b) == 65535).any(axis=1)
+            total, full = a.sum(axis=1) + b.sum(axis=1), (np.maximum(a, b) == 255).any(axis=1)
             ok = pa.array((7 * np.abs(a - b).sum(axis=1) <= total) | full)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
@@ -280,15 +280,20 @@ def link_classes(members: DataFrame, docs: DataFrame, classes: DataFrame) -> Dat
     links = spark.createDataFrame([], "a bigint, b bigint")
     shapes = classes.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("shape").alias("shape"))
     shapes = materialize(shapes, "candidate-shapes")
+    degrees = members.groupBy("class").agg(F.count("*").alias("keys"), F.first("n").alias("n"))
+    shared = materialize(degrees.select("class", F.round(F.col("keys") / F.col("n"), 2).alias("shared")), "shared-signatures")
+    members = members.join(shared, "class")
     fits = (4 * F.col("x.n") >= 3 * F.col("y.n")) & (4 * F.col("y.n") >= 3 * F.col("x.n"))
     for turn in range(PIVOTS + 1):
         marked = members.join(roots.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        rank = F.struct(F.xxhash64("class", F.lit(turn)).alias("rank"), "class", "n", "root")
+        # the text that others were copied from has most of its signatures in common, so it goes first
+        order = -F.col("shared") if turn == 0 else F.lit(0.0)
+        rank = F.struct(order.alias("order"), F.xxhash64("class", F.lit(turn)).alias("rank"), "class", "n", "root")
         groups = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(rank).alias("pivot")).where("low < high")
         if turn < PIVOTS:
             x = groups.select("key", "pivot.*")
             found = x.alias("x").join(marked.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & fits)
-            found = found.groupBy("y.class").agg(F.min_by("x.class", "x.rank").alias("other")).select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
+            found = found.groupBy("y.class").agg(F.min_by("x.class", F.struct("x.order", "x.rank")).alias("other")).select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
         else:
             x = materialize(marked.join(groups.select("key"), "key", "left_semi"), "apart")
             found = x.alias("x").join(x.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & fits & (F.col("x.class") < F.col("y.class")))
