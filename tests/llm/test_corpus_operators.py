@@ -126,6 +126,14 @@ def test_clean_documents_stay_as_they_are(spark):
     assert sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] not in (10, 11)) == sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    passage = " ".join(words(3, 30, 5000))
+    clean = [(None, " ".join(words(60, 40, 5000))), (None, None), (1, " ".join(words(61, 40, 5000)))]
+    docs = documents(spark, [*clean, (None, passage), (1, passage), (2, passage)])
+    kept = winnow.clean_documents(docs, items(spark, [(1, passage)]))
+    assert by_value((r["doc_id"], r["text"]) for r in kept.collect()) == by_value(clean)
+
+
 # --- PartEnum
 
 
@@ -187,6 +195,17 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(map(tuple, alone)) == [(1, 1), (2, 2)]
 
 
+def test_groups_without_ids_keep_one_row(spark):
+    base, alone, lone = words(62, 120, 5000), words(63, 60, 5000), words(64, 60, 5000)
+    near = base[:60] + ["changed"] + base[61:]
+    texts = [base, base, near, alone, alone, lone]
+    docs = documents(spark, [*[(None, " ".join(t)) for t in texts], (None, None), (None, None), (3, " ".join(alone))])
+    kept = [(r["doc_id"], r["text"]) for r in partenum.keep_first(docs).collect()]
+    assert len([t for _, t in kept if t in (" ".join(base), " ".join(near))]) == 1
+    rest = [(i, t) for i, t in kept if t not in (" ".join(base), " ".join(near))]
+    assert by_value(rest) == by_value([(3, " ".join(alone)), (None, " ".join(lone)), (None, None), (None, None)])
+
+
 # --- phrases
 
 

@@ -313,19 +313,21 @@ def join_similar(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links reach, the row's own included; rows with equal sets
     are linked. ``first`` marks the row that stands for its component: smallest doc_id, then smallest
     text_hash. Null and empty texts, and texts without words, have no set and stand alone. A null doc_id is
-    never the smallest, unless a component has no other. Rows repeated in the input are repeated in the
+    never the smallest, unless a component has no other; then the smallest text_hash stands for it. Rows repeated in the input are repeated in the
     result. An empty table gives no rows; other columns are left out.
     """
     own = docs.select("doc_id", "text")
     classes, hot = set_classes(own)
     members = candidate_members(own, hot)
     roots = link_classes(members, own, classes)
-    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    own_place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # null ids after all others
+    least = F.min(own_place)
     firsts = classes.where("class IS NOT NULL").groupBy("class").agg(least.alias("least"))
     rooted = firsts.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     out = classes.join(rooted.join(smallest, "root").select("class", "component"), "class", "left")
-    first = F.col("component").isNull() | (F.col("component") == F.struct("doc_id", "text_hash"))
+    own_id = F.col("component.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("component.text_hash") == F.col("text_hash"))
+    first = F.col("component").isNull() | own_id
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component.doc_id", "doc_id").alias("component_id"), F.coalesce(first, F.lit(False)).alias("first"))
 
 

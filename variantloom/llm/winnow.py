@@ -102,8 +102,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.select("doc_id", "text_hash", "start", "length", "item_id").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each document row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row for each document row: ``doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     A word is hit when it lies in any occurrence of a benchmark window. A document is contaminated
     with 5 percent or more of its words hit. A null or empty text has no words and is clean; an empty
@@ -121,6 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     n_hit, items_list = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
+        "text_hash",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items_list).cast("long").alias("n_items"),
@@ -129,6 +130,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``judged`` without the hash of the text."""
+    return judged(docs, items, window).drop("text_hash")
+
+
 def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on doc_id (nulls are equal) and text_hash, with the left side's keys."""
     other = right.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
@@ -137,9 +143,10 @@ def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
-    bad = materialize(contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, with their columns; a row is known by doc_id and text, so others with its id stay."""
+    bad = judged(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad = materialize(bad, "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_hash")), "left_anti")
 
 
 def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
