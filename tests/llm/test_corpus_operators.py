@@ -243,6 +243,22 @@ def test_phrases_equal_all_windows(spark, monkeypatch, most):
     assert phrases.deduplicate(documents(spark, [])).collect() == []
 
 
+def test_a_passage_in_many_surroundings_is_not_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_PIECES", 5)
+    sizes, locate = [], phrases.locate
+
+    def watched(parts):
+        sizes.extend(r["count"] for r in parts.groupBy("shard").count().collect())
+        return locate(parts)
+
+    monkeypatch.setattr(phrases, "locate", watched)
+    passage = words(81, 14, 100000)
+    rows = [(i, " ".join(words(800 + i, 9, 10**6) + passage + words(900 + i, 9, 10**6))) for i in range(40)]
+    got = phrases.deduplicate(documents(spark, rows)).collect()
+    assert by_value(tuple(r) for r in got) == by_value(plain_removal(rows))
+    assert max(sizes, default=0) <= 5
+
+
 # --- class-based model
 
 

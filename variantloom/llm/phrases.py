@@ -185,19 +185,30 @@ def locate(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "piece_id bigint, offset int, first_doc bigint")
 
 
+def crowded_hits(merged: DataFrame) -> DataFrame:
+    """``piece_id, offset, first_doc`` as ``locate`` gives them, for anchors with very many different stretches.
+
+    Stretches are split into windows, and the rows of a window are merged before they move, so no task holds the
+    stretches that share one. The join back to them is left to adaptive execution, which splits a window that many have.
+    """
+    split = F.split("piece", " ")
+    window = lambda i: F.array_join(F.slice(split, i + 1, WINDOW), " ")
+    cut = F.transform(F.sequence(F.lit(0), F.size(split) - WINDOW), lambda i: F.struct(i.cast("int").alias("offset"), window(i).alias("part")))
+    single = merged.select("piece_id", "low", "high", F.inline(cut))
+    shared = single.groupBy("part").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
+    shared = materialize(shared.select("part", "first_doc"), "crowded-windows")
+    return single.join(shared, "part").select("piece_id", "offset", "first_doc")
+
+
 def removable(docs: DataFrame) -> DataFrame:
     """``doc, text_hash, starts``: starts of windows that some document with a smaller doc_id has too."""
     pieces = materialize(stretches(docs, materialize(recurring_places(docs), "anchor-places")).withColumn("piece_id", F.xxhash64("key", "piece")), "stretches")
     merged = pieces.groupBy("piece_id").agg(F.first("key").alias("key"), F.first("piece").alias("piece"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     merged = materialize(merged, "distinct-stretches")
     many = merged.groupBy("key").count().where(F.col("count") > SHARD_PIECES).select("key", F.lit(True).alias("crowded"))
-    split = F.split("piece", " ")
-    window = lambda i: F.array_join(F.slice(split, i + 1, WINDOW), " ")
-    single = F.transform(F.sequence(F.lit(0), F.size(split) - WINDOW), lambda i: F.struct(F.xxhash64(window(i)).alias("shard"), i.cast("int").alias("offset"), window(i).alias("part")))
-    whole = F.array(F.struct(F.col("key").alias("shard"), F.lit(0).alias("offset"), F.col("piece").alias("part")))
-    # an anchor with very many different stretches is split into its windows, each with a shard of its own
-    dealt = merged.join(many, "key", "left").select("piece_id", "low", "high", F.inline(F.when(F.coalesce("crowded", F.lit(False)), single).otherwise(whole)))
-    hits = locate(dealt.withColumnRenamed("part", "piece")).groupBy("piece_id").agg(F.collect_set(F.struct("offset", "first_doc")).alias("hits"))
+    marked = merged.join(many, "key", "left")
+    whole = marked.where("crowded IS NULL").select(F.col("key").alias("shard"), "piece_id", F.lit(0).alias("offset"), "piece", "low", "high")
+    hits = locate(whole).unionByName(crowded_hits(marked.where("crowded"))).groupBy("piece_id").agg(F.collect_set(F.struct("offset", "first_doc")).alias("hits"))
     back = pieces.select("doc", "text_hash", "start", "piece_id").join(materialize(hits, "passages"), "piece_id")
     earlier = F.filter("hits", lambda h: h["first_doc"] < F.col("doc"))
     starts = F.transform(earlier, lambda h: F.col("start") + h["offset"])
