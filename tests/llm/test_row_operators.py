@@ -197,3 +197,36 @@ def test_html_follows_its_host(spark):
     rows = [(i, f"http://h.example/{i}", usual) for i in range(5)] + [(9, "http://h.example/9", odd), (10, "http://other.example/9", odd)]
     got = {r["page_id"]: r["text"] for r in html.extract_pages(pages(spark, rows)).collect()}
     assert got[9] == "Short story." and got[10].startswith("A box")
+
+
+LONG = "<p>" + "A sentence of the article text. " * 30 + "</p>"
+LINKS = "<p>See " + "<a href='x'>another article of ours</a> " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "body, lost, extra",
+    [
+        (f"<article><h1>Head</h1><p>Lead</p><div class='body'>{LONG}</div></article>", ["Head", "Lead"], []),
+        (f"<div class='text'><section class='a'>{LONG}</section><section class='b'><p>Second part</p></section></div>", ["Second part"], []),
+        (f"<section class='a'>{LONG}</section><section class='b'><p>Second part</p></section>", ["Second part"], []),
+        (f"<article><div>{LONG}</div>{LINKS}</article>", ["another article"], []),
+        (f"<div class='post'><h1>Head</h1><div>{LONG}</div>{LINKS}</div>", ["Head", "another article"], []),
+        (f"<div class='content has-sidebar'><article><h1>Head</h1>{LONG}</article><div class='sidebar'><p>Side</p></div></div>", ["Head"], ["Side"]),
+        (f"<div class='sidebar'><article><h1>Head</h1>{LONG}</article><p>Side</p></div>", ["Head"], ["Side"]),
+        (f"<form id='aspnet'><main><h1>Head</h1>{LONG}</main><p>Field</p></form>", ["Head"], ["Field"]),
+        (f"<article>{LONG}<div class='comments'><article><p>Reader says</p></article></div></article>", [], ["Reader says"]),
+        (f"<nav><article><p>Teaser</p></article></nav><div>{LONG}</div><div class='ad'>Buy</div>", [], ["Teaser", "Buy"]),
+    ],
+)
+def test_html_drops_no_part_of_the_article(body, lost, extra):
+    whole = page(body)
+    for winners in ([], [html.vote(whole)]):
+        text, _ = html.extract(whole, winners)
+        assert "A sentence of the article text." in text
+        assert all(t in text for t in lost) and not any(t in text for t in extra)
+
+
+def test_html_without_a_body_keeps_all_articles():
+    whole = "<nav>Menu</nav><article><p>First article</p></article><article class='b'><p>Second article</p></article>"
+    for winners in ([], [html.vote(whole), "/article"]):
+        assert html.extract(whole, winners)[0] == "First article\n\nSecond article"

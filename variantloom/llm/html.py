@@ -34,28 +34,33 @@ CLOSES_P = BLOCKS - frozenset("td th tr thead tbody tfoot caption html body".spl
 OUTSIDE_TAGS = frozenset("nav header footer aside form button select option svg canvas object audio video dialog menu head fieldset".split())
 # end of fixed values
 
-#: Words of class names, ids and roles that mark what is not the article.
+#: Tags whose mark, like that of a class, an article or main inside them overrules.
+WRAPPERS = frozenset("form fieldset".split())
+ARTICLES = frozenset("article main".split())
+#: Class names, ids and roles that mark what is not the article.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related "
     "reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo".split()
 )
 WORD = re.compile(r"[a-z]+")
+NAME = re.compile(r"\S+")
 DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "outside", "start", "good", "links", "end")
+    __slots__ = ("tag", "path", "outside", "start", "up", "firm", "good", "links", "end")
 
-    def __init__(self, tag: str, path: str, outside: bool, start: int):
+    def __init__(self, tag: str, path: str, outside: bool, start: int, up: Node | None = None, firm: bool = False):
         self.tag, self.path, self.outside, self.start = tag, path, outside, start
+        self.up, self.firm = up, firm  # the container around it; whether an article inside stays outside too
         self.good = self.links = 0
         self.end = -1
 
 
 def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
     """The elements of a page in order, and its pieces: (text, element, whether a new block begins)."""
-    root = Node("", "", False, 0)
+    root = Node("body", "", False, 0)  # stands for the body of a page without one
     stack, nodes, pieces = [root], [], []
     links = 0
     fresh, pos, n = True, 0, len(page)
@@ -81,9 +86,8 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
             links -= node.tag == "a"
             if node.tag in BLOCKS:
                 fresh = True
-            if not node.outside:
-                stack[-1].good += node.good
-                stack[-1].links += node.links
+            stack[-1].good += node.good  # an outside element has only that of articles in it
+            stack[-1].links += node.links
 
     def find(tags: frozenset[str], stop: frozenset[str]) -> int:
         for i in range(len(stack) - 1, 0, -1):
@@ -125,10 +129,16 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
         if m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         names = [a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])] if m[3] else []
-        words = {w for name in names for w in WORD.findall(name.lower())}
-        outside = stack[-1].outside or tag in OUTSIDE_TAGS or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(OUTSIDE_WORDS))
+        above = stack[-1]
+        firm = above.firm or tag in OUTSIDE_TAGS - WRAPPERS
+        if tag in ARTICLES:
+            outside = above.outside and (firm or marked(names))
+        else:
+            outside = above.outside or tag in OUTSIDE_TAGS or (tag not in ("html", "body") and marked(names))
+            # inside an article, what is marked is not opened again: comments are articles within it
+            firm = firm or (outside and not above.outside and any(x.tag in ARTICLES for x in stack))
         step = tag if not names else f"{tag}.{DIGITS.sub('N', '.'.join(sorted(names[0].split())))}"
-        node = Node(tag, f"{stack[-1].path}/{step}" if tag in CONTAINERS else stack[-1].path, outside, len(pieces))
+        node = Node(tag, f"{above.path}/{step}" if tag in CONTAINERS else above.path, outside, len(pieces), above if above.tag in CONTAINERS else above.up, firm)
         stack.append(node)
         nodes.append(node)
         links += tag == "a"
@@ -136,21 +146,52 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
             fresh = True
     text(n)
     close(1)
+    root.end = len(pieces)
     return nodes, pieces
 
 
+def marked(names: list[str]) -> bool:
+    """Whether a class, id or role as a whole is made of words for what is not the article ("has-sidebar" is not)."""
+    return any((words := WORD.findall(name)) and OUTSIDE_WORDS.issuperset(words) for value in names for name in NAME.findall(value.lower()))
+
+
 def score(node: Node) -> float:
     """Text outside links counts, text in links counts against."""
     return node.good - 2 * node.links
 
 
 def best(nodes: list[Node]) -> Node | None:
-    """The innermost container that still has nearly all of the page's good text."""
-    held = [x for x in nodes if x.tag in CONTAINERS and not x.outside and score(x) > 0]
+    """The outermost container whose text is all article.
+
+    The innermost container with nearly all of the good text lies inside it or is it. An article around that
+    is taken whole; another container around it, when it has text of its own or inner containers add
+    more text than links. A body is also home to boxes that are not marked, so only its own text and its
+    sections and articles count.
+    """
+    inner = [x for x in nodes if x.tag in CONTAINERS and (not x.outside or x.good)]
+    held = [x for x in inner if not x.outside and score(x) > 0]
     if not held:
-        return None
+        # links alone are no reason to drop an article
+        return next((x for x in inner if not x.outside and x.tag in ARTICLES and x.good), None)
     most = max(score(x) for x in held)
-    return [x for x in held if score(x) >= 0.9 * most][-1]
+    chosen = [x for x in held if score(x) >= 0.9 * most][-1]
+    at = chosen.up
+    while at:
+        if not at.outside and at.good > chosen.good and (at.tag == "article" or adds(at, chosen, inner)):
+            chosen = at
+        at = at.up
+    return chosen
+
+
+def adds(around: Node, chosen: Node, inner: list[Node]) -> bool:
+    """Whether a container has article text beside the chosen one inside it."""
+    beside = [x for x in inner if x.up is around]
+    own = around.good - around.links - sum(x.good - x.links for x in beside)
+    if own > 0:
+        return True
+    if around.tag == "body":
+        return any(x.tag in ("article", "section") and score(x) > 0 and not x.start <= chosen.start < x.end for x in beside)
+    return score(around) > score(chosen)
 
 
 def blocks(pieces: list[tuple[str, Node, bool]], nodes: list[Node]) -> str:
@@ -182,14 +223,16 @@ def extract(page: str, winners: list[str]) -> tuple[str, str]:
     """Text and path: from all containers on the first winning path that has text here, else from the page's own best."""
     nodes, pieces = scan(page)
     held = [x for x in nodes if x.tag in CONTAINERS and not x.outside]
+    whole = Node("", "", False, 0)
+    whole.end = len(pieces)
     for path in winners:
+        if not path and any(x.good for x in held):
+            return blocks(pieces, [whole]), path
         if chosen := [x for x in held if x.path == path and x.good]:
             return blocks(pieces, chosen), path
     found = best(nodes)
     if found:
         return blocks(pieces, [found]), found.path
-    whole = Node("", "", False, 0)
-    whole.end = len(pieces)
     return blocks(pieces, [whole]), ""
 
 
