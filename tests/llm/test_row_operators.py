@@ -156,6 +156,51 @@ def test_license_digest_ignores_layout(spark):
     assert licenses.scan(documents(spark, [])).collect() == []
 
 
+def test_usual_licenses_are_known(spark):
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    mit = licenses.MIT.replace("\n", " ").replace("THE AUTHORS OR COPYRIGHT", "THE\nAUTHORS OR COPYRIGHT")
+    longest = {}
+    for i, t in licenses.known_texts():
+        longest[i] = max(longest.get(i, ""), t, key=len)
+    usual = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "Zlib"]
+    rows = [(0, "/*\n * " + apache.replace("\n", "\n * ") + "\n */"), (1, gpl), (2, "MIT License\n\nCopyright (c) 2020 A\n\n" + mit)]
+    rows += [(10 + n, "Copyright 2020 A\n\n" + longest[i].upper()) for n, i in enumerate(usual)]
+    rows += [(30, "# SPDX-License-Identifier: MIT\ncode\n# This work is licensed under a Creative Commons Attribution 4.0 International License.")]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, rows)).collect()}
+    assert [got[i]["license_id"] for i in (0, 1, 2)] == ["Apache-2.0", "GPL-3.0", "MIT"] and got[0]["notices"] == "Apache-2.0"
+    assert [got[10 + n]["license_id"] for n in range(len(usual))] == usual
+    assert got[30]["notices"] == "CC-BY-4.0,MIT" and got[30]["license_id"] is None
+
+
+def test_known_licenses_come_from_a_table(spark):
+    table = spark.createDataFrame([("House-1", "House licence, first line"), ("House-1", None)], "license_id string, known_text string")
+    rows = [(1, "HOUSE LICENSE -- first line"), (2, "a\nHouse License: First Line"), (3, "Released under the MIT License."), (4, None)]
+    got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in licenses.scan(documents(spark, rows), table).collect()}
+    assert got == {1: ("House-1", "House-1"), 2: (None, "House-1"), 3: (None, ""), 4: (None, "")}
+
+
 # --- HTML
 
 

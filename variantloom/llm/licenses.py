@@ -7,6 +7,10 @@ notices are known as lines.
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,24 +81,32 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+@cache
+def known_texts() -> tuple[tuple[str, str], ...]:
+    """(id, text) of the shipped table: KNOWN, whole texts in their usual line lengths, standard headers and one-line notices."""
+    shipped = Path(__file__).with_name("known_licenses.jsonl").read_text(encoding="utf-8").splitlines()
+    return (*KNOWN, *((r["license_id"], r["known_text"]) for r in map(json.loads, shipped)))
+
+
+def known_digests(spark: SparkSession, known: DataFrame | list[tuple[str, str]] = KNOWN) -> DataFrame:
     """``license_id, license_digest``, one row for each distinct digest: as long as the list of known texts."""
-    rows = spark.createDataFrame(known, "license_id string, known_text string")
-    return rows.groupBy(digest(F.col("known_text")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license_id string, known_text string")
+    return rows.groupBy(digest(F.col("known_text")).alias("license_digest")).agg(F.min("license_id").alias("license_id")).where("license_digest IS NOT NULL")
 
 
-def scan(df: DataFrame, known: list[tuple[str, str]] = KNOWN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, known: DataFrame | list[tuple[str, str]] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each input row: ``key``, ``license_digest`` of the whole text, ``license_id`` it is known as,
     and ``notices``: ids known for single lines, comma-joined, distinct, in order of the ids.
 
     Whole texts are hash-joined on their digest. The lines that name a licence at all are looked up in
-    the row. Null and empty texts have no digest, no id and empty notices; null keys and repeated rows
-    stay; other columns are left out. The known list is fixed, so its join side may be broadcast.
+    the row. ``known`` is a table ``license_id, known_text``, or rows of one; without it, the shipped table. Null and empty texts have no digest, no id and empty notices; null keys and repeated rows
+    stay; other columns are left out. The known table is as long as there are known texts, so its join
+    side may be broadcast.
     """
     spark = df.sparkSession
-    table = known_digests(spark, known)
-    entries = [F.lit(x) for row in table.collect() for x in (row["license_digest"], row["license_id"])]  # as long as the known list
-    notice_ids = F.create_map(*entries) if entries else F.lit(None).cast("map<string,string>")
+    digests = known_digests(spark, list(known_texts()) if known is None else known).collect()  # as long as the known table
+    table = spark.createDataFrame(digests, "license_digest string, license_id string")
+    notice_ids = F.from_json(F.lit(json.dumps({r["license_digest"]: r["license_id"] for r in digests})), "map<string,string>")
     own = df.select(F.col(key).alias("key"), F.col(text).alias("body"))
     lines = F.filter(F.split(F.coalesce("body", F.lit("")), "\n"), lambda line: F.regexp_like(line, F.lit("(?i)licen[cs]e")))
     looked = own.withColumns({"license_digest": digest(F.col("body")), "line_digests": F.transform(lines, digest)})
