@@ -1,6 +1,6 @@
 """The queries of this package and the SQL that must give the same rows."""
 
-from variantloom.llm import bpe, chat, classlm, dualtree, html, licenses, partenum, phrases, quality, secrets, whitening, winnow
+from variantloom.llm import bpe, chat, classlm, dualtree, html, licenses, partenum, phrases, pii, quality, secrets, whitening, winnow
 
 QUERIES = {
     "op1_classlm": classlm.op1_classlm,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_winnow": winnow.op9_winnow,
     "op10_bpe": bpe.op10_bpe,
     "op11_feast": whitening.op11_feast,
+    "op12_skipchain": pii.op12_skipchain,
     "op13_dualtree": dualtree.op13_dualtree,
 }
 ORACLES = {"op7_licenses": licenses.oracle(), "op9_winnow": winnow.ORACLE, "op13_dualtree": dualtree.ORACLE}
