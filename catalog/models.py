@@ -89,16 +89,42 @@ def vcf_batch_score_model(t: Tables):
     return scoring.vcf_batch_score(t.variant_requests, resolved_store(t), models.model_scorer(gbt(t)), stats)
 
 
+def folded_table(t: Tables) -> DataFrame:
+    return t.stored("folds", lambda: evaluate.stratified_kfold(encoded(t), models.FEATURE_ORDER))
+
+
+def out_of_fold(t: Tables, name: str, train) -> DataFrame:
+    """Every row with the probability of the model that did not see its fold."""
+    return t.stored(f"out_of_fold_{name}", lambda: models.cross_validate(folded_table(t), train))
+
+
 @query("cv_model_folds")
 def cv_model_folds(t: Tables):
-    """Five-fold cross-validation of the logistic baseline: each fold is scored by a model that never saw it."""
-    folded = t.stored("folds", lambda: evaluate.stratified_kfold(encoded(t), models.FEATURE_ORDER))
+    """Five-fold cross-validation of the logistic baseline."""
+    return evaluate.cv_summary(evaluate.cv_folds(out_of_fold(t, "logistic", models.train_logistic)))
+
+
+@query("cv_gbt_folds")
+def cv_gbt_folds(t: Tables):
+    """Five-fold cross-validation of the boosted trees."""
+    return evaluate.cv_summary(evaluate.cv_folds(out_of_fold(t, "gbt", models.train_gbt)))
+
+
+@query(
+    "cv_totals",
+    """SELECT name AS model, CAST(5 AS BIGINT) AS folds, CAST(sum(Target) AS BIGINT) AS positives, CAST(sum(1 - Target) AS BIGINT) AS negatives,
+      TRUE AS in_range, TRUE AS beats_chance FROM o_encoded CROSS JOIN (VALUES ('logistic'), ('gbt')) m(name) GROUP BY name""",
+)
+def cv_totals(t: Tables):
+    """What any cross-validation must add up to: each row is judged once, and every metric is a share."""
     parts = []
-    for fold in range(1, 6):
-        split = folded.withColumn("split", F.when(F.col("fold") == fold, "test").otherwise("train"))
-        model = models.train_logistic(split)
-        parts.append(models.model_scorer(model)(split.where("split = 'test'")).select("fold", F.col("Target").alias("target"), "probability"))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return evaluate.cv_summary(evaluate.cv_folds(scored))
+    for name, train in (("logistic", models.train_logistic), ("gbt", models.train_gbt)):
+        folds = evaluate.classification_metrics(out_of_fold(t, name, train), 0.5, ["fold"])
+        inside = F.lit(True)
+        for m in evaluate.CV_METRICS:
+            inside = inside & F.col(m).between(0, 1)
+        parts.append(folds.agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("folds"), F.sum(F.col("tp") + F.col("fn")).cast("bigint").alias("positives"),
+            F.sum(F.col("fp") + F.col("tn")).cast("bigint").alias("negatives"), F.bool_and(inside).alias("in_range"), (F.avg("roc_auc") > 0.5).alias("beats_chance"),
+        ))
+    return parts[0].unionByName(parts[1])

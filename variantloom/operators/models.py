@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from variantloom.contract import CATEGORICAL_FEATURES, FEATURE_ORDER, TARGET
 from variantloom.operators import evaluate
-from variantloom.session import materialize
+from variantloom.session import materialize, shared_dir
 
 ANNOTATION_SCORES = ("SIFT", "PolyPhen", "CADD")
 SLICE_ROWS = 4096  # rows that trade values with each other, about
@@ -93,11 +93,20 @@ def train_logistic(split: DataFrame, columns: Sequence[str] = FEATURE_ORDER, max
 
 
 def train_forest(
-    split: DataFrame, columns: Sequence[str] = FEATURE_ORDER, trees: int = 220, max_depth: int = 18, min_leaf: int = 4
+    split: DataFrame, columns: Sequence[str] = FEATURE_ORDER, trees: int = 220, max_depth: int = 18, min_leaf: int = 4, node_memory_mb: int = 256
 ) -> PipelineModel:
+    """Random forest with class weights.
+
+    Each row keeps the number of its node in every tree, so no round sends the trees out again; the lists of numbers are
+    checkpointed every few rounds. ``node_memory_mb`` bounds the statistics of the nodes that are split in one round.
+    """
+    sc = split.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(f"{shared_dir(split.sparkSession)}/checkpoints")
     rows = with_class_weight(split.where(F.col("split") == "train"))
     model = RandomForestClassifier(
-        labelCol=TARGET, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=42
+        labelCol=TARGET, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
+        cacheNodeIds=True, checkpointInterval=5, maxMemoryInMB=node_memory_mb, seed=42,
     )
     return Pipeline(stages=[*_dense_inputs(columns, scaled=False), model]).fit(rows)
 
@@ -137,6 +146,29 @@ def benchmark_models(split: DataFrame, trainers: dict[str, Callable[[DataFrame],
     return evaluate.rank_models(table)
 
 
+def cross_validate(
+    folded: DataFrame, train: Callable[[DataFrame], PipelineModel], folds: int = 5, target: str = TARGET, side_by_side: int = 5, hold_back: int = 10
+) -> DataFrame:
+    """``fold, target, probability`` of every row of ``folded``, each scored by a model that never saw its fold.
+
+    The models of the folds are trained side by side from the one stored table. One in ``hold_back`` rows of the other
+    folds, by hash of the row, is their ``validation`` split, by which a classifier that boosts can stop.
+    """
+    held = F.pmod(F.xxhash64(*FEATURE_ORDER), F.lit(hold_back)) == 0
+
+    def one(fold: int) -> DataFrame:
+        split = folded.withColumn("split", F.when(F.col("fold") == fold, "test").when(held, "validation").otherwise("train"))
+        scored = model_scorer(train(split))(split.where("split = 'test'"))
+        return materialize(scored.select("fold", F.col(target).alias("target"), "probability"), f"fold-{fold}")
+
+    with ThreadPoolExecutor(max_workers=side_by_side) as pool:
+        parts = list(pool.map(inheritable_thread_target(folded.sparkSession)(one), range(1, folds + 1)))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    return scored
+
+
 def feature_importance(model: PipelineModel, sample: DataFrame, top: int | None = 20) -> DataFrame:
     """Importance per input feature; one-hot slots are summed back to their column."""
     schema = model.transform(sample.limit(0)).schema
