@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from catalog.base import Tables, query, real
 from catalog.ingest import encoded
 from variantloom.operators import ingest
-from variantloom.session import fresh_path, hadoop_path, list_names
-from variantloom.sources import annotations, events, sinks, vcf
+from variantloom.session import fresh_path, hadoop_path, list_names, materialize
+from variantloom.sources import annotations, blockgzip, events, sinks, vcf
 
 RAW_NAMES = {"chrom": "#chr", "pos": "pos(1-based)"}
 INGEST = ["chrom", "pos", "ref", "alt", *ingest.SCORE_COLUMNS, "clinvar_clnsig"]
@@ -37,6 +37,56 @@ def scan_annotation_tsv(t: Tables):
     return plain_names(annotations.scan_annotation_tsv(t.spark, f"{raw_files(t)}/*"))
 
 
+def raw_lines(t: Tables, *extra) -> tuple[DataFrame, str]:
+    """The raw variants as tab-separated lines with their columns, and the header line."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in INGEST]
+    return t.variants_raw.select(F.concat_ws("\t", *cells).alias("value"), *extra), "\t".join(RAW_NAMES.get(c, c) for c in INGEST)
+
+
+@query(
+    "scan_block_gzip",
+    """SELECT chrom, CAST(pos AS VARCHAR) AS pos, ref, alt, SIFT_score, Polyphen2_HDIV_score, CADD_phred, gnomAD_exomes_AF,
+    nullif(clinvar_clnsig, '') AS clinvar_clnsig, TRUE AS cut FROM variants_raw""",
+)
+def scan_block_gzip(t: Tables):
+    """One block gzip file, read in ranges far smaller than it is; ``cut`` says that more than 8 tasks read it."""
+    lines, header = raw_lines(t)
+    files = blockgzip.write_block_gzip(lines.coalesce(1), fresh_path(t.spark, "raw-blocks"), header, block=4096)
+    rows = annotations.scan_annotation_tsv(t.spark, files, range_bytes=8192)
+    return plain_names(rows).withColumn("cut", F.lit(rows.rdd.getNumPartitions() > 8))
+
+
+@query(
+    "quarantine_rows",
+    """SELECT chrom, CAST(count(*) AS BIGINT) AS lines, CAST(count(CASE WHEN pos % 11 > 1 THEN 1 END) AS BIGINT) AS accepted,
+      CAST(count(CASE WHEN pos % 11 <= 1 THEN 1 END) AS BIGINT) AS rejected, CAST(count(CASE WHEN pos % 11 = 0 THEN 1 END) AS BIGINT) AS short_lines,
+      CAST(count(CASE WHEN pos % 11 = 1 THEN 1 END) AS BIGINT) AS long_lines, TRUE AS placed FROM variants_raw GROUP BY chrom""",
+)
+def quarantine_rows(t: Tables):
+    """Lines with a field too few or too many, kept apart with their place; ``placed`` says that each place holds that line."""
+    key = F.pmod(F.col("pos").cast("bigint"), F.lit(11))
+    lines, header = raw_lines(t, key.alias("k"))
+    broken = F.when(F.col("k") == 0, F.substring_index("value", "\t", -5)).when(F.col("k") == 1, F.concat("value", F.lit("\tx"))).otherwise(F.col("value"))
+    marked = F.when(F.col("k") == 0, F.concat_ws("\t", F.substring_index("value", "\t", 1), broken)).otherwise(broken)
+    files = blockgzip.write_block_gzip(lines.select(marked.alias("value")), fresh_path(t.spark, "broken-blocks"), header, block=4096)
+    records = materialize(annotations.annotation_records(t.spark, files, None, range_bytes=16384), "records")
+    kept = records.where("kind = 'accepted'").select(F.col("#chr").alias("chrom"), F.lit("accepted").alias("kind"), F.lit(True).alias("placed"))
+    bad = annotations.quarantined(records)
+    texts = annotations.text_lines(t.spark, files)  # whole files again, with their line numbers
+    numbered = annotations.numbered_lines(texts, texts).select("file", "line_no", F.col("value").alias("there"))
+    bad = bad.join(numbered, ["file", "line_no"], "left")
+    fields = F.substring_index("reason", " ", 1).cast("int")
+    bad = bad.select(
+        F.substring_index("value", "\t", 1).alias("chrom"), F.when(fields < len(INGEST), "short").otherwise("long").alias("kind"),
+        F.coalesce(F.col("there") == F.col("value"), F.lit(False)).alias("placed"),
+    )
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return kept.unionByName(bad).groupBy("chrom").agg(
+        F.count(F.lit(1)).alias("lines"), n("accepted").alias("accepted"), n("short", "long").alias("rejected"),
+        n("short").alias("short_lines"), n("long").alias("long_lines"), F.bool_and("placed").alias("placed"),
+    )
+
+
 @query(
     "tsv_to_partitioned_parquet",
     """SELECT regexp_replace(upper(chrom), '^CHR', '') AS chr, chrom, pos, ref, alt, nullif(SIFT_score, '.') AS SIFT_score, Polyphen2_HDIV_score,

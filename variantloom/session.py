@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH = threading.local()
+
 
 def build_session(app_name: str = "variantloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are designed for.
@@ -58,10 +62,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     table, so that a join against it is broadcast only when it really is small.
     """
     path = fresh_path(df.sparkSession, label)
+    for made in getattr(_SCRATCH, "open", []):
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``materialize`` writes inside (in this thread) are deleted at the end.
+
+    For work whose result is stored before the end; a lazy result that still reads them would lose its input.
+    """
+    made: list[str] = []
+    _SCRATCH.open = [*getattr(_SCRATCH, "open", []), made]
+    try:
+        yield made
+    finally:
+        _SCRATCH.open = [m for m in _SCRATCH.open if m is not made]
+        delete_tables(spark, made)
+
+
+def delete_tables(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        fs, target = hadoop_path(spark, path)
+        fs.delete(target, True)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

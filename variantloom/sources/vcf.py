@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variantloom.functions.genomic import allele_kind, normalize_chrom
+from variantloom.sources.blockgzip import RANGE_BYTES, text_lines
 
 
 def parse_vcf_lines(lines: DataFrame, column: str = "value", carry: Sequence[str] = (), dialect: str = "canonical") -> DataFrame:
@@ -26,15 +27,9 @@ def parse_vcf_lines(lines: DataFrame, column: str = "value", carry: Sequence[str
     return cleaned.withColumn("allele_kind", allele_kind(F.col("alt")))
 
 
-def scan_vcf(spark: SparkSession, paths: str | Sequence[str], dialect: str = "canonical") -> DataFrame:
-    """VCF files, plain or gzipped. ``file``, ``block`` and ``line_id`` keep the order of lines."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        # grows line by line within one block of one file, which one task reads from top to bottom
-        F.monotonically_increasing_id().alias("line_id"),
-    )
+def scan_vcf(spark: SparkSession, paths: str | Sequence[str], dialect: str = "canonical", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """VCF files, plain or gzipped. ``file``, ``block`` and ``line_id`` keep the order of lines. Block gzip is read by many tasks."""
+    lines = text_lines(spark, paths, range_bytes).withColumnsRenamed({"split": "block", "line": "line_id"})
     return parse_vcf_lines(lines, carry=["file", "block", "line_id"], dialect=dialect)
 
 
