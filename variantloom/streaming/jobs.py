@@ -14,7 +14,7 @@ from variantloom.operators import monitor
 from variantloom.operators.ingest import rename_monitoring_columns
 from variantloom.operators.lookup import lookup
 from variantloom.operators.scoring import Scorer, batch_events, formula_scorer, vcf_batch_score
-from variantloom.streaming.feeds import append_stream, event_time, newest_row, numbered, read_state, write_updates
+from variantloom.streaming.feeds import append_stream, event_time, merge_closed, read_state, read_windows, write_updates, write_windows
 
 MIN_INTERVAL_SECONDS = 30
 
@@ -53,9 +53,10 @@ def stream_lookups(requests: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
-    """Process what is available now and return the current row per key."""
-    write_updates(stream, out, checkpoint, newest_row(keys), numbered).awaitTermination()
-    return read_state(spark, out).drop("_batch")
+    """Process what is available now and return the current row of every window; ``keys`` has ``window_start``."""
+    write_windows(stream, out, checkpoint, keys).awaitTermination()
+    merge_closed(spark, out)
+    return read_windows(spark, out).drop("_batch")
 
 
 # --- drift ------------------------------------------------------------------------------
