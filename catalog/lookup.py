@@ -9,7 +9,7 @@ from catalog.base import Tables, query, real, rounded
 from catalog.oracle import ORACLE_VIEWS
 from variantloom.functions.scoring import FORMULA_INTERCEPT, FORMULA_WEIGHTS
 from variantloom.operators import lookup, scoring
-from variantloom.session import fresh_path
+from variantloom.session import fresh_path, path_exists
 from variantloom.sources import sinks
 
 ORACLE_VIEWS["o_requests"] = """
@@ -33,8 +33,19 @@ WHERE n = 1
 
 
 def resolved_store(t: Tables) -> DataFrame:
-    """Both tiers with unique keys: written once, looked up by every batch."""
-    return t.stored("store_resolved", lambda: lookup.resolve_store({"local": t.store_local, "lake": t.store_lake}))
+    """Both tiers as one keyed store: written once, joined by every batch without moving it."""
+    path = t.stored_path("store_keyed")
+    if path_exists(t.spark, f"{path}.buckets/_SUCCESS"):
+        return lookup.open_keyed_store(t.spark, path)
+    return lookup.write_tiers({"local": t.store_local, "lake": t.store_lake}, path, t.spark.sparkContext.defaultParallelism)
+
+
+def local_store(t: Tables) -> DataFrame:
+    """The local tier as a keyed store of its own."""
+    path = t.stored_path("store_local_keyed")
+    if path_exists(t.spark, f"{path}.buckets/_SUCCESS"):
+        return lookup.open_keyed_store(t.spark, path)
+    return lookup.write_tiers({"local": t.store_local}, path, t.spark.sparkContext.defaultParallelism)
 
 
 @query(
@@ -54,7 +65,7 @@ def store_dedupe_first(t: Tables):
     FROM o_requests q LEFT JOIN o_store_local s ON k_chrom = s.chrom AND k_pos = s.pos AND k_ref = s.ref AND k_alt = s.alt""",
 )
 def lookup_local_store(t: Tables):
-    found = lookup.lookup_local_store(t.variant_requests, t.store_local)
+    found = lookup.lookup(t.variant_requests, local_store(t))
     return found.select("request_id", "chrom", "pos", "ref", "alt", "found", *lookup.SCORES)
 
 
@@ -65,10 +76,32 @@ def lookup_local_store(t: Tables):
     FROM o_requests q LEFT JOIN o_store s ON k_chrom = s.chrom AND k_pos = s.pos AND k_ref = s.ref AND k_alt = s.alt""",
 )
 def lookup_two_tier(t: Tables):
-    found = lookup.lookup_two_tier(t.variant_requests, t.store_local, t.store_lake)
+    found = lookup.lookup(t.variant_requests, resolved_store(t))
     return found.select("request_id", "chrom", "pos", "ref", "alt", "found", "feature_source", *lookup.SCORES)
 
 
+_HOT = """(SELECT k_chrom, k_pos, k_ref, k_alt, request_id FROM o_requests UNION ALL
+  SELECT h.k_chrom, h.k_pos, h.k_ref, h.k_alt, -1 - q.request_id FROM o_requests q CROSS JOIN (SELECT * FROM o_requests ORDER BY request_id LIMIT 2) h)"""
+
+
+@query(
+    "lookup_hot_requests",
+    f"""SELECT q.k_chrom AS chrom, q.k_pos AS pos, CAST(count(*) AS BIGINT) AS requests, CAST(count(s.chrom) AS BIGINT) AS found, round(sum(CADD_phred), 3) AS cadd
+    FROM {_HOT} q LEFT JOIN o_store s ON k_chrom = s.chrom AND k_pos = s.pos AND k_ref = s.ref AND k_alt = s.alt GROUP BY 1, 2""",
+)
+def lookup_hot_requests(t: Tables):
+    """Two keys hold a third of the requests each; they are answered by broadcast, the others from the buckets."""
+    own = t.variant_requests.select("request_id", "chrom", "pos", "ref", "alt")
+    many = own
+    for hot in own.orderBy("request_id").limit(2).collect():
+        many = many.unionByName(own.select((-1 - F.col("request_id")).alias("request_id"), *[F.lit(hot[c]).alias(c) for c in ("chrom", "pos", "ref", "alt")]))
+    found = lookup.lookup(many, resolved_store(t), split_hot=True)
+    key = lookup.variant_key(found)
+    return found.groupBy(key["k_chrom"].alias("chrom"), key["k_pos"].alias("pos")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if("found").alias("found"), F.round(F.sum("cadd"), 3).alias("cadd")
+    )
+
+
 _EXISTS = "EXISTS (SELECT 1 FROM o_store s WHERE k_chrom = s.chrom AND k_pos = s.pos AND k_ref = s.ref AND k_alt = s.alt)"
 
 
