@@ -275,3 +275,44 @@ def test_html_without_a_body_keeps_all_articles():
     whole = "<nav>Menu</nav><article><p>First article</p></article><article class='b'><p>Second article</p></article>"
     for winners in ([], [html.vote(whole), "/article"]):
         assert html.extract(whole, winners)[0] == "First article\n\nSecond article"
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ["<div " * 200_000, "<div class=a1>" * 100_000, '<a ">" ' * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<!" * 300_000, '<div "' * 100_000, "<article>" + "<div class=x>text" * 50_000],
+)
+def test_html_malformed_and_deep_pages_are_linear(bad):
+    import time
+
+    start = time.time()
+    html.extract(bad, ["/div.aN"])
+    assert time.time() - start < 12
+
+
+def boxed(attributes, tag="div"):
+    return f"<html><body><article><h1>T</h1><p>{'body text ' * 30}</p><{tag} {attributes}><p>inside</p></{tag}></article></body></html>"
+
+
+def test_html_boxes_inside_the_article():
+    for name in ("related-posts", "comments-area", "share-buttons", "site-footer", "cookie-notice-bar", "comment-list", "user-comments"):
+        assert "inside" not in html.extract(boxed(f"class='{name}'"), [])[0], name
+    for name in ("has-sidebar", "post-content", "post", "article-body", "section"):
+        assert "inside" in html.extract(boxed(f"class='{name}'"), [])[0], name
+
+
+def test_html_paths_go_by_class_whatever_the_order_of_attributes():
+    page = "<body><div {}><p>" + "some words of text " * 20 + "</p></div></body>"
+    votes = {html.vote(page.format(a)) for a in ("class='post a' id='p1'", "id=p2 class='a post'", "role=main class='post a' id=p3")}
+    assert votes == {"/body/div.a.post"}
+    assert html.vote(page.format("id=p12 role=main")) == "/body/div.pN"
+
+
+def test_html_unclosed_tags_are_text_and_host_ties_go_by_the_path(spark):
+    assert html.extract("<p>one <b two</p>", [])[0] == "one <b two"
+    text = "some words of text " * 20
+    rows = [(i, f"http://h/{i}", f"<body><div class='{'ab'[i % 2]}'><p>{text}</p></div></body>") for i in range(4)] + [(9, "http://g/", "<p>x</p>")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["host"]: r["winners"] for r in html.consensus(frame).collect()}
+    assert found["h"] == ["/body/div.a", "/body/div.b"]
+    many = [(i, "http://h/", f"<body><div class='{chr(97 + i // 26)}{chr(97 + i % 26)}'><p>{text}</p></div></body>") for i in range(100)]
+    assert html.consensus(spark.createDataFrame(many, "page_id bigint, url string, html string")).collect() == []

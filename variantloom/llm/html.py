@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from variantloom.llm.common import read_table, slices
 from variantloom.session import materialize
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+OPENING = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[<>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
@@ -37,12 +38,21 @@ OUTSIDE_TAGS = frozenset("nav header footer aside form button select option svg
 #: Tags whose mark, like that of a class, an article or main inside them overrules.
 WRAPPERS = frozenset("form fieldset".split())
 ARTICLES = frozenset("article main".split())
+NONE: frozenset[str] = frozenset()
+P_STOPS = CONTAINERS | {"li", "blockquote"}
+CLOSES_ITSELF = {
+    "li": frozenset({"ul", "ol"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), "tr": frozenset({"table"}), "td": frozenset({"tr", "table"}),
+    "th": frozenset({"tr", "table"}), "option": frozenset({"select"}),
+}
 #: Class names, ids and roles that mark what is not the article.
+#: Beside them a class name may have words for a box, or for what is boxed, that say nothing of their own.
+BOX_WORDS = frozenset("area bar block box button buttons container group inner item items list outer panel post posts section site user wrap wrapper".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related "
     "reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo".split()
 )
+LEAST_SHARE = 64  # a winning path has at least one in so many votes of its host
 WORD = re.compile(r"[a-z]+")
 NAME = re.compile(r"\S+")
 DIGITS = re.compile(r"\d+")
@@ -51,17 +61,98 @@ DIGITS = re.compile(r"\d+")
 class Node:
     __slots__ = ("tag", "path", "outside", "start", "up", "firm", "good", "links", "end")
 
-    def __init__(self, tag: str, path: str, outside: bool, start: int, up: Node | None = None, firm: bool = False):
+    def __init__(self, tag: str, path: int, outside: bool, start: int, up: Node | None = None, firm: bool = False):
         self.tag, self.path, self.outside, self.start = tag, path, outside, start
         self.up, self.firm = up, firm  # the container around it; whether an article inside stays outside too
         self.good = self.links = 0
         self.end = -1
 
 
-def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
-    """The elements of a page in order, and its pieces: (text, element, whether a new block begins)."""
-    root = Node("body", "", False, 0)  # stands for the body of a page without one
+class Paths:
+    """Numbers of the container paths of a page: each is the number of the path above it and one step. 0 is no container."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(0, "")]
+
+    def below(self, above: int, step: str) -> int:
+        number = self.numbers.setdefault((above, step), len(self.steps))
+        if number == len(self.steps):
+            self.steps.append((above, step))
+        return number
+
+    def text(self, number: int) -> str:
+        steps = []
+        while number:
+            number, step = self.steps[number]
+            steps.append(step)
+        return "".join(f"/{step}" for step in reversed(steps))
+
+    def number(self, text: str) -> int | None:
+        """The number of a path given as text, None if the page has it not."""
+        at: int | None = 0
+        for step in text.split("/")[1:]:
+            at = self.numbers.get((at, step))
+            if at is None:
+                return None
+        return at
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """The tags of a page: (from, to, "/" if it closes, name, attributes); name is empty for comments and declarations.
+
+    A tag that another "<" cuts off, or that never ends, is text. No part of the page is searched more than a few times,
+    whatever is left open in it.
+    """
+    n, last = len(page), page.rfind(">")
+    spent: dict[str, int] = {}  # quotes that do not occur from a place on
+    at = page.find("<")
+    while 0 <= at < last:
+        after = at + 1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            after = n if end < 0 else end + 3
+            yield at, after, "", "", ""
+        elif page.startswith(("<!", "<?"), at):
+            after = page.find(">", at) + 1
+            yield at, after, "", "", ""
+        elif m := OPENING.match(page, at):
+            i = m.end()
+            while stop := STOP.search(page, i):
+                mark, i = stop[0], stop.end()
+                if mark in "<>":
+                    break
+                close = -1 if spent.get(mark, n) <= i else page.find(mark, i)
+                if close < 0:
+                    spent[mark] = min(i, spent.get(mark, n))
+                else:
+                    i = close + 1
+            if stop and stop[0] == ">":
+                after = i
+                yield at, after, m[1], m[2].lower(), page[m.end() : i - 1]
+        at = page.find("<", after)
+    if at >= 0 and page.startswith("<!--", at):
+        yield at, n, "", "", ""
+
+
+def step_of(tag: str, attributes: str) -> tuple[str, list[str]]:
+    """The step of a path, by class if there is one, else id, else role, with digits generalised; and all three values."""
+    if not attributes:
+        return tag, []
+    values: dict[str, str] = {}
+    for name, *value in ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), "".join(value))
+    first = next((values[k] for k in ("class", "id", "role") if values.get(k, "").split()), "")
+    named = DIGITS.sub("N", ".".join(sorted(first.split()))).replace("/", "|")
+    return (f"{tag}.{named}" if named else tag), list(values.values())
+
+
+def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]], Paths]:
+    """The elements of a page in order, its pieces (text, element, whether a new block begins), and the paths of containers."""
+    paths = Paths()
+    root = Node("body", 0, False, 0)  # stands for the body of a page without one
     stack, nodes, pieces = [root], [], []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
     links = 0
     fresh, pos, n = True, 0, len(page)
 
@@ -82,6 +173,7 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
         nonlocal links, fresh
         while len(stack) > depth:
             node = stack.pop()
+            places[node.tag].pop()
             node.end = len(pieces)
             links -= node.tag == "a"
             if node.tag in BLOCKS:
@@ -89,24 +181,22 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
             stack[-1].good += node.good  # an outside element has only that of articles in it
             stack[-1].links += node.links
 
-    def find(tags: frozenset[str], stop: frozenset[str]) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in stop:
-                return 0
-        return 0
+    def innermost(tags: frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def find(tag: str, stop: frozenset[str]) -> int:
+        at = places[tag][-1] if places.get(tag) else 0
+        return at if at and at > innermost(stop) else 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() < pos:
+    for start, end, closing, tag, attributes in tokens(page):
+        if start < pos:
             continue
-        text(m.start())
-        pos = m.end()
-        tag = (m[2] or "").lower()
+        text(start)
+        pos = end
         if not tag:
             continue
-        if m[1]:
-            if at := find(frozenset((tag,)), CONTAINERS - {tag} if tag not in CONTAINERS else frozenset()):
+        if closing:
+            if at := find(tag, CONTAINERS - {tag} if tag not in CONTAINERS else NONE):
                 close(at)
             elif tag in BLOCKS:
                 fresh = True
@@ -121,24 +211,24 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
             elif tag == "br":
                 pieces.append((" ", stack[-1], fresh))
             continue
-        if tag in CLOSES_P and (at := find(frozenset(("p",)), CONTAINERS | {"li", "blockquote"})):
+        if tag in CLOSES_P and (at := find("p", P_STOPS)):
             close(at)
-        for one, inside in (("li", {"ul", "ol"}), ("dt", {"dl"}), ("dd", {"dl"}), ("tr", {"table"}), ("td", {"tr", "table"}), ("th", {"tr", "table"}), ("option", {"select"})):
-            if tag == one and (at := find(frozenset((one,)), frozenset(inside))):
-                close(at)
-        if m[3].rstrip().endswith("/") and tag not in BLOCKS:
+        if tag in CLOSES_ITSELF and (at := find(tag, CLOSES_ITSELF[tag])):
+            close(at)
+        if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        names = [a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])] if m[3] else []
+        step, names = step_of(tag, attributes)
         above = stack[-1]
-        firm = above.firm or tag in OUTSIDE_TAGS - WRAPPERS
+        firm = above.firm or (tag in OUTSIDE_TAGS and tag not in WRAPPERS)
         if tag in ARTICLES:
             outside = above.outside and (firm or marked(names))
         else:
             outside = above.outside or tag in OUTSIDE_TAGS or (tag not in ("html", "body") and marked(names))
             # inside an article, what is marked is not opened again: comments are articles within it
-            firm = firm or (outside and not above.outside and any(x.tag in ARTICLES for x in stack))
-        step = tag if not names else f"{tag}.{DIGITS.sub('N', '.'.join(sorted(names[0].split())))}"
-        node = Node(tag, f"{above.path}/{step}" if tag in CONTAINERS else above.path, outside, len(pieces), above if above.tag in CONTAINERS else above.up, firm)
+            firm = firm or (outside and not above.outside and innermost(ARTICLES) > 0)
+        path = paths.below(above.path, step) if tag in CONTAINERS else above.path
+        node = Node(tag, path, outside, len(pieces), above if above.tag in CONTAINERS else above.up, firm)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
         nodes.append(node)
         links += tag == "a"
@@ -147,12 +237,12 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, Node, bool]]]:
     text(n)
     close(1)
     root.end = len(pieces)
-    return nodes, pieces
+    return nodes, pieces, paths
 
 
 def marked(names: list[str]) -> bool:
-    """Whether a class, id or role as a whole is made of words for what is not the article ("has-sidebar" is not)."""
-    return any((words := WORD.findall(name)) and OUTSIDE_WORDS.issuperset(words) for value in names for name in NAME.findall(value.lower()))
+    """Whether a class, id or role as a whole is made of words for what is not the article and for boxes ("has-sidebar" is not)."""
+    return any(bool(words := set(WORD.findall(name)) - BOX_WORDS) and words <= OUTSIDE_WORDS for value in names for name in NAME.findall(value.lower()))
 
 
 def score(node: Node) -> float:
@@ -175,17 +265,19 @@ def best(nodes: list[Node]) -> Node | None:
         return next((x for x in inner if not x.outside and x.tag in ARTICLES and x.good), None)
     most = max(score(x) for x in held)
     chosen = [x for x in held if score(x) >= 0.9 * most][-1]
+    below: dict[int, list[Node]] = {}
+    for x in inner:
+        below.setdefault(id(x.up), []).append(x)
     at = chosen.up
     while at:
-        if not at.outside and at.good > chosen.good and (at.tag == "article" or adds(at, chosen, inner)):
+        if not at.outside and at.good > chosen.good and (at.tag == "article" or adds(at, chosen, below.get(id(at), []))):
             chosen = at
         at = at.up
     return chosen
 
 
-def adds(around: Node, chosen: Node, inner: list[Node]) -> bool:
-    """Whether a container has article text beside the chosen one inside it."""
-    beside = [x for x in inner if x.up is around]
+def adds(around: Node, chosen: Node, beside: list[Node]) -> bool:
+    """Whether a container has article text beside the chosen one inside it; ``beside`` are the containers right below it."""
     own = around.good - around.links - sum(x.good - x.links for x in beside)
     if own > 0:
         return True
@@ -215,24 +307,26 @@ def blocks(pieces: list[tuple[str, Node, bool]], nodes: list[Node]) -> str:
 
 
 def vote(page: str) -> str | None:
-    found = best(scan(page)[0])
-    return found.path if found else None
+    nodes, _, paths = scan(page)
+    found = best(nodes)
+    return paths.text(found.path) if found else None
 
 
 def extract(page: str, winners: list[str]) -> tuple[str, str]:
     """Text and path: from all containers on the first winning path that has text here, else from the page's own best."""
-    nodes, pieces = scan(page)
+    nodes, pieces, paths = scan(page)
     held = [x for x in nodes if x.tag in CONTAINERS and not x.outside]
     whole = Node("", "", False, 0)
     whole.end = len(pieces)
     for path in winners:
         if not path and any(x.good for x in held):
             return blocks(pieces, [whole]), path
-        if chosen := [x for x in held if x.path == path and x.good]:
+        number = paths.number(path)
+        if number and (chosen := [x for x in held if x.path == number and x.good]):
             return blocks(pieces, chosen), path
     found = best(nodes)
     if found:
-        return blocks(pieces, [found]), found.path
+        return blocks(pieces, [found]), paths.text(found.path)
     return blocks(pieces, [whole]), ""
 
 
@@ -240,8 +334,11 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def consensus(pages: DataFrame, most: int = 8) -> DataFrame:
-    """``host, winners``: the paths with the most votes of each host, at most ``most``; ties go by the path."""
+def consensus(pages: DataFrame, least_share: int = LEAST_SHARE) -> DataFrame:
+    """``host, winners``: the paths that have one in ``least_share`` of their host's votes or more, most votes first, ties by the path.
+
+    So a host has at most ``least_share`` of them, however many paths its pages vote for; a path with fewer votes is no consensus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
@@ -249,9 +346,11 @@ def consensus(pages: DataFrame, most: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string").where("path IS NOT NULL")
-    counted = votes.groupBy("host", "path").count()
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("rank"), "path")))
-    return counted.groupBy("host").agg(F.slice(ranked["path"], 1, most).alias("winners"))
+    counted = materialize(votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes")), "host-votes")
+    totals = counted.groupBy("host").agg(F.sum("votes").alias("all_votes"))
+    held = counted.join(totals, "host").where(F.col("votes") * least_share >= F.col("all_votes"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path")))
+    return held.groupBy("host").agg(ranked["path"].alias("winners"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
