@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from llm.helpers import corpus, documents, words
 
@@ -175,15 +176,39 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("share", [None, 1e-3])
-def test_links_equal_all_pairs(spark, monkeypatch, share):
-    if share:
-        monkeypatch.setattr(partenum, "HOT_SHARE", share)
-    rows = near_copies()
+def templates():
+    """Texts that share 70 to 90 percent with a template and little else, so most of them are not linked."""
+    base = words(500, 100, 100000)
+    rows = []
+    for i in range(60):
+        own = words(600 + i, 10 + 8 * (i % 5), 100000)
+        rows.append((3000 + i, " ".join(base[: 90 - i % 7] + own)))
+    return rows
+
+
+@pytest.mark.parametrize("settings", [{}, {"HOT_TIMES": 3, "SMALL": 2, "CROWD": 4, "CHUNK": 500}, {"PIVOTS": 1, "SMALL": 3, "HOT_TIMES": 5}])
+def test_links_equal_all_pairs(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(partenum, name, value)
+    rows = near_copies() + templates()
     got = partenum.join_similar(documents(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
     assert by_value(tuple(r) for r in got) == by_value(plain_components(rows))
 
 
+def test_linked_sets_share_a_signature_and_a_shingle_key():
+    rng = np.random.default_rng(8)
+    for n in [1, 2, 3, 4, 5, 7, 8, 9, 12, 20, 33, 64, 100, 177, 400, 1000]:
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            gone = rng.integers(0, n // 4 + 1)
+            kept = rng.permutation(a)[: n - gone]
+            b = np.unique(np.append(kept, rng.integers(0, 1 << 63, rng.integers(0, n // 3 + 2)).astype(np.uint64)))
+            if len(b) and partenum.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                assert len(np.intersect1d(partenum.signatures(a), partenum.signatures(b))), (len(a), len(b))
+                hot = np.sort(rng.permutation(a)[: n // 2])
+                assert len(np.intersect1d(partenum.shared_keys(a, hot), partenum.shared_keys(b, hot)))
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = documents(spark)
     kept = partenum.keep_first(docs)

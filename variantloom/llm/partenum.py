@@ -1,13 +1,18 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set holds its distinct 5-word shingles. Sets are joined in bands of about equal size. In a band
-the domain of shingles is cut into as many parts as the band's largest size; what a set has in one part is
-one signature. Two sets that link differ in few elements, hence in few parts: if both keep a few more
-signatures than parts can differ, in one common order of all signatures, they share one. So every link
-is among the candidates; their sets are then compared exactly.
-
-Any order is right. Signatures made of shingles that very many documents share come last, so that a common
-passage brings documents together only if they have little else.
+A document's set holds its distinct 5-word shingles. Sets are joined in bands of about equal size: each band ends at 4/3 of the one
+before, so partners lie in the same or in neighbouring bands, and a set takes part in its own band and, if a partner may
+lie there, in the next. In a band of sets up to t elements, linked sets differ in at most k = 2t/7 elements. The domain of
+shingles is cut into more than k/2 parts, so in one part at least linked sets differ in at most one element; each part is cut
+into three cells, and every subset of two of them is one signature: what the set has in both. Sets that differ in one element of
+a part share the signature without that element's cell. So linked sets share a signature.
+
+A subset of empty cells says nothing, and very many sets would share it. A set leaves such signatures out when more
+of its parts must agree with any partner than have one; for that there are a few more parts than needed.
+
+Sets of a small group with one signature are all compared. In a large group each set is compared with one pivot at a time, which
+joins copies of one text in a few rounds; sets that stay apart are grouped again, by the shingles that they
+must share if they are linked, rare ones first, so that a common template brings nobody together.
 """
 
 from __future__ import annotations
@@ -15,22 +20,28 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantloom.llm.common import KEY_MASK, ascii_lower, byte_texts, gram_hashes, hashed_words, mix, read_table, recurring_keys, slices
+from variantloom.llm.common import ascii_lower, byte_texts, gram_hashes, hashed_words, mix, read_table, slices
 from variantloom.session import materialize
 
 SHINGLE = 5
-FIRST_BAND = 64  # sets below this size have a part for each element
-BAND_RATIO = 8
-HOT_SHARE = 5e-7  # share of all shingles from which one is hot: at most 2e6 of them
-HOT_CHUNK = 4_000_000  # shingles that a task counts together
-BUCKETS = 512  # counts by which pairs are ruled out before their sets are compared
-PIVOTS = 6  # rounds that compare with one member of each group
+FIRST_TOP = 8  # largest set of the first band
+CELLS = 3  # of a part; a signature leaves out one
+SPARE = 0.06  # parts beyond those needed, as a share
+CHUNK = 1_000_000  # signatures that a task sorts together
+CROWD = 256  # sets of one signature in a chunk from which they travel apart from the others
+SMALL = 8  # sets of a group that are all compared
+PIVOTS = 3  # rounds that compare with one member of each group
+HOT_SHARE = 5e-7  # share of the shingles from which one is hot: at most 2e6 of them
+HOT_TIMES = 10  # and it occurs so often at least
+CELL_WIDTH = math.log(1.08)  # of sizes, where shared shingles are asked for
 
 
 def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -54,65 +65,60 @@ def linked(common, a, b):
     return 100 * common >= 75 * (a + b - common)
 
 
-def band_of(n: int) -> int:
-    band, top = 0, FIRST_BAND
-    while n >= top:
-        band, top = band + 1, top * BAND_RATIO
-    return band
+# --- signatures
 
 
-class HotShingles:
-    """Which hashes belong to a sorted list. A table of low bits answers most of the others."""
+def band_of(n: int) -> tuple[int, int]:
+    """Number and top of the band of sets with ``n`` elements."""
+    band, top = 0, FIRST_TOP
+    while n > top:
+        band, top = band + 1, next_top(top)
+    return band, top
 
-    def __init__(self, listed: np.ndarray):
-        self.listed = listed
-        self.low = np.zeros(1 << 22, bool)
-        self.low[(listed & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def __call__(self, elements: np.ndarray) -> np.ndarray:
-        found = self.low[(elements & np.uint64((1 << 22) - 1)).astype(np.int64)]
-        at = np.flatnonzero(found)
-        if len(at):
-            place = np.minimum(np.searchsorted(self.listed, elements[at]), len(self.listed) - 1)
-            found[at] = self.listed[place] == elements[at]
-        return found
+def next_top(top: int) -> int:
+    return 4 * top // 3 + 1
 
 
-def band_signatures(elements: np.ndarray, hot: np.ndarray, band: int) -> np.ndarray:
-    """The signatures that a set keeps in one band; elements are sorted, and parts are ranges of them.
+@cache
+def parts_of(top: int) -> int:
+    """Parts of a band: sets of at most ``top`` elements that are linked differ in at most 2 * top / 7."""
+    needed = 2 * top // 7 // 2 + 1
+    return needed + math.ceil(SPARE * needed)
 
-    With a set of size a, partners have at most 4a/3 elements and differ from it in at most
-    (a + 4a/3) / 7 = a/3 elements, so in at most as many parts. One signature more than that is kept.
-    """
-    if band:
-        parts = ((elements >> np.uint64(32)) * np.uint64(FIRST_BAND * BAND_RATIO**band)) >> np.uint64(32)
-        starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
-        found = mix(np.add.reduceat(mix(elements), starts) + parts[starts] * np.uint64(0xA0761D6478BD642F) + np.uint64(band))
-        common = np.logical_and.reduceat(hot, starts)
-    else:
-        found, common = mix(elements), hot
-    # hot ones after all others, and both kinds by their hash
-    ordered = (found >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
-    keep = len(elements) // 3 + 1
-    return (ordered if keep >= len(ordered) else np.partition(ordered, keep - 1)[:keep]) & KEY_MASK
+
+def band_signatures(elements: np.ndarray, band: int, top: int) -> np.ndarray:
+    """The signatures of a set in one band; elements are sorted, and cells are ranges of them."""
+    parts, n = parts_of(top), len(elements)
+    cell = ((elements >> np.uint64(32)) * np.uint64(parts * CELLS)) >> np.uint64(32)
+    edges = np.searchsorted(cell, np.arange(parts * CELLS + 1, dtype=np.uint64))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(elements), out=sums[1:])
+    held = (sums[edges[1:]] - sums[edges[:-1]]).reshape(parts, CELLS)
+    sizes = np.diff(edges).reshape(parts, CELLS)
+    found = held.sum(axis=1, keepdims=True, dtype=np.uint64) - held
+    filled = sizes.sum(axis=1, keepdims=True) - sizes > 0
+    names = np.arange(parts * CELLS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(band) * np.uint64(0xE7037ED1A0B428DB)
+    keys = mix(found.reshape(-1) + mix(names))
+    # parts that agree with any partner of this band in all but one element, and parts with a subset of empty cells
+    agree = parts - (n + min(4 * n // 3, top)) // 7 // 2
+    empty = int((~filled).any(axis=1).sum())
+    return keys if empty >= agree else keys[filled.reshape(-1)]
 
 
-def signatures(elements: np.ndarray, hot: HotShingles) -> np.ndarray:
+def signatures(elements: np.ndarray) -> np.ndarray:
     """Signatures of a set in its own band, and in the next one if a partner may lie there."""
     n = len(elements)
     if not n:
         return elements
-    common, own = hot(elements), band_of(n)
-    found = band_signatures(elements, common, own)
-    if band_of(n * 4 // 3) > own:
-        found = np.concatenate([found, band_signatures(elements, common, own + 1)])
+    band, top = band_of(n)
+    found = band_signatures(elements, band, top)
+    if 4 * n // 3 > top:
+        found = np.concatenate([found, band_signatures(elements, band + 1, next_top(top))])
     return np.unique(found)
 
 
-def shape(elements: np.ndarray) -> bytes:
-    """How many elements fall in each of BUCKETS; two shapes differ by no more than their sets do."""
-    counts = np.bincount((elements % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+# --- groups of sets with one signature
 
 
 def _map(docs: DataFrame, rows, schema: str) -> DataFrame:
@@ -125,127 +131,182 @@ def _map(docs: DataFrame, rows, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def set_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, text_hash, class, n, shape`` of each row (class is null for an empty set), and the hot shingles.
-
-    One pass gives both: each task also counts its shingles in chunks and passes on those that it meets
-    more than twice. Hot are those with HOT_SHARE of all, so at most 1 / HOT_SHARE of them, sorted.
-    """
+def set_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, class, n`` of each row; class is null for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_hash", "class", "n", "shape", "shingle", "times"]
-    types = [None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, doc_type = [], 0, None
+    def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+        columns = [part.column("doc_id"), part.column("text_hash"), classes, pa.array([len(s) for s in sets], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "n"])
 
-        def often() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            found, n = found[n > 2].view(np.int64), n[n > 2]
-            none = [pa.nulls(len(n), t or doc_type) for t in types[:5]]
-            return pa.RecordBatch.from_arrays([*none, pa.array(found), pa.array(n)], names)
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return materialize(_map(own, rows, f"doc_id {kind}, text_hash bigint, class bigint, n bigint"), "set-classes")
 
-        for part in slices(batches, "text"):
-            sets, doc_type = sets_of(part), part.schema.field("doc_id").type
-            own = [(class_of(s), len(s), shape(s)) if len(s) else (None, 0, None) for s in sets]
-            columns = [pa.array(c, t) for c, t in zip(zip(*own, strict=True), types[2:5], strict=True)]
-            none = [pa.nulls(part.num_rows, pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *columns, *none], names)
-            held += sets
-            size += sum(map(len, sets))
-            if size > HOT_CHUNK:
-                yield often()
+
+PACKED = "bucket int, salt int, keys binary, classes binary"
+APART = -1  # in place of a class: this key's sets travel apart
+
+
+def packed(keys: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of key and class as one row for each bucket of keys.
+
+    Sets of a crowded key go to a row of their own (bucket -1), salted, so that no task gets them all; a mark
+    stays in the key's bucket.
+    """
+    order = np.lexsort((classes, keys))
+    keys, classes = keys[order], classes[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))[: len(keys)]
+    keys, classes = keys[new], classes[new]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    crowded = np.diff(np.append(starts, len(keys))) > CROWD
+    away = np.repeat(crowded, np.diff(np.append(starts, len(keys))))
+    rows = []
+    if away.any():
+        rows.append((-1, salt, keys[away].tobytes(), classes[away].tobytes()))
+        keys = np.append(keys[~away], keys[starts[crowded]])
+        classes = np.append(classes[~away], np.full(int(crowded.sum()), APART))
+        order = np.argsort(keys, kind="stable")
+        keys, classes = keys[order], classes[order]
+    buckets = (keys >> np.uint64(64 - bits)).astype(np.int32)
+    edges = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)) if len(buckets) else np.zeros(1, int)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        rest = (keys[a:b] >> np.uint64(32 - bits)).astype("<u4")
+        rows.append((int(buckets[a]), 0, rest.tobytes(), classes[a:b].tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "salt", "keys", "classes"])
+
+
+def distinct_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return np.stack([a[new], b[new]], axis=1)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """From packed rows in bucket order: pairs ``a, b`` of small groups (key null), and ``key, a`` of large ones (b null)."""
+
+    def pairs_and_members(keys: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((classes, keys))
+        keys, classes = keys[order], classes[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))
+        keys, classes = keys[new], classes[new]
+        marked = np.unique(keys[classes == APART])
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        large = (sizes > SMALL) | np.isin(keys[starts], marked)
+        firsts, lasts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in range(2, SMALL + 1):
+            at = starts[(sizes == size) & ~large]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    firsts.append(classes[at + i])
+                    lasts.append(classes[at + j])
+        pairs = distinct_rows(np.concatenate(firsts), np.concatenate(lasts))
+        of = np.repeat(large, sizes) & (classes != APART)
+        members = np.stack([keys[of].astype(np.int64), classes[of]], axis=1)
+        key = pa.array(np.append(np.zeros(len(pairs), np.int64), members[:, 0]), mask=np.arange(len(pairs) + len(members)) < len(pairs))
+        b = pa.array(np.append(pairs[:, 1], np.zeros(len(members), np.int64)), mask=np.arange(len(pairs) + len(members)) >= len(pairs))
+        return pa.RecordBatch.from_arrays([key, pa.array(np.append(pairs[:, 0], members[:, 1])), b], ["key", "a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, last = 0, None
+    for batch in batches:
+        for bucket, keys, classes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "classes")), strict=True):
+            own = np.frombuffer(classes, np.int64)
+            if bucket < 0:
+                whole = np.frombuffer(keys, np.uint64) >> np.uint64(32 - bits)
+                nothing = pa.nulls(len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(whole.astype(np.int64)), pa.array(own), nothing], ["key", "a", "b"])
+                continue
+            if size > CHUNK and bucket != last:
+                yield pairs_and_members(*(np.concatenate(c) for c in zip(*held, strict=True)))
                 held, size = [], 0
+            held.append(((np.uint64(bucket) << np.uint64(32)) | np.frombuffer(keys, "<u4").astype(np.uint64), own))
+            size, last = size + len(own), bucket
+    if held:
+        yield pairs_and_members(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def candidates(source: DataFrame, keys_of, total: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` from small groups and ``key, class`` of large ones, among sets that share one of the keys of ``keys_of(batch)``.
+
+    ``keys_of`` gives keys and classes as arrays; ``total`` is about how many there are. A key and a class move once, packed.
+    """
+    bits = min(24, max(6, math.ceil(math.log2(max(1, total) / 30_000 + 1))))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, salt = [], 0, TaskContext.get().partitionId() * 64  # the same when the task is run again
+        for batch in batches:
+            held.append(keys_of(batch))
+            size += len(held[-1][0])
+            if size > CHUNK:
+                yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)), bits, salt)
+                held, size, salt = [], 0, salt + 1
         if size:
-            yield often()
+            yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)), bits, salt)
 
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    both = own.mapInArrow(run, f"doc_id {kind}, text_hash bigint, class bigint, n bigint, shape binary, shingle bigint, times bigint")
-    both = materialize(both, "set-classes")
-    classes = both.where("shingle IS NULL").select("doc_id", "text_hash", "class", "n", "shape")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = both.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times"))
-    rows = counted.where(F.col("times") >= max(3.0, HOT_SHARE * total)).select("shingle").collect()
-    return classes, np.sort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
+    moved = source.mapInArrow(pack, PACKED).repartition("bucket", "salt").sortWithinPartitions("bucket")
+    found = materialize(moved.mapInArrow(lambda batches: grouped(batches, bits), "key bigint, a bigint, b bigint"), "signature-groups")
+    return found.where("key IS NULL").select("a", "b"), found.where("key IS NOT NULL").select("key", F.col("a").alias("class"))
 
 
-def candidate_members(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``key, class, n``: signatures that two classes of fitting size may share, with those classes.
+def signature_groups(docs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs and large groups by PartEnum signatures of the texts."""
 
-    Sizes that fit differ by a third at most, so they lie in the same or in neighbouring cells of that width.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
-    hot_of: list[HotShingles] = []
+    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for part in slices(iter([batch]), "text"):
+            for name, s in {class_of(s): s for s in sets_of(part) if len(s)}.items():
+                keys.append(signatures(s))
+                classes.append(np.full(len(keys[-1]), name, np.int64))
+        return np.concatenate(keys), np.concatenate(classes)
 
-    def found(sets: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
-        if not hot_of:
-            hot_of.append(HotShingles(sent.value))
-        own = {class_of(s): s for s in sets if len(s)}
-        return list(own), [signatures(s, hot_of[0]) for s in own.values()]
+    return candidates(docs.select("text"), keys_of, total)
 
-    def keys_of(part: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *found(sets_of(part))[1]])
 
-    def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        classes, keys = found(sets)
-        lengths = [len(k) for k in keys]
-        every = np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.int64)
-        sizes = {class_of(s): len(s) for s in sets if len(s)}
-        n = np.repeat(np.array([sizes[c] for c in classes], np.int32), lengths)
-        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.array(classes, np.int64), lengths)), pa.array(n)], ["key", "class", "n"])
-
-    recurring = materialize(recurring_keys(docs, keys_of), "recurring-signatures")
-    members = materialize(_map(docs, rows, "key bigint, class bigint, n int").join(recurring, "key", "left_semi"), "signature-members")
-    cell = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")
-    celled = members.withColumn("cell", F.explode(F.array(cell, cell + 1)))
-    several = celled.groupBy("key", "cell").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key", "cell")
-    near = celled.join(several, ["key", "cell"], "left_semi").select("key", "class", "n").distinct()
-    return materialize(near, "candidate-members")
+# --- comparing
 
 
 def fetched_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, elements`` of the wanted classes (and of other rows with the same doc_ids), by reading their texts.
+    """``class, n, elements`` of the wanted classes (and of other rows with the same doc_ids), by reading their texts.
 
     One document of each class is read. The list of doc_ids is stored, so that its real size decides how
-    it is joined. A class may come twice.
+    it is joined. A class comes once.
     """
     first = classes.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("_id"))
-    ids = materialize(first.select("_id").distinct().sort("_id"), "candidate-ids")
+    ids = materialize(first.select("_id").distinct(), "candidate-ids")
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own = {class_of(s): s.tobytes() for s in sets if len(s)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["class", "elements"])
-
-    return materialize(_map(texts, rows, "class bigint, elements binary"), "candidate-sets")
-
+        own = {class_of(s): s for s in sets if len(s)}
+        columns = [pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["class", "n", "elements"])
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shapes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link. Shapes rule out most of the others before texts are read."""
+    return materialize(_map(texts, rows, "class bigint, n bigint, elements binary"), "candidate-sets")
 
-    def with_both(p: DataFrame, values: DataFrame, column: str) -> DataFrame:
-        for side in ("a", "b"):
-            p = p.join(values.select(F.col("class").alias(side), F.col(column).alias(f"v_{side}")), side)
-        return p.select("a", "b", "v_a", "v_b")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in ("v_a", "v_b"))
-            # a set that fills a bucket beyond its counter is larger than the sum; such pairs are kept
-            total, full = a.sum(axis=1) + b.sum(axis=1), (np.maximum(a, b) == 255).any(axis=1)
-            ok = pa.array((7 * np.abs(a - b).sum(axis=1) <= total) | full)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link. Sizes rule out pairs before their sets move."""
+    sizes = sets.select("class", "n").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.withColumnsRenamed({"class": side, "n": f"n_{side}"}), side)
+    pairs = pairs.where((4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a"))).select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("class").alias(side), F.col("elements").alias(f"v_{side}")), side)
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("v_a"), batch.column("v_b"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok.append(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+                both = np.concatenate([a, b])
+                both.sort(kind="stable")
+                ok.append(linked(int((both[1:] == both[:-1]).sum()), len(a), len(b)))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    close = materialize(with_both(pairs, shapes, "shape").mapInArrow(near, "a bigint, b bigint").distinct(), "close-pairs")
-    sets = fetched_sets(docs, classes, close.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    return with_both(close, sets, "elements").mapInArrow(equal, "a bigint, b bigint").distinct()
+    return pairs.select("a", "b", "v_a", "v_b").mapInArrow(equal, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,45 +327,135 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def link_classes(members: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def marked_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, class, root`` of the large groups whose sets are not yet all in one component, stored."""
+    marked = members.join(roots.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    open_keys = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return materialize(marked.join(open_keys, "key", "left_semi").select("key", "class", "root"), "open-groups")
+
+
+def pivot_pairs(groups: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: each set with one pivot of its groups that is in another component.
+
+    The pivot of a group is the set that is in the most groups, later any by hash: the text that others were copied from shares most.
+    """
+    if turn == 0:
+        order = groups.groupBy("class").agg((-F.count(F.lit(1))).cast("bigint").alias("order"))
+        groups = groups.join(order, "class")
+    else:
+        groups = groups.withColumn("order", F.xxhash64("class", F.lit(turn)))
+    pivots = groups.groupBy("key").agg(F.min(F.struct("order", "class", "root")).alias("p"))
+    met = groups.join(pivots, "key").where(F.col("root") != F.col("p.root"))
+    chosen = met.groupBy("class").agg(F.min(F.struct("p.order", "p.class")).alias("p"))
+    return chosen.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b"))
+
+
+def hot_shingles(sets: DataFrame) -> np.ndarray:
+    """Shingles that very many of the sets have, sorted: at most 1 / HOT_SHARE of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def often() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "times"])
+
+        for batch in batches:
+            for value in batch.column("elements"):
+                held.append(np.frombuffer(value.as_buffer(), np.uint64))
+                size += len(held[-1])
+                if size > CHUNK:
+                    yield often()
+                    held, size = [], 0
+        if held:
+            yield often()
+
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = sets.select("elements").mapInArrow(run, "shingle bigint, times bigint").groupBy("shingle").agg(F.sum("times").alias("times"))
+    rows = counted.where(F.col("times") >= max(HOT_TIMES, HOT_SHARE * total)).select("shingle").collect()
+    return np.sort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
+
+
+def size_cell(n: int) -> int:
+    return int(math.log(n) / CELL_WIDTH)
+
+
+def shared_keys(elements: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Keys of which linked sets have one in common: for each pair of size cells, the shingles of which partners must share one.
+
+    Sets of sizes a and b that are linked share o = 3 * (a + b) / 7 or more, so among the a - o + 1 first shingles of the one, in an order that
+    is the same for all, there is one of the first b - o + 1 of the other. Rare shingles are first.
+    """
+    n = len(elements)
+    place = np.minimum(np.searchsorted(hot, elements), max(0, len(hot) - 1)) if len(hot) else np.zeros(n, int)
+    common = hot[place] == elements if len(hot) else np.zeros(n, bool)
+    ordered = elements[np.lexsort((elements, common))]
+    own, out = size_cell(n), []
+    for cell in range(size_cell(max(1, math.ceil(3 * n / 4))), size_cell(4 * n // 3) + 1):
+        least = max(math.ceil(3 * n / 4), math.ceil(math.exp(cell * CELL_WIDTH) - 1e-6))
+        first = n - math.ceil(3 * (n + least) / 7) + 1
+        name = np.uint64(min(own, cell) * 4096 + max(own, cell))
+        out.append(mix(ordered[: max(0, first)] + mix(name * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))))
+    return np.concatenate(out)
+
+
+def shared_groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and large groups of sets that share a shingle which linked sets of their sizes must share."""
+    sent = sets.sparkSession.sparkContext.broadcast(hot_shingles(sets))
+
+    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys = [shared_keys(np.frombuffer(v.as_buffer(), np.uint64), sent.value) for v in batch.column("elements")]
+        classes = np.repeat(np.array(batch.column("class").to_pylist(), np.int64), [len(k) for k in keys])
+        return np.concatenate([np.zeros(0, np.uint64), *keys]), classes
+
+    return candidates(sets.select("class", "elements"), keys_of, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
+def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, root`` of the linked classes.
 
-    In a round each signature group has a pivot, and every class is compared with one pivot of its groups that
-    it is not yet connected with. That joins groups of near copies, whatever their size, without
-    listing their pairs. Then classes of a group that are still apart are compared with one
-    another, so that no link is lost.
+    Small groups are compared pair by pair. In large ones every set meets one pivot a round. Sets that PIVOTS rounds leave apart are grouped by shingles that they
+    must share; of what is still a large group then, one pivot a round is compared with all its members and leaves
+    the group, until none is left. So no link is lost, and no round makes more pairs than there are members.
     """
-    spark = members.sparkSession
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    tested = spark.createDataFrame([], "a bigint, b bigint")
+    spark = docs.sparkSession
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs, members = signature_groups(docs, total)
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct(), "candidate-classes")
+    sets = fetched_sets(docs, classes, wanted)
     links = spark.createDataFrame([], "a bigint, b bigint")
-    shapes = classes.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("shape").alias("shape"))
-    shapes = materialize(shapes, "candidate-shapes")
-    degrees = members.groupBy("class").agg(F.count("*").alias("keys"), F.first("n").alias("n"))
-    shared = materialize(degrees.select("class", F.round(F.col("keys") / F.col("n"), 2).alias("shared")), "shared-signatures")
-    members = members.join(shared, "class")
-    fits = (4 * F.col("x.n") >= 3 * F.col("y.n")) & (4 * F.col("y.n") >= 3 * F.col("x.n"))
-    for turn in range(PIVOTS + 1):
-        marked = members.join(roots.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        # the text that others were copied from has most of its signatures in common, so it goes first
-        order = -F.col("shared") if turn == 0 else F.lit(0.0)
-        rank = F.struct(order.alias("order"), F.xxhash64("class", F.lit(turn)).alias("rank"), "class", "n", "root")
-        groups = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(rank).alias("pivot")).where("low < high")
-        if turn < PIVOTS:
-            x = groups.select("key", "pivot.*")
-            found = x.alias("x").join(marked.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & fits)
-            found = found.groupBy("y.class").agg(F.min_by("x.class", F.struct("x.order", "x.rank")).alias("other")).select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
-        else:
-            x = materialize(marked.join(groups.select("key"), "key", "left_semi"), "apart")
-            found = x.alias("x").join(x.alias("y"), "key").where((F.col("x.root") != F.col("y.root")) & fits & (F.col("x.class") < F.col("y.class")))
-            found = found.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        pairs = materialize(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        links = materialize(links.unionByName(verified(pairs, docs, classes, shapes)), "links")
-        tested = materialize(tested.unionByName(pairs), "tested-pairs")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+
+    def add(found: DataFrame) -> None:
+        nonlocal links, roots
+        links = materialize(links.unionByName(verified(found, sets)), "links")
         roots = components(links)
-    return roots
+
+    for turn in range(PIVOTS):
+        members = marked_groups(members.select("key", "class"), roots)
+        found = pivot_pairs(members, turn)
+        if turn == 0:
+            found = found.unionByName(pairs)
+        elif not members.limit(1).count():
+            return roots
+        add(found)
+    members = marked_groups(members.select("key", "class"), roots)
+    if not members.limit(1).count():
+        return roots
+    apart = materialize(sets.join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "apart-sets")
+    pairs, members = shared_groups(apart)
+    known = roots.withColumnsRenamed({"node": "class"})
+    for side in ("a", "b"):
+        pairs = pairs.join(known.withColumnsRenamed({"class": side, "root": f"r_{side}"}), side, "left")
+    add(pairs.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"))
+    while True:
+        members = marked_groups(members.select("key", "class"), roots)
+        if not members.limit(1).count():
+            return roots
+        pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("class").alias("order"), "class", "root")).alias("p"))
+        met = members.join(pivots, "key")
+        add(met.where(F.col("root") != F.col("p.root")).select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct())
+        members = met.where(F.col("class") != F.col("p.class"))
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
@@ -317,9 +468,8 @@ def join_similar(docs: DataFrame) -> DataFrame:
     result. An empty table gives no rows; other columns are left out.
     """
     own = docs.select("doc_id", "text")
-    classes, hot = set_classes(own)
-    members = candidate_members(own, hot)
-    roots = link_classes(members, own, classes)
+    classes = set_classes(own)
+    roots = link_classes(own, classes)
     own_place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # null ids after all others
     least = F.min(own_place)
     firsts = classes.where("class IS NOT NULL").groupBy("class").agg(least.alias("least"))
