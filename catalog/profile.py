@@ -9,7 +9,7 @@ from catalog.base import Tables, query, rounded
 from catalog.ingest import encoded
 from catalog.oracle import ORACLE_VIEWS
 from variantloom.contract import CATEGORICAL_FEATURES, FEATURE_ORDER, NUMERIC_FEATURES
-from variantloom.operators import profile
+from variantloom.operators import dedupe, profile
 from variantloom.operators.ranks import value_histogram
 
 _DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC_FEATURES)
@@ -55,12 +55,12 @@ def missing_report(t: Tables):
     FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM o_encoded) a, (SELECT CAST(count(*) AS BIGINT) AS d FROM (SELECT DISTINCT * FROM o_encoded) x) b""",
 )
 def duplicate_count(t: Tables):
-    return rounded(profile.duplicate_count(encoded(t)))
+    return rounded(dedupe.duplicate_count(encoded(t)))
 
 
 @query("dedupe_rows", "SELECT DISTINCT * FROM o_encoded")
 def dedupe_rows(t: Tables):
-    return encoded(t).dropDuplicates()
+    return dedupe.distinct_rows(encoded(t))
 
 
 _AUDITED = ["chrom", "pos", "ref", "alt", "SIFT_score", "Polyphen2_HDIV_score", "CADD_phred", "gnomAD_exomes_AF", "clinvar_clnsig"]

@@ -11,7 +11,7 @@ from catalog.lookup import resolved_store
 from catalog.monitor import WINDOW_SQL, WINDOW_TEXT, _DRIFT_SHOWN, window_text
 from variantloom.operators import monitor
 from variantloom.session import fresh_path
-from variantloom.streaming import feeds, jobs
+from variantloom.streaming import alerts, feeds, jobs
 
 
 def event_feed(t: Tables) -> DataFrame:
@@ -95,3 +95,35 @@ def stream_score_variants(t: Tables):
     jobs.stream_score_variants(feed, resolved_store(t), out, fresh_path(t.spark, "scored-checkpoint")).awaitTermination()
     events = t.spark.read.parquet(out).select("status", "chrom", "pos", "ref", "alt", "prediction", "probability", "confidence_score", "error")
     return real(rounded(events), "prediction")
+
+
+_MINUTES = """counts AS (SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE AS minute, count(*) AS events, count(*) FILTER (WHERE status = 'success') AS successes,
+    count(*) FILTER (WHERE status = 'error') AS errors FROM prediction_events GROUP BY 1),
+  spine AS (SELECT unnest(generate_series(min(minute), max(minute), INTERVAL 1 MINUTE)) AS minute FROM counts),
+  dense AS (SELECT s.minute, coalesce(events, 0) AS events, coalesce(successes, 0) AS successes, coalesce(errors, 0) AS errors FROM spine s LEFT JOIN counts c ON s.minute = c.minute),
+  long AS (SELECT 'no events in window' AS rule, 'critical' AS severity, minute, events AS n, 'low' AS kind FROM dense
+    UNION ALL SELECT 'no successful predictions in window', 'critical', minute, successes, 'low' FROM dense
+    UNION ALL SELECT 'prediction errors detected', 'warning', minute, errors, 'high' FROM dense),
+  summed AS (SELECT *, sum(n) OVER (PARTITION BY rule ORDER BY minute ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v FROM long),
+  judged AS (SELECT *, CASE WHEN kind = 'low' THEN v < 1 ELSE v > 0 END AS bad FROM summed),
+  states AS (SELECT *, CASE WHEN NOT bad THEN 'normal' WHEN lag(bad) OVER w THEN 'firing' ELSE 'pending' END AS plain FROM judged WINDOW w AS (PARTITION BY rule ORDER BY minute)),
+  named AS (SELECT *, CASE WHEN plain = 'normal' AND lag(plain) OVER w = 'firing' THEN 'resolved' ELSE plain END AS state FROM states WINDOW w AS (PARTITION BY rule ORDER BY minute)),
+  changes AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY rule ORDER BY minute), 'normal') AS was FROM named)"""
+_CHANGES = "SELECT rule, severity, strftime(minute, '%Y-%m-%d %H:%M:%S') AS at, CAST(v AS DOUBLE) AS value, was, state FROM changes WHERE state <> was AND NOT (was = 'resolved' AND state = 'normal')"
+
+
+def changes_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("alert_timeline", f"WITH {_MINUTES} {_CHANGES}")
+def alert_timeline(t: Tables):
+    return changes_text(alerts.alert_timeline(t.prediction_events))
+
+
+@query("stream_alerts", f"WITH {_MINUTES} {_CHANGES} AND minute <= (SELECT date_trunc('minute', max(ts) - INTERVAL 10 MINUTE) FROM prediction_events)")
+def stream_alerts(t: Tables):
+    """The same changes from the stream, as far as its watermark has come."""
+    out = fresh_path(t.spark, "alert-changes")
+    alerts.run_alerts(event_feed(t), out, fresh_path(t.spark, "alert-checkpoint")).awaitTermination()
+    return changes_text(t.spark.read.parquet(out))

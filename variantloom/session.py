@@ -69,18 +69,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables that ``materialize`` writes inside (in this thread) are deleted at the end.
-
-    For work whose result is stored before the end; a lazy result that still reads them would lose its input.
-    """
+def noted(spark: SparkSession) -> Iterator[list[str]]:
+    """Paths of the tables that ``materialize`` writes inside, in this thread."""
     made: list[str] = []
     _SCRATCH.open = [*getattr(_SCRATCH, "open", []), made]
     try:
         yield made
     finally:
         _SCRATCH.open = [m for m in _SCRATCH.open if m is not made]
-        delete_tables(spark, made)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``materialize`` writes inside (in this thread) are deleted at the end.
+
+    For work whose result is stored before the end; a lazy result that still reads them would lose its input.
+    """
+    with noted(spark) as made:
+        try:
+            yield made
+        finally:
+            delete_tables(spark, made)
 
 
 def delete_tables(spark: SparkSession, paths: Sequence[str]) -> None:
