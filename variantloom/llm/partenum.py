@@ -12,7 +12,7 @@ of its parts must agree with any partner than have one; for that there are a few
 
 Sets of a small group with one signature are all compared. In a large group each set is compared with one pivot at a time, which
 joins copies of one text in a few rounds; sets that stay apart are grouped again, by the shingles that they
-must share if they are linked, rare ones first, so that a common template brings nobody together.
+must share if they are linked, the rarest first, so that a common template brings nobody together.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variantloom.llm.common import ascii_lower, byte_texts, gram_hashes, hashed_words, mix, read_table, slices
@@ -37,10 +37,11 @@ CELLS = 3  # of a part; a signature leaves out one
 SPARE = 0.06  # parts beyond those needed, as a share
 CHUNK = 1_000_000  # signatures that a task sorts together
 CROWD = 256  # sets of one signature in a chunk from which they travel apart from the others
-SMALL = 8  # sets of a group that are all compared
-PIVOTS = 3  # rounds that compare with one member of each group
-HOT_SHARE = 5e-7  # share of the shingles from which one is hot: at most 2e6 of them
-HOT_TIMES = 10  # and it occurs so often at least
+SMALL = 12  # sets of a group that are all compared
+PIVOTS = 2  # rounds that compare with one member of each group
+PIVOTS_A_ROUND = 8  # of a group that is compared to its end
+HOT_SHARE = 5e-7  # share of the shingles from which one's number is known to all: at most 2e6 of them
+HOT_TIMES = 4  # and it occurs so often at least
 CELL_WIDTH = math.log(1.08)  # of sizes, where shared shingles are asked for
 
 
@@ -350,8 +351,8 @@ def pivot_pairs(groups: DataFrame, turn: int) -> DataFrame:
     return chosen.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b"))
 
 
-def hot_shingles(sets: DataFrame) -> np.ndarray:
-    """Shingles that very many of the sets have, sorted: at most 1 / HOT_SHARE of them."""
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of the sets have, sorted, and in how many each is: at most 1 / HOT_SHARE of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -372,24 +373,26 @@ def hot_shingles(sets: DataFrame) -> np.ndarray:
 
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = sets.select("elements").mapInArrow(run, "shingle bigint, times bigint").groupBy("shingle").agg(F.sum("times").alias("times"))
-    rows = counted.where(F.col("times") >= max(HOT_TIMES, HOT_SHARE * total)).select("shingle").collect()
-    return np.sort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
+    rows = counted.where(F.col("times") >= max(HOT_TIMES, HOT_SHARE * total)).collect()
+    found = np.array([(r["shingle"], r["times"]) for r in rows], np.int64).reshape(-1, 2)
+    order = np.argsort(found[:, 0].view(np.uint64))
+    return found[order, 0].view(np.uint64), found[order, 1].astype(np.int32)
 
 
 def size_cell(n: int) -> int:
     return int(math.log(n) / CELL_WIDTH)
 
 
-def shared_keys(elements: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def shared_keys(elements: np.ndarray, hot: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Keys of which linked sets have one in common: for each pair of size cells, the shingles of which partners must share one.
 
     Sets of sizes a and b that are linked share o = 3 * (a + b) / 7 or more, so among the a - o + 1 first shingles of the one, in an order that
-    is the same for all, there is one of the first b - o + 1 of the other. Rare shingles are first.
+    is the same for all, there is one of the first b - o + 1 of the other. Rare shingles are first, frequent ones by their number.
     """
     n = len(elements)
     place = np.minimum(np.searchsorted(hot, elements), max(0, len(hot) - 1)) if len(hot) else np.zeros(n, int)
-    common = hot[place] == elements if len(hot) else np.zeros(n, bool)
-    ordered = elements[np.lexsort((elements, common))]
+    often = np.where(hot[place] == elements, times[place], 0) if len(hot) else np.zeros(n, int)
+    ordered = elements[np.lexsort((elements, often))]
     own, out = size_cell(n), []
     for cell in range(size_cell(max(1, math.ceil(3 * n / 4))), size_cell(4 * n // 3) + 1):
         least = max(math.ceil(3 * n / 4), math.ceil(math.exp(cell * CELL_WIDTH) - 1e-6))
@@ -401,10 +404,10 @@ def shared_keys(elements: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 def shared_groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs and large groups of sets that share a shingle which linked sets of their sizes must share."""
-    sent = sets.sparkSession.sparkContext.broadcast(hot_shingles(sets))
+    sent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
 
     def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        keys = [shared_keys(np.frombuffer(v.as_buffer(), np.uint64), sent.value) for v in batch.column("elements")]
+        keys = [shared_keys(np.frombuffer(v.as_buffer(), np.uint64), *sent.value) for v in batch.column("elements")]
         classes = np.repeat(np.array(batch.column("class").to_pylist(), np.int64), [len(k) for k in keys])
         return np.concatenate([np.zeros(0, np.uint64), *keys]), classes
 
@@ -415,7 +418,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, root`` of the linked classes.
 
     Small groups are compared pair by pair. In large ones every set meets one pivot a round. Sets that PIVOTS rounds leave apart are grouped by shingles that they
-    must share; of what is still a large group then, one pivot a round is compared with all its members and leaves
+    must share; of what is still a large group then, a few pivots a round are compared with all its members and leave
     the group, until none is left. So no link is lost, and no round makes more pairs than there are members.
     """
     spark = docs.sparkSession
@@ -452,10 +455,11 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         members = marked_groups(members.select("key", "class"), roots)
         if not members.limit(1).count():
             return roots
-        pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("class").alias("order"), "class", "root")).alias("p"))
-        met = members.join(pivots, "key")
-        add(met.where(F.col("root") != F.col("p.root")).select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct())
-        members = met.where(F.col("class") != F.col("p.class"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("class"), "class"))
+        pivots = materialize(members.withColumn("place", place).where(F.col("place") <= PIVOTS_A_ROUND).drop("place"), "pivots")
+        met = members.join(pivots.withColumnsRenamed({"class": "pivot", "root": "pivot_root"}), "key").where(F.col("root") != F.col("pivot_root"))
+        add(met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct())
+        members = members.join(pivots, ["key", "class"], "left_anti")
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
