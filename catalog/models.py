@@ -9,10 +9,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.base import Tables, query
+from catalog.base import Tables, query, rounded
 from catalog.ingest import encoded
 from catalog.lookup import resolved_store
-from variantloom.operators import evaluate, models, scoring
+from variantloom.operators import evaluate, models, scoring, statistics
 from variantloom.session import path_exists
 
 
@@ -45,6 +45,32 @@ def train_gbt(t: Tables):
     return models.evaluate_model("gradient boosted trees", gbt(t), split_table(t))
 
 
+@query("train_gbt_ordered")
+def train_gbt_ordered(t: Tables):
+    rows = split_table(t)
+    return models.evaluate_model("ordered boosted trees", models.train_gbt_ordered(rows), rows)
+
+
+_SLICED = "(SELECT *, CAST(('0x' || substr(md5(concat_ws('|', '7', chrom, CAST(pos AS VARCHAR), ref, alt)), 1, 2)) AS INT) AS slice FROM variants_clean)"
+
+
+def _statistic_sql(column: str) -> str:
+    before = f"PARTITION BY {column} ORDER BY slice RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""(coalesce(sum(target) OVER ({before}), 0) + 10 * coalesce(avg(target) OVER (ORDER BY slice RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5))
+      / (count(*) OVER ({before}) + 10)"""
+
+
+@query(
+    "target_statistics",
+    f"SELECT chrom, pos, ref, alt, round({_statistic_sql('chrom')}, 9) AS chrom_mean, round({_statistic_sql('ref')}, 9) AS ref_mean FROM {_SLICED} x",
+)
+def target_statistics(t: Tables):
+    """Two text columns of the training rows as means of the rows in the slices before theirs."""
+    rows = t.variants_clean.select("chrom", "pos", "ref", "alt", "target")
+    fitted_means = statistics.fit_statistics(rows, ["chrom", "ref"], "target", ["chrom", "pos", "ref", "alt"])
+    return rounded(fitted_means.encode(rows, F.lit(True)).drop("target"), 9)
+
+
 @query("train_baselines")
 def train_baselines(t: Tables):
     rows = split_table(t)

@@ -9,8 +9,9 @@ from catalog.base import Tables, query, rounded
 from catalog.ingest import encoded
 from catalog.oracle import ORACLE_VIEWS
 from variantloom.contract import CATEGORICAL_FEATURES, FEATURE_ORDER, NUMERIC_FEATURES
-from variantloom.operators import dedupe, profile
+from variantloom.operators import dedupe, profile, sketches
 from variantloom.operators.ranks import value_histogram
+from variantloom.session import list_names, materialize, path_exists
 
 _DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC_FEATURES)
 ORACLE_VIEWS["o_wide"] = f"SELECT Target, {_DOUBLES} FROM o_encoded"
@@ -285,3 +286,50 @@ def recommendations(t: Tables):
 @query("head_preview", "SELECT * FROM variants_clean ORDER BY chrom, pos, ref, alt, SIFT_score, CADD_phred, gnomAD_exomes_AF LIMIT 20")
 def head_preview(t: Tables):
     return profile.head_preview(t.variants_clean, 20, ["chrom", "pos", "ref", "alt", "SIFT_score", "CADD_phred", "gnomAD_exomes_AF"])
+
+
+def sketch_parts(t: Tables) -> DataFrame:
+    """Stored sketches of the encoded table, one part for each chromosome."""
+    path = t.stored_path("encoded_by_part")
+    if not path_exists(t.spark, f"{path}/_SUCCESS"):
+        encoded(t).withColumn("by_chrom", F.col("CHROM")).write.partitionBy("by_chrom").parquet(path)
+    folders = [f"{path}/{name}" for name in list_names(t.spark, path)]
+    parts = {f.rsplit("=", 1)[1]: ((lambda f=f: t.spark.read.parquet(f)), [f]) for f in folders}
+    return sketches.update_sketches(t.spark, t.stored_path("sketches"), parts, profile.feature_columns(encoded(t)), ["Target"])
+
+
+def rank_errors(t: Tables, described: DataFrame, by: list[str]) -> DataFrame:
+    """For each row of quartiles: whether each has a rank within 0.03 of the one it stands for, among all values."""
+    columns = profile.feature_columns(encoded(t))
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]
+    values = encoded(t).select(*by, F.inline(F.array(*cells))).where("v IS NOT NULL")
+    shares = []
+    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        below, upto = F.avg((F.col("v") < F.col(name)).cast("double")), F.avg((F.col("v") <= F.col(name)).cast("double"))
+        shares.append((below - 0.03 <= q) & (upto + 0.03 >= q))
+    return values.join(described.select(*by, "feature", "q25", "q50", "q75"), [*by, "feature"]).groupBy(*by, "feature").agg((shares[0] & shares[1] & shares[2]).alias("close"))
+
+
+@query(
+    "describe_sketched",
+    """SELECT feature, CAST(count(*) AS BIGINT) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS low,
+      round(max(value), 6) AS high, TRUE AS close FROM o_long GROUP BY feature""",
+)
+def describe_sketched(t: Tables):
+    """Profiles merged from the stored sketches of the parts; ``close`` measures their quartiles against all values."""
+    merged = materialize(sketches.merge_sketches(sketch_parts(t)), "merged-sketches")
+    described = sketches.describe_sketched(merged)
+    shown = described.select("feature", "count", "mean", "std", "low", "high").join(rank_errors(t, described, []), "feature")
+    return rounded(shown)
+
+
+@query(
+    "separation_sketched",
+    """SELECT feature, CAST(count(*) FILTER (WHERE Target = 0) AS BIGINT) AS n_0, CAST(count(*) FILTER (WHERE Target = 1) AS BIGINT) AS n_1,
+      round(avg(value) FILTER (WHERE Target = 0), 6) AS mean_0, round(avg(value) FILTER (WHERE Target = 1), 6) AS mean_1, TRUE AS close FROM o_long GROUP BY feature""",
+)
+def separation_sketched(t: Tables):
+    merged = materialize(sketches.merge_sketches(sketch_parts(t), ["Target"]), "merged-sketches")
+    close = rank_errors(t, sketches.describe_sketched(merged, ["Target"]), ["Target"]).groupBy("feature").agg(F.bool_and("close").alias("close"))
+    shown = sketches.separation_sketched(merged, "Target").select("feature", "n_0", "n_1", "mean_0", "mean_1")
+    return rounded(shown.join(close, "feature"))
