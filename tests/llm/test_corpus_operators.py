@@ -204,6 +204,8 @@ def test_linked_sets_share_a_signature_and_a_shingle_key():
             kept = rng.permutation(a)[: n - gone]
             b = np.unique(np.append(kept, rng.integers(0, 1 << 63, rng.integers(0, n // 3 + 2)).astype(np.uint64)))
             if len(b) and partenum.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                differ = len(np.setxor1d(a, b))
+                assert partenum.apart_at_least(partenum.parity(a), partenum.parity(b)) <= differ and 7 * differ <= len(a) + len(b)
                 assert len(np.intersect1d(partenum.signatures(a), partenum.signatures(b))), (len(a), len(b))
                 hot = np.sort(rng.permutation(a)[: n // 2])
                 times = rng.integers(2, 9, len(hot)).astype(np.int32)

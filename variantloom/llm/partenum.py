@@ -1,6 +1,6 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set holds its distinct 5-word shingles. Sets are joined in bands of about equal size: each band ends at 4/3 of the one
+A document's set holds its distinct 5-word shingles. Sets are joined in bands of about equal size: each band ends at 8/5 of the one
 before, so partners lie in the same or in neighbouring bands, and a set takes part in its own band and, if a partner may
 lie there, in the next. In a band of sets up to t elements, linked sets differ in at most k = 2t/7 elements. The domain of
 shingles is cut into more than k/2 parts, so in one part at least linked sets differ in at most one element; each part is cut
@@ -25,7 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variantloom.llm.common import ascii_lower, byte_texts, gram_hashes, hashed_words, mix, read_table, slices
@@ -78,7 +78,7 @@ def band_of(n: int) -> tuple[int, int]:
 
 
 def next_top(top: int) -> int:
-    return 4 * top // 3 + 1
+    return 8 * top // 5 + 1
 
 
 @cache
@@ -119,6 +119,28 @@ def signatures(elements: np.ndarray) -> np.ndarray:
     return np.unique(found)
 
 
+def parity(elements: np.ndarray) -> bytes:
+    """Bits that tell of how many elements each has, odd or even; a power of two, about two bits an element.
+
+    Bits that differ between two sets are no more than the elements that do. A longer one is folded to a shorter one's length.
+    """
+    bits = 1 << max(9, min(20, int(2 * len(elements) - 1).bit_length()))
+    return np.packbits((np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of elements in which two sets differ, from their parities."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(_ONES[a ^ b].sum())
+
+
 # --- groups of sets with one signature
 
 
@@ -146,15 +168,17 @@ def set_classes(docs: DataFrame) -> DataFrame:
 
 
 PACKED = "bucket int, salt int, keys binary, classes binary"
-APART = -1  # in place of a class: this key's sets travel apart
+APART = (1 << 32) - 1  # in place of a class: this key's sets travel apart
 
 
 def packed(keys: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of key and class as one row for each bucket of keys.
+    """Distinct pairs of key and class (by its low 32 bits) as one row for each bucket of keys.
 
     Sets of a crowded key go to a row of their own (bucket -1), salted, so that no task gets them all; a mark
     stays in the key's bucket.
     """
+    classes = classes & APART
+    classes[classes == APART] -= 1
     order = np.lexsort((classes, keys))
     keys, classes = keys[order], classes[order]
     new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))[: len(keys)]
@@ -164,7 +188,7 @@ def packed(keys: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Itera
     away = np.repeat(crowded, np.diff(np.append(starts, len(keys))))
     rows = []
     if away.any():
-        rows.append((-1, salt, keys[away].tobytes(), classes[away].tobytes()))
+        rows.append((-1, salt, keys[away].tobytes(), classes[away].astype("<u4").tobytes()))
         keys = np.append(keys[~away], keys[starts[crowded]])
         classes = np.append(classes[~away], np.full(int(crowded.sum()), APART))
         order = np.argsort(keys, kind="stable")
@@ -173,7 +197,7 @@ def packed(keys: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Itera
     edges = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)) if len(buckets) else np.zeros(1, int)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         rest = (keys[a:b] >> np.uint64(32 - bits)).astype("<u4")
-        rows.append((int(buckets[a]), 0, rest.tobytes(), classes[a:b].tobytes()))
+        rows.append((int(buckets[a]), 0, rest.tobytes(), classes[a:b].astype("<u4").tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "salt", "keys", "classes"])
 
 
@@ -214,7 +238,7 @@ def grouped(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
     size, last = 0, None
     for batch in batches:
         for bucket, keys, classes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "classes")), strict=True):
-            own = np.frombuffer(classes, np.int64)
+            own = np.frombuffer(classes, "<u4").astype(np.int64)
             if bucket < 0:
                 whole = np.frombuffer(keys, np.uint64) >> np.uint64(32 - bits)
                 nothing = pa.nulls(len(own), pa.int64())
@@ -229,41 +253,52 @@ def grouped(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         yield pairs_and_members(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def candidates(source: DataFrame, keys_of, total: int) -> tuple[DataFrame, DataFrame]:
-    """``a, b`` from small groups and ``key, class`` of large ones, among sets that share one of the keys of ``keys_of(batch)``.
+def candidates(source: DataFrame, keys_of, total: int, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` from small groups and ``key, class`` of large ones, among the ``classes`` that share one of the keys of ``keys_of(batch)``.
 
-    ``keys_of`` gives keys and classes as arrays; ``total`` is about how many there are. A key and a class move once, packed.
+    ``keys_of`` gives keys and classes as arrays, piece by piece; ``total`` is about how many there are. A key and the low half of a
+    class move once, packed. Different classes with one low half are all taken, so there may be more candidates, never fewer.
     """
     bits = min(24, max(6, math.ceil(math.log2(max(1, total) / 30_000 + 1))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, salt = [], 0, TaskContext.get().partitionId() * 64  # the same when the task is run again
         for batch in batches:
-            held.append(keys_of(batch))
-            size += len(held[-1][0])
-            if size > CHUNK:
-                yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)), bits, salt)
-                held, size, salt = [], 0, salt + 1
+            for piece in keys_of(batch):
+                held.append(piece)
+                size += len(piece[0])
+                if size > CHUNK:
+                    yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)), bits, salt)
+                    held, size, salt = [], 0, salt + 1
         if size:
             yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)), bits, salt)
 
     moved = source.mapInArrow(pack, PACKED).repartition("bucket", "salt").sortWithinPartitions("bucket")
     found = materialize(moved.mapInArrow(lambda batches: grouped(batches, bits), "key bigint, a bigint, b bigint"), "signature-groups")
-    return found.where("key IS NULL").select("a", "b"), found.where("key IS NOT NULL").select("key", F.col("a").alias("class"))
+    halves = classes.select("class", low_half(F.col("class")).alias("half"))
+    pairs, members = found.where("key IS NULL"), found.where("key IS NOT NULL").select("key", "a")
+    for side in ("a", "b"):
+        pairs = pairs.join(halves.withColumnsRenamed({"class": f"class_{side}", "half": side}), side)
+    pairs = pairs.where("class_a <> class_b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+    return pairs, members.join(halves, members["a"] == halves["half"]).select("key", "class")
 
 
-def signature_groups(docs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+def low_half(c: Column) -> Column:
+    """The low 32 bits of a class; all ones stand for something else, so they become all ones but the last."""
+    half = c.bitwiseAND(F.lit((1 << 32) - 1))
+    return F.when(half == APART, APART - 1).otherwise(half)
+
+
+def signature_groups(docs: DataFrame, total: int, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs and large groups by PartEnum signatures of the texts."""
 
-    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in slices(iter([batch]), "text"):
             for name, s in {class_of(s): s for s in sets_of(part) if len(s)}.items():
-                keys.append(signatures(s))
-                classes.append(np.full(len(keys[-1]), name, np.int64))
-        return np.concatenate(keys), np.concatenate(classes)
+                keys = signatures(s)
+                yield keys, np.full(len(keys), name, np.int64)
 
-    return candidates(docs.select("text"), keys_of, total)
+    return candidates(docs.select("text"), keys_of, total, classes)
 
 
 # --- comparing
@@ -281,33 +316,39 @@ def fetched_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> Data
 
     def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         own = {class_of(s): s for s in sets if len(s)}
-        columns = [pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["class", "n", "elements"])
+        binary = [pa.array([f(s) for s in own.values()], pa.binary()) for f in (parity, np.ndarray.tobytes)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), *binary], ["class", "n", "parity", "elements"])
 
-    return materialize(_map(texts, rows, "class bigint, n bigint, elements binary"), "candidate-sets")
+    return materialize(_map(texts, rows, "class bigint, n bigint, parity binary, elements binary"), "candidate-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link. Sizes rule out pairs before their sets move."""
-    sizes = sets.select("class", "n").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.withColumnsRenamed({"class": side, "n": f"n_{side}"}), side)
-    pairs = pairs.where((4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a"))).select("a", "b").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("class").alias(side), F.col("elements").alias(f"v_{side}")), side)
+    """The pairs ``a, b`` that link. Sizes and parities rule out most of the others before sets move."""
 
-    def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("v_a"), batch.column("v_b"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                ok.append(linked(int((both[1:] == both[:-1]).sum()), len(a), len(b)))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+    def with_both(p: DataFrame, column: str) -> DataFrame:
+        for side in ("a", "b"):
+            p = p.join(sets.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"v_{side}")), side)
+        return p.select("a", "b", "n_a", "n_b", "v_a", "v_b")
+
+    def kept(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b")), batch.column("v_a"), batch.column("v_b"), strict=True)
+                ok = pa.array([test(n, m, x.as_buffer(), y.as_buffer()) for n, m, x, y in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+        return run
+
+    def near(n: int, m: int, x, y) -> bool:
+        return 4 * n >= 3 * m and 4 * m >= 3 * n and 7 * apart_at_least(x, y) <= n + m
+
+    def equal(n: int, m: int, x, y) -> bool:
+        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+        both.sort(kind="stable")
+        return bool(linked(int((both[1:] == both[:-1]).sum()), n, m))
 
-    return pairs.select("a", "b", "v_a", "v_b").mapInArrow(equal, "a bigint, b bigint").distinct()
+    close = materialize(with_both(pairs.distinct(), "parity").mapInArrow(kept(near), "a bigint, b bigint"), "close-pairs")
+    return with_both(close, "elements").mapInArrow(kept(equal), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -406,12 +447,12 @@ def shared_groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs and large groups of sets that share a shingle which linked sets of their sizes must share."""
     sent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
 
-    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        keys = [shared_keys(np.frombuffer(v.as_buffer(), np.uint64), *sent.value) for v in batch.column("elements")]
-        classes = np.repeat(np.array(batch.column("class").to_pylist(), np.int64), [len(k) for k in keys])
-        return np.concatenate([np.zeros(0, np.uint64), *keys]), classes
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for name, value in zip(batch.column("class").to_pylist(), batch.column("elements"), strict=True):
+            keys = shared_keys(np.frombuffer(value.as_buffer(), np.uint64), *sent.value)
+            yield keys, np.full(len(keys), name, np.int64)
 
-    return candidates(sets.select("class", "elements"), keys_of, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return candidates(sets.select("class", "elements"), keys_of, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], sets.select("class"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -423,7 +464,8 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs, members = signature_groups(docs, total)
+    known = materialize(classes.where("class IS NOT NULL").select("class").distinct(), "distinct-classes")
+    pairs, members = signature_groups(docs, total, known)
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct(), "candidate-classes")
     sets = fetched_sets(docs, classes, wanted)
     links = spark.createDataFrame([], "a bigint, b bigint")
@@ -447,9 +489,9 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return roots
     apart = materialize(sets.join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "apart-sets")
     pairs, members = shared_groups(apart)
-    known = roots.withColumnsRenamed({"node": "class"})
+    rooted = roots.withColumnsRenamed({"node": "class"})
     for side in ("a", "b"):
-        pairs = pairs.join(known.withColumnsRenamed({"class": side, "root": f"r_{side}"}), side, "left")
+        pairs = pairs.join(rooted.withColumnsRenamed({"class": side, "root": f"r_{side}"}), side, "left")
     add(pairs.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"))
     while True:
         members = marked_groups(members.select("key", "class"), roots)
