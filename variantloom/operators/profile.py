@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,29 +245,54 @@ def target_correlation(df: DataFrame, target: str = TARGET, top: int | None = 15
     return report if top is None else report.limit(top)
 
 
-def high_correlation_pairs(df: DataFrame, target: str = TARGET, minimum: float = 0.9) -> DataFrame:
-    """Column pairs with ``abs(r)`` above ``minimum``, strongest first.
+def masked_sums(df: DataFrame, names: Sequence[str]) -> dict[str, np.ndarray]:
+    """Over the rows where both columns have a value, for each pair: n, x, xx, xy, as matrices with one line for each column.
 
-    A row counts for a pair when both values are there. Columns without gaps give one matrix by tree
-    aggregation, as wide as the schema; pairs with a gap on some row are summed pair by pair.
+    Values are taken from their column's mean, so large ones lose no digits; gaps are zeros under a mask, so no row is
+    taken apart into its pairs. A task sends one line of sums a column, and Spark adds equal lines up.
     """
+    means = df.agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.avg(F.col(c)), F.lit(0.0)).alias(c) for c in names]).first()
+    shift, k = np.array([means[c] for c in names]), len(names)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, 4 * k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - shift
+            held = ~np.isnan(x)
+            x, held = np.where(held, x, 0.0), held.astype(float)
+            total += np.concatenate([held.T @ held, x.T @ held, (x * x).T @ held, x.T @ x], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["line", "cells"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for line, cells in zip(batch.column("line").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                lines[line] = lines.get(line, 0.0) + np.array(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int32()), pa.array(list(lines.values()), pa.list_(pa.float64()))], ["line", "cells"])
+
+    schema = "line int, cells array<double>"
+    rows = df.select(*names).mapInArrow(sums, schema).repartition("line").mapInArrow(added, schema).collect()  # one a column
+    whole = np.zeros((k, 4 * k))
+    for r in rows:
+        whole[r["line"]] = r["cells"]
+    return dict(zip(("n", "x", "xx", "xy"), np.split(whole, 4, axis=1), strict=True))
+
+
+def high_correlation_pairs(df: DataFrame, target: str = TARGET, minimum: float = 0.9) -> DataFrame:
+    """Column pairs with ``abs(r)`` above ``minimum``, strongest first. A row counts for a pair when both values are there."""
     names = feature_columns(df, target)
-    numbers = df.select(*[finite(F.col(f"`{c}`")).alias(c) for c in names])
-    gaps = numbers.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
-    full = [c for c in names if not gaps[c]] if gaps["_n"] else []
+    numbers = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in names])
     found: list[tuple[str, str, float]] = []
-    if len(full) > 1:
-        vectors = VectorAssembler(inputCols=full, outputCol="_v").transform(numbers.select(*full))
-        matrix = Correlation.corr(vectors.select("_v"), "_v").first()[0].toArray()
-        found = [(a, b, float(matrix[i][j])) for i, a in enumerate(full) for j, b in enumerate(full) if i < j]
+    if len(names) > 1:
+        m = masked_sums(numbers, names)
+        n = np.maximum(m["n"], 1.0)
+        spread = m["xx"] - m["x"] ** 2 / n  # of the line's column, where the other has a value
+        flat = (spread <= 1e-9 * m["xx"]) | (m["n"] < 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(flat | flat.T, np.nan, (m["xy"] - m["x"] * m["x"].T / n) / np.sqrt(spread * spread.T))
+        found = [(a, b, float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and abs(r[i, j]) > minimum]
     table = df.sparkSession.createDataFrame(found, "feature_a string, feature_b string, r double")
-    whole = set(full)
-    rest = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if not (a in whole and b in whole)]
-    if rest and gaps["_n"]:
-        cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in rest]
-        both = numbers.select(F.inline(F.array(*cells))).where("x IS NOT NULL AND y IS NOT NULL")
-        table = table.unionByName(both.groupBy("feature_a", "feature_b").agg(safe_corr(F.col("x"), F.col("y")).alias("r")))
-    return table.where(F.abs("r") > minimum).orderBy(F.desc(F.abs("r")), "feature_a", "feature_b")
+    return table.orderBy(F.desc(F.abs("r")), "feature_a", "feature_b")
 
 
 def class_separation(hist: DataFrame, target: str = TARGET, top: int | None = 20) -> DataFrame:
