@@ -47,4 +47,4 @@ def test_stream_equals_batch_over_restarts_and_silence(spark):
     last = (START + dt.timedelta(seconds=now - 600)).replace(second=0)
     want = changes(alerts.alert_timeline(events(spark, rows)).where(F.col("at") <= F.lit(last)))
     got = changes(spark.read.parquet(out))
-    assert got == want and {c[4] for c in got} == {"pending", "firing", "resolved", "normal"}
+    assert got == want and {c[4] for c in got} == {"pending", "firing", "resolved"}
