@@ -186,7 +186,7 @@ def templates():
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"HOT_TIMES": 3, "SMALL": 2, "CROWD": 4, "CHUNK": 500}])
+@pytest.mark.parametrize("settings", [{}, {"HOT_TIMES": 3, "SMALL": 2, "CROWD": 4, "CHUNK": 500, "TILE": 5}])
 def test_links_equal_all_pairs(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(partenum, name, value)

@@ -25,7 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variantloom.llm.common import ascii_lower, byte_texts, gram_hashes, hashed_words, mix, read_table, slices
@@ -38,8 +38,8 @@ SPARE = 0.06  # parts beyond those needed, as a share
 CHUNK = 1_000_000  # signatures that a task sorts together
 CROWD = 256  # sets of one signature in a chunk from which they travel apart from the others
 SMALL = 12  # sets of a group that are all compared
-PIVOTS = 2  # rounds that compare with one member of each group
-PIVOTS_A_ROUND = 8  # of a group that is compared to its end
+PIVOTS = 1  # rounds that compare with one member of each group
+TILE = 256  # sets of a group that are compared with as many in one place
 HOT_SHARE = 5e-7  # share of the shingles from which one's number is known to all: at most 2e6 of them
 HOT_TIMES = 4  # and it occurs so often at least
 CELL_WIDTH = math.log(1.08)  # of sizes, where shared shingles are asked for
@@ -134,11 +134,15 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 def apart_at_least(x: bytes, y: bytes) -> int:
     """A lower bound of the number of elements in which two sets differ, from their parities."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) > len(b):
-        a, b = b, a
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(_ONES[a ^ b].sum())
+    width = min(len(a), len(b))
+    return int(_ONES[folded(a, width) ^ folded(b, width)].sum())
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """The parity of a set in ``width`` bytes: bits that fall together are added."""
+    while len(bits) > width:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 # --- groups of sets with one signature
@@ -155,16 +159,16 @@ def _map(docs: DataFrame, rows, schema: str) -> DataFrame:
 
 
 def set_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, class, n`` of each row; class is null for an empty set."""
+    """``doc_id, text_hash, class, n, parity`` of each row; class is null for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-        columns = [part.column("doc_id"), part.column("text_hash"), classes, pa.array([len(s) for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "n"])
+        columns = [part.column("doc_id"), part.column("text_hash"), classes, pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "n", "parity"])
 
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return materialize(_map(own, rows, f"doc_id {kind}, text_hash bigint, class bigint, n bigint"), "set-classes")
+    return materialize(_map(own, rows, f"doc_id {kind}, text_hash bigint, class bigint, n bigint, parity binary"), "set-classes")
 
 
 PACKED = "bucket int, salt int, keys binary, classes binary"
@@ -305,7 +309,7 @@ def signature_groups(docs: DataFrame, total: int, classes: DataFrame) -> tuple[D
 
 
 def fetched_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, n, elements`` of the wanted classes (and of other rows with the same doc_ids), by reading their texts.
+    """``class, n, elements`` of the wanted classes, by reading their texts.
 
     One document of each class is read. The list of doc_ids is stored, so that its real size decides how
     it is joined. A class comes once.
@@ -316,39 +320,93 @@ def fetched_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> Data
 
     def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         own = {class_of(s): s for s in sets if len(s)}
-        binary = [pa.array([f(s) for s in own.values()], pa.binary()) for f in (parity, np.ndarray.tobytes)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), *binary], ["class", "n", "parity", "elements"])
+        columns = [pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["class", "n", "elements"])
+
+    found = _map(texts, rows, "class bigint, n bigint, elements binary").join(wanted, "class", "left_semi")  # not of other rows with these ids
+    return materialize(found.dropDuplicates(["class"]), "candidate-sets")
 
-    return materialize(_map(texts, rows, "class bigint, n bigint, parity binary, elements binary"), "candidate-sets")
 
+def near(n: int, m: int, x, y) -> bool:
+    """Whether sizes and parities let two sets be linked."""
+    return 4 * n >= 3 * m and 4 * m >= 3 * n and 7 * apart_at_least(x, y) <= n + m
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link. Sizes and parities rule out most of the others before sets move."""
 
-    def with_both(p: DataFrame, column: str) -> DataFrame:
-        for side in ("a", "b"):
-            p = p.join(sets.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"v_{side}")), side)
-        return p.select("a", "b", "n_a", "n_b", "v_a", "v_b")
+def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(values.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"v_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "v_a", "v_b")
 
-    def kept(test):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b")), batch.column("v_a"), batch.column("v_b"), strict=True)
-                ok = pa.array([test(n, m, x.as_buffer(), y.as_buffer()) for n, m, x, y in rows], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-        return run
+def _kept(pairs: DataFrame, test) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b")), batch.column("v_a"), batch.column("v_b"), strict=True)
+            ok = pa.array([test(n, m, x.as_buffer(), y.as_buffer()) for n, m, x, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    def near(n: int, m: int, x, y) -> bool:
-        return 4 * n >= 3 * m and 4 * m >= 3 * n and 7 * apart_at_least(x, y) <= n + m
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_pairs(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and parities let them be linked; ``shapes`` has ``class, n, parity``."""
+    return _kept(_with_both(pairs.distinct(), shapes, "parity"), near)
+
+
+def verified(close: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link, of some that are near; only their texts are read."""
+    close = materialize(close.distinct(), "close-pairs")
+    sets = fetched_sets(docs, classes, close.select(F.explode(F.array("a", "b")).alias("class")).distinct())
 
     def equal(n: int, m: int, x, y) -> bool:
         both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
         both.sort(kind="stable")
         return bool(linked(int((both[1:] == both[:-1]).sum()), n, m))
 
-    close = materialize(with_both(pairs.distinct(), "parity").mapInArrow(kept(near), "a bigint, b bigint"), "close-pairs")
-    return with_both(close, "elements").mapInArrow(kept(equal), "a bigint, b bigint").distinct()
+    return _kept(_with_both(close, sets, "elements"), equal)
+
+
+def compared_in_tiles(members: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``a, b``: the near pairs of different components within each group of ``key, class, root``.
+
+    Groups with the same sets are one. A group is cut into tiles of TILE sets by TILE sets, which are compared in place: no task holds more, and
+    only near pairs come out.
+    """
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("mix"))
+    once = same.groupBy("size", "sum", "mix").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+    rows = members.join(once, "key").join(shapes, "class")
+    block = F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int")
+    tiles = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "root", "n", "parity")
+
+    def compare(held: list[tuple]) -> pa.RecordBatch:
+        _, low, high = held[0][:3]
+        block, name, root, n = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 5, 6))
+        width = min(len(r[7]) for r in held)
+        bits = np.stack([folded(np.frombuffer(r[7], np.uint8), width) for r in held])
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for place, i in enumerate(left):
+            js = right[place + 1 :] if low == high else right
+            differ = _ONES[bits[i] ^ bits[js]].sum(axis=1, dtype=np.int64)
+            js = js[(7 * differ <= n[i] + n[js]) & (4 * n[i] >= 3 * n[js]) & (4 * n[js] >= 3 * n[i]) & (root[i] != root[js])]
+            first.append(np.minimum(name[i], name[js]))
+            second.append(np.maximum(name[i], name[js]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "block", "class", "root", "n", "parity")), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield compare(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield compare(held)
+
+    sorted_tiles = tiles.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return sorted_tiles.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -458,50 +516,37 @@ def shared_groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, root`` of the linked classes.
 
-    Small groups are compared pair by pair. In large ones every set meets one pivot a round. Sets that PIVOTS rounds leave apart are grouped by shingles that they
-    must share; of what is still a large group then, a few pivots a round are compared with all its members and leave
-    the group, until none is left. So no link is lost, and no round makes more pairs than there are members.
+    Small groups are compared pair by pair. In large ones every set meets a pivot. Sets that this leaves apart are grouped by shingles that they
+    must share; what is still a large group then is compared in tiles. Sizes and parities come first everywhere, so that few sets move. No link is lost.
     """
     spark = docs.sparkSession
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = materialize(classes.where("class IS NOT NULL").select("class").distinct(), "distinct-classes")
-    pairs, members = signature_groups(docs, total, known)
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select("class")).distinct(), "candidate-classes")
-    sets = fetched_sets(docs, classes, wanted)
+    shapes = materialize(classes.where("class IS NOT NULL").select("class", "n", "parity").dropDuplicates(["class"]), "shapes")
+    pairs, members = signature_groups(docs, total, shapes)
     links = spark.createDataFrame([], "a bigint, b bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
 
     def add(found: DataFrame) -> None:
         nonlocal links, roots
-        links = materialize(links.unionByName(verified(found, sets)), "links")
+        links = materialize(links.unionByName(verified(found, docs, classes)), "links")
         roots = components(links)
 
     for turn in range(PIVOTS):
         members = marked_groups(members.select("key", "class"), roots)
         found = pivot_pairs(members, turn)
-        if turn == 0:
-            found = found.unionByName(pairs)
-        elif not members.limit(1).count():
-            return roots
-        add(found)
+        add(near_pairs(found.unionByName(pairs) if turn == 0 else found, shapes))
     members = marked_groups(members.select("key", "class"), roots)
     if not members.limit(1).count():
         return roots
-    apart = materialize(sets.join(members.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "apart-sets")
+    apart = fetched_sets(docs, classes, materialize(members.select("class").distinct(), "apart-classes"))
     pairs, members = shared_groups(apart)
     rooted = roots.withColumnsRenamed({"node": "class"})
     for side in ("a", "b"):
         pairs = pairs.join(rooted.withColumnsRenamed({"class": side, "root": f"r_{side}"}), side, "left")
-    add(pairs.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"))
-    while True:
-        members = marked_groups(members.select("key", "class"), roots)
-        if not members.limit(1).count():
-            return roots
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("class"), "class"))
-        pivots = materialize(members.withColumn("place", place).where(F.col("place") <= PIVOTS_A_ROUND).drop("place"), "pivots")
-        met = members.join(pivots.withColumnsRenamed({"class": "pivot", "root": "pivot_root"}), "key").where(F.col("root") != F.col("pivot_root"))
-        add(met.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct())
-        members = members.join(pivots, ["key", "class"], "left_anti")
+    found = near_pairs(pairs.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"), shapes)
+    members = marked_groups(members.select("key", "class"), roots)
+    add(found.unionByName(compared_in_tiles(members, shapes)))
+    return roots
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
