@@ -20,6 +20,7 @@ CHECKED = [
     "scan_annotation_tsv", "scan_vcf", "vcf_limit", "lookup_two_tier", "vcf_batch_score", "sink_csv_report", "category_lift",
     "schema_audit", "describe_numeric", "iqr_outliers", "class_separation", "threshold_sweep", "metrics_by_group",
     "stratified_split_exact", "counter_metrics", "distribution_drift", "alert_rules", "stream_latency_p95", "stream_score_variants",
+    "quarantine_rows", "lookup_hot_requests", "alert_timeline", "dedupe_rows", "high_correlation_pairs", "target_statistics",
 ]
 
 
