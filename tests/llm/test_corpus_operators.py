@@ -212,6 +212,43 @@ def test_linked_sets_share_a_signature_and_a_shingle_key():
                 assert len(np.intersect1d(partenum.shared_keys(a, hot, times), partenum.shared_keys(b, hot, times)))
 
 
+def test_linked_sets_meet_without_signatures_of_frequent_shingles():
+    rng = np.random.default_rng(9)
+    for n in [3, 8, 20, 64, 177, 400, 1000]:
+        hot = np.unique(rng.integers(0, 1 << 64, max(2, n // 50), np.uint64))
+        times = rng.integers(4, 99, len(hot))
+        apart = [np.unique(np.append(rng.integers(0, 1 << 64, n, np.uint64), hot)) for _ in range(40)]
+        for a in apart:
+            b = np.unique(np.append(rng.permutation(a)[rng.integers(0, n // 5 + 1) :], rng.integers(0, 1 << 64, n // 12, np.uint64)))
+            if partenum.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                assert len(np.intersect1d(partenum.signatures(a, hot, times), partenum.signatures(b, hot, times))), (len(a), len(b))
+        met = sum(len(np.intersect1d(partenum.signatures(a, hot, times), partenum.signatures(b, hot, times))) for a, b in zip(apart, apart[1:]))
+        plain = sum(len(np.intersect1d(partenum.signatures(a), partenum.signatures(b))) for a, b in zip(apart, apart[1:]))
+        assert n < 400 or 2 * met < plain, (n, met, plain)
+
+
+def test_sets_without_shared_elements_are_left_out(spark):
+    base = np.arange(100, dtype=np.uint64)
+    sets = {1: base, 2: np.append(base[:70], np.arange(200, 230, dtype=np.uint64)), 3: np.append(base[:80], np.arange(300, 320, dtype=np.uint64)), 4: np.append(base[:70], np.arange(200, 230, dtype=np.uint64))}
+    rows = spark.createDataFrame([(k, len(v), bytearray(v.tobytes())) for k, v in sets.items()], "class bigint, n bigint, elements binary")
+    roots = spark.createDataFrame([(2, 2), (4, 2)], "node bigint, root bigint")
+    got = {r["class"]: sorted(e["element"] for e in r["shared"]) for r in partenum.shared_elements(rows, roots).collect()}
+    assert got == {1: list(range(80)), 3: list(range(80))}  # what 2 and 4 have in common lies in one component
+
+
+def test_tiles_hold_what_is_outside_the_largest_component(spark, monkeypatch):
+    made = {}
+    write = partenum.materialize
+    monkeypatch.setattr(partenum, "TILE", 5)
+    monkeypatch.setattr(partenum, "materialize", lambda df, label: made.setdefault(label, write(df, label)))
+    elements = {i: np.unique(np.append(np.arange(90 + i % 3, dtype=np.uint64) * np.uint64(977), np.uint64(10**6 + i))) for i in range(60)}
+    members = spark.createDataFrame([(7, i, 0 if i < 57 else i) for i in elements], "key bigint, class bigint, root bigint")
+    shapes = spark.createDataFrame([(i, len(e), bytearray(partenum.parity(e)), len(e)) for i, e in elements.items()], "class bigint, n bigint, parity binary, most bigint")
+    got = {tuple(r) for r in partenum.compared_in_tiles(members, shapes).collect()}
+    assert got == {(i, j) for j in (57, 58, 59) for i in range(j)}
+    assert made["tile-rows"].agg({"minor_blocks": "max"}).first()[0] == 1
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = documents(spark)
     kept = partenum.keep_first(docs)

@@ -7,12 +7,15 @@ shingles is cut into more than k/2 parts, so in one part at least linked sets di
 into three cells, and every subset of two of them is one signature: what the set has in both. Sets that differ in one element of
 a part share the signature without that element's cell. So linked sets share a signature.
 
-A subset of empty cells says nothing, and very many sets would share it. A set leaves such signatures out when more
-of its parts must agree with any partner than have one; for that there are a few more parts than needed.
+A subset of empty cells, or of nothing but frequent shingles, says little, and very many sets would share it. A signature is as weak as
+its rarest shingle is frequent. A set leaves out its weakest ones, from fewer of its parts than must agree with any partner: of
+two linked sets, the one that leaves out more has an agreeing part without such a signature, and the other keeps that too. For
+that there are a few more parts than needed.
 
 Sets of a small group with one signature are all compared. In a large group each set is compared with one pivot at a time, which
-joins copies of one text in a few rounds; sets that stay apart are grouped again, by the shingles that they
-must share if they are linked, the rarest first, so that a common template brings nobody together.
+joins copies of one text in a few rounds. Of sets that stay apart only those shingles count that another component has too: a set
+with too few of them has no link left to find. The others are grouped again, by the shingles that they must share if they are
+linked, the rarest first, so that a common template brings nobody together.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from variantloom.llm.common import ascii_lower, byte_texts, gram_hashes, hashed_words, mix, read_table, slices
 from variantloom.session import materialize
@@ -42,6 +46,7 @@ PIVOTS = 1  # rounds that compare with one member of each group
 TILE = 256  # sets of a group that are compared with as many in one place
 HOT_SHARE = 5e-7  # share of the shingles from which one's number is known to all: at most 2e6 of them
 HOT_TIMES = 4  # and it occurs so often at least
+NEVER = np.iinfo(np.int64).max  # how frequent no shingle is: of empty cells
 CELL_WIDTH = math.log(1.08)  # of sizes, where shared shingles are asked for
 
 
@@ -88,34 +93,48 @@ def parts_of(top: int) -> int:
     return needed + math.ceil(SPARE * needed)
 
 
-def band_signatures(elements: np.ndarray, band: int, top: int) -> np.ndarray:
-    """The signatures of a set in one band; elements are sorted, and cells are ranges of them."""
+def band_signatures(elements: np.ndarray, often: np.ndarray, band: int, top: int) -> np.ndarray:
+    """The signatures of a set in one band; elements are sorted, and cells are ranges of them. ``often``: how frequent each is."""
     parts, n = parts_of(top), len(elements)
     cell = ((elements >> np.uint64(32)) * np.uint64(parts * CELLS)) >> np.uint64(32)
     edges = np.searchsorted(cell, np.arange(parts * CELLS + 1, dtype=np.uint64))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(elements), out=sums[1:])
     held = (sums[edges[1:]] - sums[edges[:-1]]).reshape(parts, CELLS)
-    sizes = np.diff(edges).reshape(parts, CELLS)
     found = held.sum(axis=1, keepdims=True, dtype=np.uint64) - held
-    filled = sizes.sum(axis=1, keepdims=True) - sizes > 0
     names = np.arange(parts * CELLS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(band) * np.uint64(0xE7037ED1A0B428DB)
     keys = mix(found.reshape(-1) + mix(names))
-    # parts that agree with any partner of this band in all but one element, and parts with a subset of empty cells
+    rarest = np.minimum.reduceat(np.append(often, NEVER), edges[:-1])
+    rarest[edges[1:] == edges[:-1]] = NEVER
+    rarest = rarest.reshape(parts, CELLS)
+    weak = np.stack([np.delete(rarest, i, axis=1).min(axis=1) for i in range(CELLS)], axis=1)
+    # parts that agree with any partner of this band in all but one element; fewer parts lose signatures
     agree = parts - (n + min(4 * n // 3, top)) // 7 // 2
-    empty = int((~filled).any(axis=1).sum())
-    return keys if empty >= agree else keys[filled.reshape(-1)]
+    most = np.partition(weak.max(axis=1), parts - agree)[parts - agree]
+    return keys[weak.reshape(-1) <= most]
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
-    """Signatures of a set in its own band, and in the next one if a partner may lie there."""
+def frequency(elements: np.ndarray, hot: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How often each element occurs, by a sorted list of frequent ones; 0 for the others."""
+    if not len(hot):
+        return np.zeros(len(elements), np.int64)
+    place = np.minimum(np.searchsorted(hot, elements), len(hot) - 1)
+    return np.where(hot[place] == elements, times[place], 0).astype(np.int64)
+
+
+NOTHING = np.zeros(0, np.uint64)
+
+
+def signatures(elements: np.ndarray, hot: np.ndarray = NOTHING, times: np.ndarray = NOTHING) -> np.ndarray:
+    """Signatures of a set in its own band, and in the next one if a partner may lie there; ``hot``, ``times``: frequent shingles."""
     n = len(elements)
     if not n:
         return elements
     band, top = band_of(n)
-    found = band_signatures(elements, band, top)
+    often = frequency(elements, hot, times)
+    found = band_signatures(elements, often, band, top)
     if 4 * n // 3 > top:
-        found = np.concatenate([found, band_signatures(elements, band + 1, next_top(top))])
+        found = np.concatenate([found, band_signatures(elements, often, band + 1, next_top(top))])
     return np.unique(found)
 
 
@@ -158,17 +177,40 @@ def _map(docs: DataFrame, rows, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def set_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, class, n, parity`` of each row; class is null for an empty set."""
+def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_hash, class, n, parity`` of each row, class null for an empty set; and ``shingle, times`` of frequent shingles.
+
+    Shingles are counted where they occur HOT_TIMES times or more in a task's chunk, so times may be too small.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "class", "n", "parity", "times"]
 
-    def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-        columns = [part.column("doc_id"), part.column("text_hash"), classes, pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "n", "parity"])
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        found, times = found[times >= HOT_TIMES], times[times >= HOT_TIMES]
+        nulls = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(found), key), nulls[0], pa.array(found.view(np.int64)), nulls[1], nulls[2], pa.array(times)], names)
+
+    key = to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in slices(batches, "text"):
+            sets = sets_of(part)
+            classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+            parities = pa.array([parity(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), classes, pa.array([len(s) for s in sets], pa.int64()), parities, pa.nulls(len(sets), pa.int64())], names)
+            held.extend(sets)
+            size += sum(map(len, sets))
+            if size > CHUNK:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return materialize(_map(own, rows, f"doc_id {kind}, text_hash bigint, class bigint, n bigint, parity binary"), "set-classes")
+    stored = materialize(own.mapInArrow(run, f"doc_id {kind}, text_hash bigint, class bigint, n bigint, parity binary, times bigint"), "set-classes")
+    return stored.where("times IS NULL").drop("times"), stored.where("times IS NOT NULL").select(F.col("class").alias("shingle"), "times")
 
 
 PACKED = "bucket int, salt int, keys binary, classes binary"
@@ -293,13 +335,14 @@ def low_half(c: Column) -> Column:
     return F.when(half == APART, APART - 1).otherwise(half)
 
 
-def signature_groups(docs: DataFrame, total: int, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs and large groups by PartEnum signatures of the texts."""
+def signature_groups(docs: DataFrame, total: int, classes: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and large groups by PartEnum signatures of the texts; ``counts`` has ``shingle, times`` of frequent ones."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(counts, total))
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in slices(iter([batch]), "text"):
             for name, s in {class_of(s): s for s in sets_of(part) if len(s)}.items():
-                keys = signatures(s)
+                keys = signatures(s, *sent.value)
                 yield keys, np.full(len(keys), name, np.int64)
 
     return candidates(docs.select("text"), keys_of, total, classes)
@@ -367,29 +410,31 @@ def verified(close: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def compared_in_tiles(members: DataFrame, shapes: DataFrame) -> DataFrame:
-    """``a, b``: the near pairs of different components within each group of ``key, class, root``.
+    """``a, b``: the near pairs of different components within each group of ``key, class, root``; ``shapes`` has ``most``, too.
 
-    Groups with the same sets are one. A group is cut into tiles of TILE sets by TILE sets, which are compared in place: no task holds more, and
-    only near pairs come out.
+    Groups with the same sets are one. Two sets of different components are not both in the largest one of their group, so only the others (its
+    minors) are compared, with all. A group is cut into tiles of TILE minors by TILE sets, which are compared in place: no task holds more, and only
+    near pairs come out. ``most`` of a set's elements can be in a partner.
     """
-    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("mix"))
-    once = same.groupBy("size", "sum", "mix").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    rows = members.join(once, "key").join(shapes, "class")
-    block = F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int")
-    tiles = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "root", "n", "parity")
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.mode("root", True).alias("main"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("mix"))
+    once = same.groupBy("size", "sum", "mix").agg(F.min(F.struct("key", "main")).alias("k")).select("k.*", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+    rows = members.join(once, "key").withColumn("minor", F.col("root") != F.col("main"))
+    minors = rows.where("minor").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("minor_blocks"))
+    rows = materialize(rows.join(minors, "key").join(shapes, "class"), "tile-rows")
+    block = lambda blocks: F.pmod(F.xxhash64("class", "key"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    right = rows.select("key", each("minor_blocks").alias("low"), block("blocks").alias("high"), F.lit(1).alias("side"), "class", "root", "n", "most", "parity")
+    left = rows.where("minor").select("key", block("minor_blocks").alias("low"), each("blocks").alias("high"), F.lit(0).alias("side"), "class", "root", "n", "most", "parity")
 
     def compare(held: list[tuple]) -> pa.RecordBatch:
-        _, low, high = held[0][:3]
-        block, name, root, n = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 5, 6))
-        width = min(len(r[7]) for r in held)
-        bits = np.stack([folded(np.frombuffer(r[7], np.uint8), width) for r in held])
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        side, name, root, n, most = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 5, 6, 7))
+        width = min(len(r[8]) for r in held)
+        bits = np.stack([folded(np.frombuffer(r[8], np.uint8), width) for r in held])
         first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for place, i in enumerate(left):
-            js = right[place + 1 :] if low == high else right
-            differ = _ONES[bits[i] ^ bits[js]].sum(axis=1, dtype=np.int64)
-            js = js[(7 * differ <= n[i] + n[js]) & (4 * n[i] >= 3 * n[js]) & (4 * n[js] >= 3 * n[i]) & (root[i] != root[js])]
+        right = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            js = right[(root[i] != root[right]) & (7 * np.minimum(most[i], most[right]) >= 3 * (n[i] + n[right]))]
+            js = js[7 * _ONES[bits[i] ^ bits[js]].sum(axis=1, dtype=np.int64) <= n[i] + n[js]]
             first.append(np.minimum(name[i], name[js]))
             second.append(np.maximum(name[i], name[js]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
@@ -397,7 +442,7 @@ def compared_in_tiles(members: DataFrame, shapes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "block", "class", "root", "n", "parity")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "side", "class", "root", "n", "most", "parity")), strict=True):
                 if held and row[:3] != held[0][:3]:
                     yield compare(held)
                     held = []
@@ -405,10 +450,17 @@ def compared_in_tiles(members: DataFrame, shapes: DataFrame) -> DataFrame:
         if held:
             yield compare(held)
 
-    sorted_tiles = tiles.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    sorted_tiles = left.unionByName(right).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return sorted_tiles.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def with_partners(members: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``members`` (``key, class``) without the sets for which all sets of their group are too large; ``shapes`` has ``class, n, most``."""
+    sized = members.join(shapes.select("class", "n", "most"), "class")
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    return sized.join(least, "key").where(7 * F.col("most") >= 3 * (F.col("n") + F.col("least"))).select("key", "class")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of ``a, b`` reaches, by rounds of stored label tables.
 
@@ -450,79 +502,81 @@ def pivot_pairs(groups: DataFrame, turn: int) -> DataFrame:
     return chosen.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b"))
 
 
-def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of the sets have, sorted, and in how many each is: at most 1 / HOT_SHARE of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def often() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "times"])
-
-        for batch in batches:
-            for value in batch.column("elements"):
-                held.append(np.frombuffer(value.as_buffer(), np.uint64))
-                size += len(held[-1])
-                if size > CHUNK:
-                    yield often()
-                    held, size = [], 0
-        if held:
-            yield often()
-
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = sets.select("elements").mapInArrow(run, "shingle bigint, times bigint").groupBy("shingle").agg(F.sum("times").alias("times"))
-    rows = counted.where(F.col("times") >= max(HOT_TIMES, HOT_SHARE * total)).collect()
+def frequent_shingles(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent ones of the shingles, sorted, and how often each occurs: at most 1 / HOT_SHARE of them."""
+    rows = counts.groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= max(HOT_TIMES, HOT_SHARE * total)).collect()
     found = np.array([(r["shingle"], r["times"]) for r in rows], np.int64).reshape(-1, 2)
     order = np.argsort(found[:, 0].view(np.uint64))
-    return found[order, 0].view(np.uint64), found[order, 1].astype(np.int32)
+    return found[order, 0].view(np.uint64), found[order, 1]
 
 
 def size_cell(n: int) -> int:
     return int(math.log(n) / CELL_WIDTH)
 
 
-def shared_keys(elements: np.ndarray, hot: np.ndarray, times: np.ndarray) -> np.ndarray:
+def shared_keys(elements: np.ndarray, hot: np.ndarray, times: np.ndarray, n: int | None = None) -> np.ndarray:
     """Keys of which linked sets have one in common: for each pair of size cells, the shingles of which partners must share one.
 
-    Sets of sizes a and b that are linked share o = 3 * (a + b) / 7 or more, so among the a - o + 1 first shingles of the one, in an order that
-    is the same for all, there is one of the first b - o + 1 of the other. Rare shingles are first, frequent ones by their number.
+    ``elements`` are those of a set of ``n`` (by default all of them) that a partner can have. Sets of sizes a and b that are linked share
+    o = 3 * (a + b) / 7 or more, so among the first ones of each, all but o - 1, in an order that is the same for all, there is one in common.
+    Rare shingles are first, frequent ones by their number.
     """
-    n = len(elements)
-    place = np.minimum(np.searchsorted(hot, elements), max(0, len(hot) - 1)) if len(hot) else np.zeros(n, int)
-    often = np.where(hot[place] == elements, times[place], 0) if len(hot) else np.zeros(n, int)
-    ordered = elements[np.lexsort((elements, often))]
-    own, out = size_cell(n), []
+    n = len(elements) if n is None else n
+    ordered = elements[np.lexsort((elements, frequency(elements, hot, times)))]
+    own, out = size_cell(n), [NOTHING]
     for cell in range(size_cell(max(1, math.ceil(3 * n / 4))), size_cell(4 * n // 3) + 1):
         least = max(math.ceil(3 * n / 4), math.ceil(math.exp(cell * CELL_WIDTH) - 1e-6))
-        first = n - math.ceil(3 * (n + least) / 7) + 1
-        name = np.uint64(min(own, cell) * 4096 + max(own, cell))
-        out.append(mix(ordered[: max(0, first)] + mix(name * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))))
+        first = len(elements) - math.ceil(3 * (n + least) / 7) + 1
+        if first > 0:
+            name = np.array([min(own, cell) * 65536 + max(own, cell)], np.uint64)
+            out.append(mix(ordered[:first] + mix(name * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))))
     return np.concatenate(out)
 
 
-def shared_groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_elements(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``class, n, shared``: of each set the elements that sets of other components have too, with the number of sets that have them.
+
+    A link between components lies within these elements on both sides, so a set with fewer than three quarters of its own is left out.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "elements"):
+            sizes = part.column("n").to_numpy()
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            elements = np.frombuffer(b"".join(part.column("elements").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(of) for c in ("class", "n", "root")], pa.array(elements)], ["class", "n", "root", "element"])
+
+    rooted = sets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "n", F.coalesce("root", "class").alias("root"), "elements")
+    each = materialize(rooted.mapInArrow(rows, "class bigint, n bigint, root bigint, element bigint"), "apart-elements")
+    spread = each.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("times")).where("low < high")
+    own = each.join(spread.select("element", "times"), "element").groupBy("class", "n").agg(F.collect_list(F.struct("element", "times")).alias("shared"))
+    return materialize(own.where(4 * F.size("shared") >= 3 * F.col("n")), "shared-elements")
+
+
+def shared_groups(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs and large groups of sets that share a shingle which linked sets of their sizes must share."""
-    sent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for name, value in zip(batch.column("class").to_pylist(), batch.column("elements"), strict=True):
-            keys = shared_keys(np.frombuffer(value.as_buffer(), np.uint64), *sent.value)
+        for name, n, own in zip(batch.column("class").to_pylist(), batch.column("n").to_pylist(), batch.column("shared"), strict=True):
+            elements, times = (own.values.field(f).to_numpy() for f in ("element", "times"))
+            order = np.argsort(elements.view(np.uint64))
+            elements, times = elements.view(np.uint64)[order], times[order]
+            keys = shared_keys(elements, elements, times, n)
             yield keys, np.full(len(keys), name, np.int64)
 
-    return candidates(sets.select("class", "elements"), keys_of, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], sets.select("class"))
+    return candidates(shared, keys_of, shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], shared.select("class"))
 
 
-def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node, root`` of the linked classes.
+def link_classes(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``node, root`` of the linked classes, from what ``set_classes`` gives.
 
     Small groups are compared pair by pair. In large ones every set meets a pivot. Sets that this leaves apart are grouped by shingles that they
-    must share; what is still a large group then is compared in tiles. Sizes and parities come first everywhere, so that few sets move. No link is lost.
+    must share and that other components have; what is still a large group then is compared in tiles. Sizes and parities come first everywhere, so that few sets move. No link is lost.
     """
     spark = docs.sparkSession
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shapes = materialize(classes.where("class IS NOT NULL").select("class", "n", "parity").dropDuplicates(["class"]), "shapes")
-    pairs, members = signature_groups(docs, total, shapes)
+    pairs, members = signature_groups(docs, total, shapes, counts)
     links = spark.createDataFrame([], "a bigint, b bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
 
@@ -539,12 +593,14 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if not members.limit(1).count():
         return roots
     apart = fetched_sets(docs, classes, materialize(members.select("class").distinct(), "apart-classes"))
-    pairs, members = shared_groups(apart)
+    shared = shared_elements(apart, roots)
+    pairs, members = shared_groups(shared)
     rooted = roots.withColumnsRenamed({"node": "class"})
     for side in ("a", "b"):
         pairs = pairs.join(rooted.withColumnsRenamed({"class": side, "root": f"r_{side}"}), side, "left")
     found = near_pairs(pairs.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"), shapes)
-    members = marked_groups(members.select("key", "class"), roots)
+    shapes = materialize(shapes.join(shared.select("class", F.size("shared").alias("most")), "class"), "shared-shapes")
+    members = marked_groups(with_partners(members, shapes), roots)
     add(found.unionByName(compared_in_tiles(members, shapes)))
     return roots
 
@@ -559,8 +615,8 @@ def join_similar(docs: DataFrame) -> DataFrame:
     result. An empty table gives no rows; other columns are left out.
     """
     own = docs.select("doc_id", "text")
-    classes = set_classes(own)
-    roots = link_classes(own, classes)
+    classes, counts = set_classes(own)
+    roots = link_classes(own, classes, counts)
     own_place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # null ids after all others
     least = F.min(own_place)
     firsts = classes.where("class IS NOT NULL").groupBy("class").agg(least.alias("least"))
