@@ -103,19 +103,28 @@ def stretches(docs: DataFrame, places: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc bigint, text_hash bigint, key bigint, start int, piece string")
 
 
-def passages(pieces: list[tuple[bytes, ...]], firsts: list[int], lasts: list[int]) -> dict[tuple[bytes, ...], int]:
-    """What one shard confirms: passages that two documents or more have, with the first of them.
+def coded(pieces: list[str]) -> tuple[list[str], int]:
+    """Each piece as a string of word codes, and their width: every word has a code of ``width`` characters of its own."""
+    lines = [p.split(" ") for p in pieces]
+    known = {w for words in lines for w in words}
+    width = max(1, (len(known).bit_length() + 7) // 8)
+    codes = {w: n.to_bytes(width, "little").decode("latin-1") for n, w in enumerate(known, 1)}
+    return ["".join(map(codes.__getitem__, words)) for words in lines], width
+
+
+def passages(pieces: list[str], firsts: list[int], lasts: list[int], width: int) -> dict[str, int]:
+    """What one shard confirms: passages that two documents or more have, with the first of them; pieces are word codes.
 
     A stretch that alone has its anchor is one passage, if several documents have it. Among several
     stretches every window is looked at.
     """
     if len(pieces) == 1:
         return {pieces[0]: firsts[0]} if lasts[0] != firsts[0] else {}
-    first: dict[tuple[bytes, ...], int] = {}
-    shared: set[tuple[bytes, ...]] = set()
-    for words, low, high in zip(pieces, firsts, lasts, strict=True):
-        for i in range(len(words) - WINDOW + 1):
-            window = words[i : i + WINDOW]
+    first: dict[str, int] = {}
+    shared: set[str] = set()
+    for line, low, high in zip(pieces, firsts, lasts, strict=True):
+        for i in range(0, len(line) - WINDOW * width + 1, width):
+            window = line[i : i + WINDOW * width]
             before = first.setdefault(window, low)
             if before != low or high != low:
                 shared.add(window)
@@ -123,7 +132,7 @@ def passages(pieces: list[tuple[bytes, ...]], firsts: list[int], lasts: list[int
     return {window: first[window] for window in shared}
 
 
-def occurrences(pieces: list[tuple[bytes, ...]], confirmed: dict[tuple[bytes, ...], int]) -> list[list[tuple[int, int]]]:
+def occurrences(pieces: list[str], confirmed: dict[str, int], width: int) -> list[list[tuple[int, int]]]:
     """Per piece: (place, first document) of every window of a confirmed passage.
 
     The passages become one automaton, which reads each piece once. A word is a code of fixed width, so a
@@ -132,19 +141,12 @@ def occurrences(pieces: list[tuple[bytes, ...]], confirmed: dict[tuple[bytes, ..
     found: list[list[tuple[int, int]]] = [[] for _ in pieces]
     if not confirmed:
         return found
-    numbers: dict[bytes, int] = {}
-    for words in confirmed:
-        for w in words:
-            numbers.setdefault(w, len(numbers) + 1)
-    width = max(1, (len(numbers).bit_length() + 7) // 8)
-    codes = {w: "".join(chr(n >> 8 * i & 255) for i in range(width)) for w, n in numbers.items()}
-    unknown = chr(0) * width
     automaton = ahocorasick.Automaton()
-    for words, first in confirmed.items():
-        automaton.add_word("".join([codes[w] for w in words]), (len(words), first))
+    for passage, first in confirmed.items():
+        automaton.add_word(passage, (len(passage) // width, first))
     automaton.make_automaton()
-    for words, out in zip(pieces, found, strict=True):
-        for end, (length, first) in automaton.iter("".join([codes.get(w, unknown) for w in words])):
+    for line, out in zip(pieces, found, strict=True):
+        for end, (length, first) in automaton.iter(line):
             if (end + 1) % width == 0:
                 start = (end + 1) // width - length
                 out.extend((start + i, first) for i in range(length - WINDOW + 1))
@@ -152,25 +154,28 @@ def occurrences(pieces: list[tuple[bytes, ...]], confirmed: dict[tuple[bytes, ..
 
 
 def locate(parts: DataFrame) -> DataFrame:
-    """``piece_id, offset, first_doc`` of confirmed passages, from ``shard, piece_id, offset, piece, low, high``.
+    """``piece_id, hits`` of pieces with confirmed passages, from ``shard, piece_id, offset, piece, low, high``.
 
-    The rows of a shard follow each other; an automaton takes whole anchors, some thousand pieces at once.
+    ``hits`` has the offset and the first document of each window. A piece comes once, so its hits are whole. The rows of a
+    shard follow each other; an automaton takes whole anchors, some thousand pieces at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def found() -> pa.RecordBatch:
-            pieces = [tuple(r[3].encode().split(b" ")) for r in held]
-            confirmed: dict[tuple[bytes, ...], int] = {}
+            pieces, width = coded([r[3] for r in held])
+            confirmed: dict[str, int] = {}
             for _, group in groupby(range(len(held)), key=lambda i: held[i][0]):
                 rows = list(group)
-                for passage, first in passages([pieces[i] for i in rows], [held[i][4] for i in rows], [held[i][5] for i in rows]).items():
+                for passage, first in passages([pieces[i] for i in rows], [held[i][4] for i in rows], [held[i][5] for i in rows], width).items():
                     confirmed[passage] = min(first, confirmed.get(passage, first))
-            hits = occurrences(pieces, confirmed)
-            out = [(row[1], row[2] + place, first) for row, own in zip(held, hits, strict=True) for place, first in own]
-            ids, offsets, firsts = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(offsets, pa.int32()), pa.array(firsts, pa.int64())], ["piece_id", "offset", "first_doc"])
+            hits = occurrences(pieces, confirmed, width)
+            some = [(row, own) for row, own in zip(held, hits, strict=True) if own]
+            ends = np.cumsum([0, *[len(own) for _, own in some]]).astype(np.int32)
+            windows = [pa.array([row[2] + place for row, own in some for place, _ in own], pa.int32()), pa.array([first for _, own in some for _, first in own], pa.int64())]
+            lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(windows, ["offset", "first_doc"]))
+            return pa.RecordBatch.from_arrays([pa.array([row[1] for row, _ in some], pa.int64()), lists], ["piece_id", "hits"])
 
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("shard", "piece_id", "offset", "piece", "low", "high")], strict=True):
@@ -182,11 +187,11 @@ def locate(parts: DataFrame) -> DataFrame:
             yield found()
 
     dealt = parts.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "piece_id bigint, offset int, first_doc bigint")
+    return dealt.mapInArrow(run, "piece_id bigint, hits array<struct<offset:int,first_doc:bigint>>")
 
 
 def crowded_hits(merged: DataFrame) -> DataFrame:
-    """``piece_id, offset, first_doc`` as ``locate`` gives them, for anchors with very many different stretches.
+    """``piece_id, hits`` as ``locate`` gives them, for anchors with very many different stretches.
 
     Stretches are split into windows, and the rows of a window are merged before they move, so no task holds the
     stretches that share one. The join back to them is left to adaptive execution, which splits a window that many have.
@@ -197,7 +202,8 @@ def crowded_hits(merged: DataFrame) -> DataFrame:
     single = merged.select("piece_id", "low", "high", F.inline(cut))
     shared = single.groupBy("part").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
     shared = materialize(shared.select("part", "first_doc"), "crowded-windows")
-    return single.join(shared, "part").select("piece_id", "offset", "first_doc")
+    hits = F.collect_set(F.struct("offset", "first_doc")).alias("hits")
+    return single.join(shared, "part").groupBy("piece_id").agg(hits)
 
 
 def removable(docs: DataFrame) -> DataFrame:
@@ -206,9 +212,10 @@ def removable(docs: DataFrame) -> DataFrame:
     merged = pieces.groupBy("piece_id").agg(F.first("key").alias("key"), F.first("piece").alias("piece"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     merged = materialize(merged, "distinct-stretches")
     many = merged.groupBy("key").count().where(F.col("count") > SHARD_PIECES).select("key", F.lit(True).alias("crowded"))
+    many = materialize(many, "crowded-anchors")  # few or none: its real size decides how it is joined
     marked = merged.join(many, "key", "left")
     whole = marked.where("crowded IS NULL").select(F.col("key").alias("shard"), "piece_id", F.lit(0).alias("offset"), "piece", "low", "high")
-    hits = locate(whole).unionByName(crowded_hits(marked.where("crowded"))).groupBy("piece_id").agg(F.collect_set(F.struct("offset", "first_doc")).alias("hits"))
+    hits = locate(whole).unionByName(crowded_hits(marked.where("crowded")))
     back = pieces.select("doc", "text_hash", "start", "piece_id").join(materialize(hits, "passages"), "piece_id")
     earlier = F.filter("hits", lambda h: h["first_doc"] < F.col("doc"))
     starts = F.transform(earlier, lambda h: F.col("start") + h["offset"])
