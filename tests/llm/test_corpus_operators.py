@@ -308,6 +308,15 @@ def test_phrases_equal_all_windows(spark, monkeypatch, most):
     assert phrases.deduplicate(documents(spark, [])).collect() == []
 
 
+def test_each_piece_comes_once_with_all_its_hits(spark):
+    base = words(31, 20, 5000)
+    pieces = [" ".join(base), " ".join(base[2:]), " ".join(words(32, 15, 5000)), "\u0100 " * 12 + "\u0101", "\u0100 " * 13 + "\u0101"]
+    rows = [(5, i, 0, p, low, high) for i, (p, low, high) in enumerate(zip(pieces, (3, 1, 4, 6, 8), (3, 9, 4, 6, 8)))]
+    parts = spark.createDataFrame(rows, "shard bigint, piece_id bigint, offset int, piece string, low bigint, high bigint")
+    got = {r["piece_id"]: sorted(map(tuple, r["hits"])) for r in phrases.locate(parts).collect()}
+    assert got == {0: [(i, 1) for i in range(2, 8)], 1: [(i, 1) for i in range(6)], 3: [(0, 6)], 4: [(1, 6)]}
+
+
 def test_a_passage_in_many_surroundings_is_not_one_shard(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_PIECES", 5)
     sizes, locate = [], phrases.locate
