@@ -186,8 +186,9 @@ def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = ["doc_id", "text_hash", "class", "n", "parity", "times"]
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, times = np.unique(np.concatenate(held), return_counts=True)
-        found, times = found[times >= HOT_TIMES], times[times >= HOT_TIMES]
+        both = np.sort(np.concatenate(held))
+        found, times = np.unique(both[HOT_TIMES - 1 :][both[HOT_TIMES - 1 :] == both[: 1 - HOT_TIMES]], return_counts=True)
+        times += HOT_TIMES - 1
         nulls = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([pa.nulls(len(found), key), nulls[0], pa.array(found.view(np.int64)), nulls[1], nulls[2], pa.array(times)], names)
 
@@ -202,7 +203,7 @@ def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), classes, pa.array([len(s) for s in sets], pa.int64()), parities, pa.nulls(len(sets), pa.int64())], names)
             held.extend(sets)
             size += sum(map(len, sets))
-            if size > CHUNK:
+            if size > CHUNK // 4:  # beside what the worker holds anyway
                 yield counted(held)
                 held, size = [], 0
         if held:
