@@ -3,13 +3,15 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.helpers import corpus, documents, words
 
-from variantloom.llm import classlm, partenum, phrases, secrets, winnow
+from variantloom.llm import classlm, common, partenum, phrases, secrets, winnow
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -227,6 +229,43 @@ def test_linked_sets_meet_without_signatures_of_frequent_shingles():
         assert n < 400 or 2 * met < plain, (n, met, plain)
 
 
+def peak_mb(work):
+    """What ``work`` gives, and the most memory that Python and numpy held for it."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_are_hashed_in_blocks():
+    texts = [" ".join(words(i, 300)).encode() for i in range(2000)] + [b"", b" \n ", " ".join(words(1, 80_000)).encode()]
+    common.hashed_words(texts[-1:])  # powers are kept from now on
+    (hashes, at), peak = peak_mb(lambda: common.hashed_words(texts))
+    assert sum(map(len, texts)) > 2_500_000 and peak < 70
+    for i in (0, 1, 999, 2000, 2001, 2002):
+        own, _ = common.hashed_words([texts[i]])
+        assert len(own) == len(texts[i].split()) and hashes[at[i] : at[i + 1]].tolist() == own.tolist()
+
+
+def test_slices_do_not_copy_the_batch():
+    texts = pa.array([None, ""] + ["x" * 10_000, "é" * 100] * 3000)
+    parts, peak = peak_mb(lambda: list(common.slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")))
+    assert peak < 2 and pa.concat_arrays([p.column("text") for p in parts]).equals(texts)
+    assert all(sum(map(len, common.byte_texts(p))) <= common.SLICE_BYTES for p in parts) and len(parts) < 20
+
+
+def test_groups_are_paired_in_little_memory(monkeypatch):
+    rng, sets = np.random.default_rng(1), 40
+    monkeypatch.setattr(partenum, "CHUNK", 50_000)
+    keys = np.repeat(rng.integers(0, 1 << 63, 20_000).astype(np.uint64), 12)  # all groups have the same few sets
+    classes = np.concatenate([rng.permutation(sets)[:12] for _ in range(20_000)]).astype(np.int64)
+    batch = partenum.packed(keys, classes, 6, 0)
+    out, peak = peak_mb(lambda: list(partenum.grouped(iter([batch]), 6)))
+    found = [(a, b) for part in out for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)]
+    assert set(found) == {(a, b) for a in range(sets) for b in range(a + 1, sets)} and peak < 25
+
+
 def test_sets_without_shared_elements_are_left_out(spark):
     base = np.arange(100, dtype=np.uint64)
     sets = {1: base, 2: np.append(base[:70], np.arange(200, 230, dtype=np.uint64)), 3: np.append(base[:80], np.arange(300, 320, dtype=np.uint64)), 4: np.append(base[:70], np.arange(200, 230, dtype=np.uint64))}

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 18  # of texts whose words are hashed together: some 8-byte arrays of this length are held
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +27,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum([len(v) if v is not None else 0 for v in batch.column(column).cast(pa.large_binary()).to_pylist()])
+        lengths = pc.binary_length(batch.column(column).cast(pa.large_binary()))  # the batch is not copied for it
+        sizes = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
@@ -74,8 +77,20 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of some texts, and where each text's words begin and the last ones end.
 
     A word is a run without ASCII white space. Its hash is a polynomial in its bytes, taken from running
-    sums over the joined texts, so that no loop runs over words.
+    sums over the joined texts, so that no loop runs over words. Texts are joined in blocks of BLOCK_BYTES, or one text.
     """
+    ends = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    hashes, at, start = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK_BYTES, side="right")) - 1)
+        own, own_at = _block_words(texts[start:end])
+        hashes.append(own)
+        at.append(own_at[1:] + at[-1][-1])
+        start = end
+    return np.concatenate(hashes), np.concatenate(at)
+
+
+def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     edges = np.diff(np.concatenate([[0], (~_SPACE[data]).view(np.int8), [0]]))

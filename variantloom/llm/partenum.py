@@ -218,7 +218,14 @@ PACKED = "bucket int, salt int, keys binary, classes binary"
 APART = (1 << 32) - 1  # in place of a class: this key's sets travel apart
 
 
-def packed(keys: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Iterator[pa.RecordBatch]:
+def taken(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The pieces of each array together; ``held`` is emptied, so that they are not in memory twice while those are worked on."""
+    whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+    held.clear()
+    return whole
+
+
+def packed(keys: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> pa.RecordBatch:
     """Distinct pairs of key and class (by its low 32 bits) as one row for each bucket of keys.
 
     Sets of a crowded key go to a row of their own (bucket -1), salted, so that no task gets them all; a mark
@@ -226,10 +233,7 @@ def packed(keys: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Itera
     """
     classes = classes & APART
     classes[classes == APART] -= 1
-    order = np.lexsort((classes, keys))
-    keys, classes = keys[order], classes[order]
-    new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))[: len(keys)]
-    keys, classes = keys[new], classes[new]
+    keys, classes = distinct_pairs(keys, classes)
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     crowded = np.diff(np.append(starts, len(keys))) > CROWD
     away = np.repeat(crowded, np.diff(np.append(starts, len(keys))))
@@ -240,64 +244,76 @@ def packed(keys: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Itera
         classes = np.append(classes[~away], np.full(int(crowded.sum()), APART))
         order = np.argsort(keys, kind="stable")
         keys, classes = keys[order], classes[order]
+        del order, away
     buckets = (keys >> np.uint64(64 - bits)).astype(np.int32)
     edges = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)) if len(buckets) else np.zeros(1, int)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         rest = (keys[a:b] >> np.uint64(32 - bits)).astype("<u4")
         rows.append((int(buckets[a]), 0, rest.tobytes(), classes[a:b].astype("<u4").tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "salt", "keys", "classes"])
+    del keys, classes, buckets
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "salt", "keys", "classes"])
 
 
-def distinct_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of an entry of ``a`` and one of ``b``, by ``a``, then ``b``."""
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
+    del order
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-    return np.stack([a[new], b[new]], axis=1)
+    return a[new], b[new]
+
+
+def pairs_within(classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of entries of ``classes`` within groups of up to SMALL, each pair once; repeated ones go before they pile up."""
+    first, second = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size_held = [], 0
+    for size in range(2, SMALL + 1):
+        at = starts[sizes == size]
+        for i in range(size):
+            for j in range(i + 1, size):
+                held.append((classes[at + i], classes[at + j]))
+                size_held += len(at)
+                if size_held > CHUNK:
+                    first, second = distinct_pairs(*taken([(first, second), *held]))
+                    held, size_held = [], 0
+    return distinct_pairs(*taken([(first, second), *held]))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """From packed rows in bucket order: pairs ``a, b`` of small groups (key null), and ``key, a`` of large ones (b null)."""
 
     def pairs_and_members(keys: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((classes, keys))
-        keys, classes = keys[order], classes[order]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))
-        keys, classes = keys[new], classes[new]
+        keys, classes = distinct_pairs(keys, classes)
         marked = np.unique(keys[classes == APART])
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
         large = (sizes > SMALL) | np.isin(keys[starts], marked)
-        firsts, lasts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for size in range(2, SMALL + 1):
-            at = starts[(sizes == size) & ~large]
-            for i in range(size):
-                for j in range(i + 1, size):
-                    firsts.append(classes[at + i])
-                    lasts.append(classes[at + j])
-        pairs = distinct_rows(np.concatenate(firsts), np.concatenate(lasts))
         of = np.repeat(large, sizes) & (classes != APART)
-        members = np.stack([keys[of].astype(np.int64), classes[of]], axis=1)
-        key = pa.array(np.append(np.zeros(len(pairs), np.int64), members[:, 0]), mask=np.arange(len(pairs) + len(members)) < len(pairs))
-        b = pa.array(np.append(pairs[:, 1], np.zeros(len(members), np.int64)), mask=np.arange(len(pairs) + len(members)) >= len(pairs))
-        return pa.RecordBatch.from_arrays([key, pa.array(np.append(pairs[:, 0], members[:, 1])), b], ["key", "a", "b"])
+        members, member_keys = classes[of], keys[of].astype(np.int64)
+        del keys, of
+        first, second = pairs_within(classes, starts[~large], sizes[~large])
+        paired = np.arange(len(first) + len(members)) < len(first)
+        key = pa.array(np.append(np.zeros(len(first), np.int64), member_keys), mask=paired)
+        b = pa.array(np.append(second, np.zeros(len(members), np.int64)), mask=~paired)
+        return pa.RecordBatch.from_arrays([key, pa.array(np.append(first, members)), b], ["key", "a", "b"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size, last = 0, None
     for batch in batches:
-        for bucket, keys, classes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "classes")), strict=True):
-            own = np.frombuffer(classes, "<u4").astype(np.int64)
+        for bucket, keys, classes in zip(batch.column("bucket").to_pylist(), batch.column("keys"), batch.column("classes"), strict=True):
+            keys, own = keys.as_buffer(), np.frombuffer(classes.as_buffer(), "<u4").astype(np.int64)
             if bucket < 0:
                 whole = np.frombuffer(keys, np.uint64) >> np.uint64(32 - bits)
                 nothing = pa.nulls(len(own), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(whole.astype(np.int64)), pa.array(own), nothing], ["key", "a", "b"])
                 continue
             if size > CHUNK and bucket != last:
-                yield pairs_and_members(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                held, size = [], 0
+                yield pairs_and_members(*taken(held))
+                size = 0
             held.append(((np.uint64(bucket) << np.uint64(32)) | np.frombuffer(keys, "<u4").astype(np.uint64), own))
             size, last = size + len(own), bucket
     if held:
-        yield pairs_and_members(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield pairs_and_members(*taken(held))
 
 
 def candidates(source: DataFrame, keys_of, total: int, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -315,10 +331,10 @@ def candidates(source: DataFrame, keys_of, total: int, classes: DataFrame) -> tu
                 held.append(piece)
                 size += len(piece[0])
                 if size > CHUNK:
-                    yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)), bits, salt)
-                    held, size, salt = [], 0, salt + 1
+                    yield packed(*taken(held), bits, salt)
+                    size, salt = 0, salt + 1
         if size:
-            yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)), bits, salt)
+            yield packed(*taken(held), bits, salt)
 
     moved = source.mapInArrow(pack, PACKED).repartition("bucket", "salt").sortWithinPartitions("bucket")
     found = materialize(moved.mapInArrow(lambda batches: grouped(batches, bits), "key bigint, a bigint, b bigint"), "signature-groups")
