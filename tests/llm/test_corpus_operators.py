@@ -288,6 +288,21 @@ def test_tiles_hold_what_is_outside_the_largest_component(spark, monkeypatch):
     assert made["tile-rows"].agg({"minor_blocks": "max"}).first()[0] == 1
 
 
+def test_groups_of_one_component_are_compared_once(spark):
+    alike = [(k, c, 0 if c < 30 else c) for k in range(20) for c in range(40) if c != k]  # 20 groups of almost the same sets
+    apart = [(100 + k, c, 1000 if c % 4 else c) for k in range(20) for c in range(1000 + 8 * k, 1008 + 8 * k)]  # nothing in common
+    members = alike + apart
+    rows = partenum.merged_groups(spark.createDataFrame(members, "key bigint, class bigint, root bigint")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["merged"], r["key"]), []).append(r)
+    assert sorted(map(len, groups.values())) == [8] * 20 + [40]
+    met = {(a["class"], b["class"]) for g in groups.values() for a in g if a["minor"] for b in g if a["root"] != b["root"]}
+    for key in {k for k, _, _ in members}:
+        own = [(c, root) for k, c, root in members if k == key]
+        assert all((a, b) in met or (b, a) in met for a, r in own for b, q in own if r != q)
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = documents(spark)
     kept = partenum.keep_first(docs)

@@ -426,27 +426,41 @@ def verified(close: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return _kept(_with_both(close, sets, "elements"), equal)
 
 
+def merged_groups(members: DataFrame) -> DataFrame:
+    """``merged, key, class, root, minor`` from groups of ``key, class, root``: each pair of sets of one group, of different roots, meets in some group.
+
+    The sets of all groups with one largest component become one group (``merged``; its key is that root) if minors times sets is no more there than in them together.
+    """
+    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.mode("root", True).alias("main"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("mix"))
+    once = sized.groupBy("size", "sum", "mix").agg(F.min(F.struct("key", "main")).alias("k")).select("k.*", "size")
+    rows = materialize(members.join(once, "key").withColumn("minor", F.col("root") != F.col("main")), "main-groups")
+    apart = rows.where("minor").groupBy("main").agg(F.sum("size").alias("apart"))  # a minor meets all sets of its group
+    sets = rows.select("main", "class", "minor").distinct().groupBy("main").agg(F.count(F.lit(1)).alias("sets"), F.count(F.when(F.col("minor"), 1)).alias("minors"))
+    merge = materialize(sets.join(apart, "main").select("main", (F.col("sets") * F.col("minors") <= F.col("apart")).alias("merged")), "merged-mains")
+    return rows.join(merge, "main").select("merged", F.when(F.col("merged"), F.col("main")).otherwise(F.col("key")).alias("key"), "class", "root", "minor").distinct()
+
+
 def compared_in_tiles(members: DataFrame, shapes: DataFrame) -> DataFrame:
     """``a, b``: the near pairs of different components within each group of ``key, class, root``; ``shapes`` has ``most``, too.
 
-    Groups with the same sets are one. Two sets of different components are not both in the largest one of their group, so only the others (its
-    minors) are compared, with all. A group is cut into tiles of TILE minors by TILE sets, which are compared in place: no task holds more, and only
-    near pairs come out. ``most`` of a set's elements can be in a partner.
+    Two sets of different components are not both in the largest one of their group, so only the others (its minors) are compared, with all. Groups
+    with the same sets are one, and so are those with the same largest component, where that makes fewer comparisons: shingles of one text
+    group much the same sets over and over. A group is cut into tiles of TILE minors by TILE sets, which are compared in place: no task holds
+    more, and only near pairs come out. ``most`` of a set's elements can be in a partner.
     """
-    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.mode("root", True).alias("main"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("mix"))
-    once = same.groupBy("size", "sum", "mix").agg(F.min(F.struct("key", "main")).alias("k")).select("k.*", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    rows = members.join(once, "key").withColumn("minor", F.col("root") != F.col("main"))
-    minors = rows.where("minor").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("minor_blocks"))
-    rows = materialize(rows.join(minors, "key").join(shapes, "class"), "tile-rows")
+    rows = materialize(merged_groups(members), "tile-groups")
+    blocks = lambda n: F.ceil(F.count(n) / TILE).cast("int")
+    of = materialize(rows.groupBy("merged", "key").agg(blocks(F.lit(1)).alias("blocks"), blocks(F.when(F.col("minor"), 1)).alias("minor_blocks")).where("minor_blocks > 0"), "tile-counts")
+    rows = materialize(rows.join(of, ["merged", "key"]).join(shapes, "class"), "tile-rows")
     block = lambda blocks: F.pmod(F.xxhash64("class", "key"), F.col(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    right = rows.select("key", each("minor_blocks").alias("low"), block("blocks").alias("high"), F.lit(1).alias("side"), "class", "root", "n", "most", "parity")
-    left = rows.where("minor").select("key", block("minor_blocks").alias("low"), each("blocks").alias("high"), F.lit(0).alias("side"), "class", "root", "n", "most", "parity")
+    right = rows.select("merged", "key", each("minor_blocks").alias("low"), block("blocks").alias("high"), F.lit(1).alias("side"), "class", "root", "n", "most", "parity")
+    left = rows.where("minor").select("merged", "key", block("minor_blocks").alias("low"), each("blocks").alias("high"), F.lit(0).alias("side"), "class", "root", "n", "most", "parity")
 
     def compare(held: list[tuple]) -> pa.RecordBatch:
-        side, name, root, n, most = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 5, 6, 7))
-        width = min(len(r[8]) for r in held)
-        bits = np.stack([folded(np.frombuffer(r[8], np.uint8), width) for r in held])
+        side, name, root, n, most = (np.array([r[i] for r in held], np.int64) for i in (4, 5, 6, 7, 8))
+        width = min(len(r[9]) for r in held)
+        bits = np.stack([folded(np.frombuffer(r[9], np.uint8), width) for r in held])
         first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         right = np.flatnonzero(side == 1)
         for i in np.flatnonzero(side == 0):
@@ -459,15 +473,16 @@ def compared_in_tiles(members: DataFrame, shapes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "side", "class", "root", "n", "most", "parity")), strict=True):
-                if held and row[:3] != held[0][:3]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("merged", "key", "low", "high", "side", "class", "root", "n", "most", "parity")), strict=True):
+                if held and row[:4] != held[0][:4]:
                     yield compare(held)
                     held = []
                 held.append(row)
         if held:
             yield compare(held)
 
-    sorted_tiles = left.unionByName(right).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    tile = ["merged", "key", "low", "high"]
+    sorted_tiles = left.unionByName(right).repartition(*tile).sortWithinPartitions(*tile)
     return sorted_tiles.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
