@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from llm.helpers import corpus, documents, words
 
+from variantloom import session
 from variantloom.llm import classlm, common, partenum, phrases, secrets, winnow
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -371,6 +372,14 @@ def test_each_piece_comes_once_with_all_its_hits(spark):
     assert got == {0: [(i, 1) for i in range(2, 8)], 1: [(i, 1) for i in range(6)], 3: [(0, 6)], 4: [(1, 6)]}
 
 
+def test_only_what_is_read_stays_stored(spark):
+    before = set(session.list_names(spark, session.shared_dir(spark)))
+    got = phrases.deduplicate(documents(spark))
+    left = set(session.list_names(spark, session.shared_dir(spark))) - before
+    assert [name.rpartition("-")[0] for name in left] == ["removable"]
+    assert got.count() == len(corpus())
+
+
 def test_a_passage_in_many_surroundings_is_not_one_shard(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_PIECES", 5)
     sizes, locate = [], phrases.locate

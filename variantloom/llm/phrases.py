@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from variantloom.llm.common import KEY_MASK, byte_texts, gram_hashes, hashed_words, read_table, recurring_keys, sha256_hex, slices
-from variantloom.session import materialize
+from variantloom.session import materialize, scratch
 
 WINDOW = 13
 GRAM = 5
@@ -207,20 +207,32 @@ def crowded_hits(merged: DataFrame) -> DataFrame:
 
 
 def removable(docs: DataFrame) -> DataFrame:
-    """``doc, text_hash, starts``: starts of windows that some document with a smaller doc_id has too."""
-    pieces = materialize(stretches(docs, materialize(recurring_places(docs), "anchor-places")).withColumn("piece_id", F.xxhash64("key", "piece")), "stretches")
+    """``doc, text_hash, starts``: starts of windows that some document with a smaller doc_id has too.
+
+    Tables are deleted as soon as what is made from them is stored; the result reads the stretches and the passages.
+    """
+    with scratch(docs.sparkSession) as made:
+        pieces = materialize(stretches(docs, materialize(recurring_places(docs), "anchor-places")).withColumn("piece_id", F.xxhash64("key", "piece")), "stretches")
+        made.pop()
+    with scratch(docs.sparkSession) as made:
+        found = materialize(_hits(pieces), "passages")
+        made.pop()
+    back = pieces.select("doc", "text_hash", "start", "piece_id").join(found, "piece_id")
+    earlier = F.filter("hits", lambda h: h["first_doc"] < F.col("doc"))
+    starts = F.transform(earlier, lambda h: F.col("start") + h["offset"])
+    each = back.select("doc", "text_hash", starts.alias("starts")).where(F.size("starts") > 0)
+    return each.groupBy("doc", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+
+
+def _hits(pieces: DataFrame) -> DataFrame:
+    """``piece_id, hits`` of the distinct stretches with confirmed passages."""
     merged = pieces.groupBy("piece_id").agg(F.first("key").alias("key"), F.first("piece").alias("piece"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     merged = materialize(merged, "distinct-stretches")
     many = merged.groupBy("key").count().where(F.col("count") > SHARD_PIECES).select("key", F.lit(True).alias("crowded"))
     many = materialize(many, "crowded-anchors")  # few or none: its real size decides how it is joined
     marked = merged.join(many, "key", "left")
     whole = marked.where("crowded IS NULL").select(F.col("key").alias("shard"), "piece_id", F.lit(0).alias("offset"), "piece", "low", "high")
-    hits = locate(whole).unionByName(crowded_hits(marked.where("crowded")))
-    back = pieces.select("doc", "text_hash", "start", "piece_id").join(materialize(hits, "passages"), "piece_id")
-    earlier = F.filter("hits", lambda h: h["first_doc"] < F.col("doc"))
-    starts = F.transform(earlier, lambda h: F.col("start") + h["offset"])
-    each = back.select("doc", "text_hash", starts.alias("starts")).where(F.size("starts") > 0)
-    return each.groupBy("doc", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    return locate(whole).unionByName(crowded_hits(marked.where("crowded")))
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, DataType]:
@@ -249,7 +261,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def _outputs(docs: DataFrame, value, column: str) -> DataFrame:
     own, kind = _identified(docs)
-    starts = materialize(removable(own.drop("doc_id")), "removable").withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
+    with scratch(docs.sparkSession) as made:
+        starts = materialize(removable(own.drop("doc_id")), "removable").withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
+        made.pop()
     name = column.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
