@@ -249,6 +249,17 @@ def test_words_are_hashed_in_blocks():
         assert len(own) == len(texts[i].split()) and hashes[at[i] : at[i + 1]].tolist() == own.tolist()
 
 
+def test_batches_of_sets_are_small(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = lambda: max(r[0] for r in spark.range(5000, numPartitions=1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect())
+    with session.arrow_rows(spark, 700):
+        assert rows() == 700
+        with session.arrow_rows(spark, 800):
+            assert rows() == 700
+    assert rows() == 5000 and spark.conf.get(name) == before
+
+
 def test_slices_do_not_copy_the_batch():
     texts = pa.array([None, ""] + ["x" * 10_000, "é" * 100] * 3000)
     parts, peak = peak_mb(lambda: list(common.slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")))

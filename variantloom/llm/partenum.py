@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from variantloom.llm.common import ascii_lower, byte_texts, gram_hashes, hashed_words, mix, read_table, slices
-from variantloom.session import materialize
+from variantloom.session import arrow_rows, materialize
 
 SHINGLE = 5
 FIRST_TOP = 8  # largest set of the first band
 CELLS = 3  # of a part; a signature leaves out one
 SPARE = 0.06  # parts beyond those needed, as a share
+BATCH_ROWS = 1000  # that the JVM hands to Python at once
 CHUNK = 1_000_000  # signatures that a task sorts together
 CROWD = 256  # sets of one signature in a chunk from which they travel apart from the others
 SMALL = 12  # sets of a group that are all compared
@@ -647,8 +648,9 @@ def join_similar(docs: DataFrame) -> DataFrame:
     result. An empty table gives no rows; other columns are left out.
     """
     own = docs.select("doc_id", "text")
-    classes, counts = set_classes(own)
-    roots = link_classes(own, classes, counts)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        classes, counts = set_classes(own)
+        roots = link_classes(own, classes, counts)
     own_place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # null ids after all others
     least = F.min(own_place)
     firsts = classes.where("class IS NOT NULL").groupBy("class").agg(least.alias("least"))
