@@ -51,8 +51,11 @@ def raw_lines(t: Tables, *extra) -> tuple[DataFrame, str]:
 def scan_block_gzip(t: Tables):
     """One block gzip file, read in ranges far smaller than it is; ``cut`` says that more than 8 tasks read it."""
     lines, header = raw_lines(t)
-    files = blockgzip.write_block_gzip(lines.coalesce(1), fresh_path(t.spark, "raw-blocks"), header, block=4096)
-    rows = annotations.scan_annotation_tsv(t.spark, files, range_bytes=8192)
+    path = fresh_path(t.spark, "raw-blocks")
+    file = blockgzip.join_block_gzip(blockgzip.write_block_gzip(lines, f"{path}/parts", block=4096), f"{path}/whole.gz", header)
+    [(_, size)] = blockgzip.data_files(t.spark, file)
+    # a small file still gives many ranges; a long one gives some dozens, or more where they would pass the usual size
+    rows = annotations.scan_annotation_tsv(t.spark, file, range_bytes=max(8192, min(blockgzip.RANGE_BYTES, size // 64)))
     return plain_names(rows).withColumn("cut", F.lit(rows.rdd.getNumPartitions() > 8))
 
 

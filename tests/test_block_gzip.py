@@ -123,6 +123,42 @@ def test_written_block_gzip_reads_back(spark, tmp_path):
     assert got.exceptAll(lines).count() == 0 and got.count() == 5000
 
 
+def test_joined_parts_are_one_file_with_one_header(spark, tmp_path):
+    lines = spark.range(4000).select(F.concat("id", F.lit("\ty")).alias("value")).repartition(3)
+    parts = blockgzip.write_block_gzip(lines, f"file://{tmp_path}/parts", block=500)
+    file = blockgzip.join_block_gzip(parts, f"file://{tmp_path}/whole.gz", "a\tb")
+    text = gzip.decompress((tmp_path / "whole.gz").read_bytes()).decode().splitlines()
+    assert text[0] == "a\tb" and sorted(text[1:]) == sorted(f"{i}\ty" for i in range(4000))
+    rows = annotations.scan_annotation_tsv(spark, file, columns=None, range_bytes=600)
+    assert rows.rdd.getNumPartitions() > 8 and sorted(int(r["a"]) for r in rows.collect()) == list(range(4000))
+
+
+class Counted(bytes):
+    """Bytes that note how many are copied when a piece without an end is cut out."""
+
+    copied = 0
+
+    def __getitem__(self, key):
+        if isinstance(key, slice) and key.stop is None:
+            Counted.copied += len(self) - (key.start or 0)
+        return Counted(bytes.__getitem__(self, key)) if isinstance(key, slice) else bytes.__getitem__(self, key)
+
+    def __add__(self, other):
+        return Counted(bytes(self) + bytes(other))
+
+    __radd__ = __add__
+
+
+def test_members_are_cut_out_without_copying_what_follows():
+    raw = block_gzip(b"".join(b"%d some line\n" % i for i in range(40_000)), 1000)
+    handle = io.BytesIO(raw)
+    members = blockgzip.Members(handle, 0)
+    members.held = Counted()
+    Counted.copied = 0
+    assert b"".join(text for _, text in members) == gzip.decompress(raw)
+    assert Counted.copied < 10 * len(raw)
+
+
 def test_scratch_tables_go_when_their_work_is_done(spark):
     from variantloom.session import materialize
 

@@ -65,50 +65,52 @@ class Members:
     def __init__(self, handle, start: int):
         self.handle, self.offset = handle, start
         handle.seek(start)
-        self.held = b""
+        self.held, self.at = b"", 0  # bytes that were read, and how many of them are done: a member is cut out, the rest not copied
 
     def _fill(self, wanted: int) -> None:
-        while len(self.held) < wanted:
+        while len(self.held) - self.at < wanted:
             more = self.handle.read(READ)
             if not more:
                 return
-            self.held += more
+            self.held, self.at = self.held[self.at :] + more, 0
+
+    def _move(self, n: int) -> None:
+        self.offset += n
+        self.at += n
 
     def find_first(self) -> bool:
         """Move to the first member at or after this place."""
         while True:
             self._fill(2 * LARGEST)
-            at = self.held.find(MAGIC)
+            at = self.held.find(MAGIC, self.at)
             while 0 <= at:
                 size = member_size(self.held[at : at + LARGEST])
                 if size and at + size <= len(self.held) and member_text(self.held[at : at + size]) is not None:
-                    self.offset += at
-                    self.held = self.held[at:]
+                    self._move(at - self.at)
                     return True
                 if at + LARGEST > len(self.held):
                     break
                 at = self.held.find(MAGIC, at + 1)
             if at < 0:
-                at = max(0, len(self.held) - len(MAGIC) + 1)
-            self.offset += at
-            self.held = self.held[at:]
-            before = len(self.held)
+                at = max(self.at, len(self.held) - len(MAGIC) + 1)
+            self._move(at - self.at)
+            before = len(self.held) - self.at
             self._fill(before + 2 * LARGEST)
-            if len(self.held) == before:
+            if len(self.held) - self.at == before:
                 return False
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         while True:
             self._fill(LARGEST + HEAD)
-            if not self.held:
+            left = len(self.held) - self.at
+            if not left:
                 return
-            size = member_size(self.held[:LARGEST])
-            text = member_text(self.held[:size]) if size and size <= len(self.held) else None
+            size = member_size(self.held[self.at : self.at + LARGEST])
+            text = member_text(self.held[self.at : self.at + size]) if size and size <= left else None
             if text is None:
                 raise ValueError(f"no whole member of a block gzip file at byte {self.offset}")
             yield self.offset, text
-            self.offset += size
-            self.held = self.held[size:]
+            self._move(size)
 
 
 def lines_of(handle, start: int, end: int) -> Iterator[list[bytes]]:
@@ -301,3 +303,19 @@ def write_block_gzip(lines: DataFrame, path: str, header: str = "", block: int =
         yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"])], ["file"])
 
     return sorted(r["file"] for r in lines.select("value").mapInArrow(run, "file string").collect())
+
+
+def join_block_gzip(files: Sequence[str], path: str, header: str = "") -> str:
+    """One block gzip file at ``path``: the header, then the members of ``files`` one after the other, as they are.
+
+    Tasks compress the parts side by side; here only compressed bytes are copied, a few MB at a time.
+    """
+    fs, target = pyarrow.fs.FileSystem.from_uri(path)
+    with fs.open_output_stream(target, compression=None) as out:
+        out.write(_member(f"{header}\n".encode()) if header else b"")
+        for file in files:
+            parts, name = pyarrow.fs.FileSystem.from_uri(file)
+            with parts.open_input_stream(name, compression=None) as part:
+                while piece := part.read(READ):
+                    out.write(piece)
+    return path
