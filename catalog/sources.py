@@ -43,6 +43,10 @@ def raw_lines(t: Tables, *extra) -> tuple[DataFrame, str]:
     return t.variants_raw.select(F.concat_ws("\t", *cells).alias("value"), *extra), "\t".join(RAW_NAMES.get(c, c) for c in INGEST)
 
 
+def range_bytes(t: Tables, files, least: int) -> int:
+    return blockgzip.range_width([size for _, size in blockgzip.data_files(t.spark, files)], least)
+
+
 @query(
     "scan_block_gzip",
     """SELECT chrom, CAST(pos AS VARCHAR) AS pos, ref, alt, SIFT_score, Polyphen2_HDIV_score, CADD_phred, gnomAD_exomes_AF,
@@ -53,9 +57,7 @@ def scan_block_gzip(t: Tables):
     lines, header = raw_lines(t)
     path = fresh_path(t.spark, "raw-blocks")
     file = blockgzip.join_block_gzip(blockgzip.write_block_gzip(lines, f"{path}/parts", block=4096), f"{path}/whole.gz", header)
-    [(_, size)] = blockgzip.data_files(t.spark, file)
-    # a small file still gives many ranges; a long one gives some dozens, or more where they would pass the usual size
-    rows = annotations.scan_annotation_tsv(t.spark, file, range_bytes=max(8192, min(blockgzip.RANGE_BYTES, size // 64)))
+    rows = annotations.scan_annotation_tsv(t.spark, file, range_bytes=range_bytes(t, file, 8192))
     return plain_names(rows).withColumn("cut", F.lit(rows.rdd.getNumPartitions() > 8))
 
 
@@ -72,7 +74,7 @@ def quarantine_rows(t: Tables):
     broken = F.when(F.col("k") == 0, F.substring_index("value", "\t", -5)).when(F.col("k") == 1, F.concat("value", F.lit("\tx"))).otherwise(F.col("value"))
     marked = F.when(F.col("k") == 0, F.concat_ws("\t", F.substring_index("value", "\t", 1), broken)).otherwise(broken)
     files = blockgzip.write_block_gzip(lines.select(marked.alias("value")), fresh_path(t.spark, "broken-blocks"), header, block=4096)
-    records = materialize(annotations.annotation_records(t.spark, files, None, range_bytes=16384), "records")
+    records = materialize(annotations.annotation_records(t.spark, files, None, range_bytes=range_bytes(t, files, 16384)), "records")
     kept = records.where("kind = 'accepted'").select(F.col("#chr").alias("chrom"), F.lit("accepted").alias("kind"), F.lit(True).alias("placed"))
     bad = annotations.quarantined(records)
     texts = annotations.text_lines(t.spark, files)  # whole files again, with their line numbers

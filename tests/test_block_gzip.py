@@ -159,6 +159,14 @@ def test_members_are_cut_out_without_copying_what_follows():
     assert Counted.copied < 10 * len(raw)
 
 
+def test_ranges_follow_the_length_of_the_files():
+    assert blockgzip.range_width([100_000], 8192) == 8192  # a small file is still cut
+    for sizes in ([60 << 20], [30 << 20] * 8, [400 << 20]):
+        width = blockgzip.range_width(sizes, 8192)
+        assert 8192 < width <= blockgzip.RANGE_BYTES and sum(-(-x // width) for x in sizes) <= 64 + len(sizes)
+    assert blockgzip.range_width([100 << 30], 8192) == blockgzip.RANGE_BYTES
+
+
 def test_scratch_tables_go_when_their_work_is_done(spark):
     from variantloom.session import materialize
 

@@ -217,6 +217,11 @@ def data_files(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[st
     return sorted(found)
 
 
+def range_width(sizes: Sequence[int], least: int) -> int:
+    """Bytes of a range that cuts files of these sizes into some 64 parts, but no smaller than ``least``; long files get the usual ranges."""
+    return max(least, min(RANGE_BYTES, sum(sizes) // 64))
+
+
 def is_block_gzip(spark: SparkSession, file: str) -> bool:
     """Whether the file starts with a member that states its size, and executors can open it by its name."""
     if not file.endswith((".gz", ".bgz")):
